@@ -30,6 +30,7 @@ class Limits:
     group_rows: int = 1_000_000
     hot_groups: int = 10_000
     dimension_rows: int = 200_000
+    estimated_bytes: int = 1_000_000
     slices: int = 20_000
 
 
@@ -54,18 +55,17 @@ class HotGroups:
     def measure(cls, df: DataFrame, keys: Sequence[str], limits: Limits = LIMITS) -> "HotGroups":
         keys = list(keys)
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        found = (
-            sizes.where(F.col("_rows") > limits.group_rows)
-            .limit(limits.hot_groups + 1)
-            .collect()
-        )
-        if not found:
+        large = F.col("_rows") > limits.group_rows
+        total, count, rows = sizes.agg(
+            F.sum("_rows"), F.count_if(large), F.sum(F.when(large, F.col("_rows")))).first()
+        if not count:
             return cls(keys)
-        if len(found) > limits.hot_groups:
-            return cls(keys, rows=df.count(), everything=True)
+        if count > limits.hot_groups:
+            return cls(keys, rows=total, everything=True)
         schema = StructType([df.schema[key] for key in keys])
-        frame = df.sparkSession.createDataFrame([tuple(row[k] for k in keys) for row in found], schema)
-        return cls(keys, frame, sum(row["_rows"] for row in found))
+        found = sizes.where(large).limit(limits.hot_groups).select(*keys).collect()
+        frame = df.sparkSession.createDataFrame([tuple(row) for row in found], schema)
+        return cls(keys, frame, rows)
 
     def __bool__(self) -> bool:
         return self.everything or self.frame is not None
@@ -181,25 +181,51 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 
 
 def fits_broadcast(df: DataFrame, limits: Limits = LIMITS) -> bool:
-    """Whether the table has at most ``limits.dimension_rows`` rows."""
+    """Whether the table is small enough to copy to every task.
+
+    A planner estimate far below the limit settles it; otherwise rows are
+    counted, up to one more than ``limits.dimension_rows``.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) <= limits.estimated_bytes:
+        return True
     return df.limit(limits.dimension_rows + 1).count() <= limits.dimension_rows
 
 
 def lookup(fact: DataFrame, dimension: DataFrame, keys: Sequence[str], how: str = "left",
-           hot: HotGroups | None = None, limits: Limits = LIMITS) -> DataFrame:
+           hot: HotGroups | None = None, limits: Limits = LIMITS,
+           size_of: DataFrame | None = None) -> DataFrame:
     """Join to a table with one row per key.
 
     A dimension of checked size is broadcast. Beyond that the rows of hot keys
     meet their few dimension rows by broadcast, all others by a shuffle join.
+    ``size_of`` is a cheaper table with at least as many rows as the dimension.
     """
     keys = list(keys)
-    if fits_broadcast(dimension, limits):
+    if fits_broadcast(dimension if size_of is None else size_of, limits):
         return fact.join(F.broadcast(dimension), keys, how)
     hot = hot if hot is not None else HotGroups.measure(fact, keys, limits)
-    cold, rest = hot.split(fact)
     if hot.everything:
         return fact.join(dimension, keys, how)
+    cold, rest = hot.split(fact)
     joined = cold.join(dimension, keys, how)
     if rest is not None:
         joined = joined.unionByName(rest.join(F.broadcast(hot.only(dimension)), keys, how))
     return joined
+
+
+def without_matches(df: DataFrame, covered: DataFrame, keys: Sequence[str],
+                    limits: Limits = LIMITS) -> DataFrame:
+    """Rows whose key is absent from a table with one row per key.
+
+    The keys of the rows are measured, not the table: it may be costly to build.
+    """
+    keys = list(keys)
+    hot = HotGroups.measure(df, keys, limits)
+    if hot.everything:
+        return df.join(covered, keys, "left_anti")
+    cold, rest = hot.split(df)
+    kept = cold.join(covered, keys, "left_anti")
+    if rest is not None:
+        kept = kept.unionByName(rest.join(F.broadcast(hot.only(covered)), keys, "left_anti"))
+    return kept

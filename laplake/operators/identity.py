@@ -68,7 +68,8 @@ def identify_stops(stops: DataFrame, entries: DataFrame, limits: Limits = LIMITS
         F.min_by("driver_number", "entry_order").alias("driver_number"))
     known = codes.join(numbers.withColumnRenamed("code", "driver_code"), [RACE, "driver_code"], "left")
     bare = stops.drop("driver_number", "driver_code")
-    return lookup(bare, known, [RACE, "driver_id"], limits=limits).withColumns({
+    ids = stops.select(RACE, "driver_id").distinct()
+    return lookup(bare, known, [RACE, "driver_id"], limits=limits, size_of=ids).withColumns({
         "driver_code": F.coalesce("driver_code", F.lit("")),
         "driver_number": F.coalesce("driver_number", F.lit(0)),
     })
@@ -121,17 +122,18 @@ def results_with_driver(results: DataFrame, dimension: DataFrame, limits: Limits
     codes = dimension.groupBy(RACE, "code").agg(F.min_by(row, "race_number").alias("_by_code"))
     numbers = dimension.groupBy(RACE, F.col("race_number").alias("driver_number")).agg(
         F.min_by(row, "code").alias("_by_number"))
-    joined = lookup(lookup(results, codes, [RACE, "code"], limits=limits),
-                    numbers, [RACE, "driver_number"], limits=limits)
+    joined = lookup(lookup(results, codes, [RACE, "code"], limits=limits, size_of=dimension),
+                    numbers, [RACE, "driver_number"], limits=limits, size_of=dimension)
     return joined.withColumn("driver", F.coalesce("_by_code", "_by_number")).drop("_by_code", "_by_number")
 
 
-def _first_match(asked: DataFrame, names: DataFrame) -> DataFrame:
-    """First dimension row whose name or code matches a slug, per (race, slug).
+def _slug_matches(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """First name of each kind that matches a slug, per (race, driver_id, kind).
 
     Rules: the slug equals the full name, first plus last name, or the code; or
     it contains the last name. The containment rule becomes an equi-join on the
-    substrings of the slug, whose number is bounded by the slug's length.
+    substrings of the slug, whose number is bounded by the slug's length. Names
+    are reduced to one per alias before the join.
     """
     slug = F.col("slug")
     starts = F.sequence(F.lit(1), F.length(slug))
@@ -140,7 +142,7 @@ def _first_match(asked: DataFrame, names: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.lit("whole").alias("form"), slug.alias("alias")),
                     F.struct(F.lit("code").alias("form"), F.col("raw").alias("alias")))
     parts = F.transform(F.array_distinct(pieces), lambda p: F.struct(F.lit("part").alias("form"), p.alias("alias")))
-    asked = asked.where(F.length(slug) > 0).select(
+    questions = asked.where(F.length(slug) > 0).select(
         RACE, "driver_id", F.explode(F.concat(whole, parts)).alias("q")
     ).select(RACE, "driver_id", "q.form", "q.alias")
 
@@ -152,12 +154,14 @@ def _first_match(asked: DataFrame, names: DataFrame) -> DataFrame:
             ("whole", F.regexp_replace(lowered, r"\s", "")), ("whole", F.concat(first, last)),
             ("part", last), ("code", F.lower("code")))
     ])
-    keyed = names.select(RACE, "race_number", "code", F.explode(options).alias("o")).where(
-        F.length("o.alias") > 0)
-    first_by_alias = keyed.groupBy(RACE, "o.form", "o.alias").agg(
-        F.min(F.struct("race_number", "code")).alias("hit"))
-    return asked.join(first_by_alias, [RACE, "form", "alias"]).groupBy(RACE, "driver_id").agg(
-        F.min("hit").alias("hit"))
+    answers = (
+        names.select(RACE, "kind", "rank", "code", F.explode(options).alias("o"))
+        .where(F.length("o.alias") > 0)
+        .groupBy(RACE, "kind", "o.form", "o.alias").agg(F.min(F.struct("rank", "code")).alias("hit"))
+    )
+    return questions.join(answers, [RACE, "form", "alias"]).groupBy(RACE, "driver_id").agg(
+        F.min(F.when(F.col("kind") == "driver", F.col("hit"))).alias("driver"),
+        F.min(F.when(F.col("kind") == "result", F.col("hit"))).alias("result"))
 
 
 def identity_cascade(stops: DataFrame, dimension: DataFrame, results: DataFrame,
@@ -177,20 +181,20 @@ def identity_cascade(stops: DataFrame, dimension: DataFrame, results: DataFrame,
         .select(RACE, "driver_id").distinct()
         .withColumns({"slug": F.lower(without(F.col("driver_id"), "_")), "raw": F.lower("driver_id")})
     )
-    by_slug = _first_match(ids, dimension).select(
-        RACE, "driver_id", F.col("hit.race_number").alias("_by_slug"))
+    names = dimension.select(
+        RACE, F.lit("driver").alias("kind"), F.col("race_number").alias("rank"), "code", "full_name",
+    ).unionByName(results.select(
+        RACE, F.lit("result").alias("kind"), F.col("entry_order").alias("rank"), "code", "full_name"))
+    matches = _slug_matches(ids, names).select(
+        RACE, "driver_id", F.col("driver.rank").alias("_by_slug"), F.col("result.code").alias("_result_code"))
     by_number = dimension.select(
         RACE, F.col("race_number").alias("driver_number"), F.col("race_number").alias("_by_number")).distinct()
-    names = results.select(RACE, F.col("entry_order").alias("race_number"), "code", "full_name")
-    by_result = (
-        _first_match(ids, names).select(RACE, "driver_id", F.col("hit.code").alias("code"))
-        .join(by_code.withColumnRenamed("_by_code", "_by_result"), [RACE, "code"]).drop("code")
-    )
+    by_result = by_code.withColumnsRenamed({"code": "_result_code", "_by_code": "_by_result"})
     chosen = F.coalesce("_by_code", "_by_slug", "_by_number", "_by_result", "driver_number")
     found = (
-        coded.join(by_slug, [RACE, "driver_id"], "left")
+        coded.join(matches, [RACE, "driver_id"], "left")
         .join(by_number, [RACE, "driver_number"], "left")
-        .join(by_result, [RACE, "driver_id"], "left")
+        .join(by_result, [RACE, "_result_code"], "left")
         .select(*identity, chosen.alias("race_number"))
     )
-    return lookup(stops, found, identity, limits=limits)
+    return lookup(stops, found, identity, limits=limits, size_of=asked)

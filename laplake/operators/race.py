@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from laplake import constants as C
 from laplake.functions.labels import or_code_number, track_status_label
 from laplake.functions.numbers import fixed, lap_time_text
-from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup, numbered, running_total
+from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup, numbered, running_total, without_matches
 from laplake.sources.tables import json_safe
 
 DRIVER = ("session_key", "driver_number")
@@ -97,8 +97,7 @@ def exact_positions(positions: DataFrame) -> DataFrame:
 def first_available(primary: DataFrame, secondary: DataFrame, keys: Sequence[str],
                     names: tuple[str, str], limits: Limits = LIMITS) -> DataFrame:
     """Rows of the first source that has any for a key, marked with its name."""
-    covered = primary.select(*keys).distinct().withColumn("_covered", F.lit(True))
-    missing = lookup(secondary, covered, keys, limits=limits).where(F.col("_covered").isNull())
+    missing = without_matches(secondary, primary.select(*keys).distinct(), keys, limits)
     columns = primary.columns
     return (
         primary.withColumn("source", F.lit(names[0]))
@@ -293,7 +292,7 @@ def incidents(track_status: DataFrame) -> DataFrame:
         .agg(F.min_by("code", F.struct("ts", "event_id")).alias("code"),
              F.min(F.struct("ts", "event_id")).alias("_first"))
         .orderBy("session_key", "_first")
-        .select("session_key", "code", "label", F.unix_micros("_first.ts").alias("first_seen"))
+        .select("session_key", "code", "label", F.col("_first.ts").alias("first_seen"))
     )
 
 

@@ -257,7 +257,8 @@ def _latest(d: RaceData):
     FROM (SELECT session_key, code, epoch_us(min(ts)) AS first_seen FROM track_status WHERE code <> '1'
           GROUP BY session_key, code)""")
 def _incidents(d: RaceData):
-    return race.incidents(d.track_status.withColumn("ts", F.col("ts").cast("timestamp")))
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', first_seen)")
+    return race.incidents(d.track_status).withColumn("first_seen", micros)
 
 
 @query("laps_since", """SELECT session_key, count(*) AS new_laps, min(lap_number) AS first_lap,

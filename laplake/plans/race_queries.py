@@ -13,6 +13,7 @@ from laplake.plans import jobs
 from laplake.plans.fixtures import RaceData
 from laplake.plans.oracle import r3, r6
 from laplake.plans.registry import query
+from laplake.session import cut_lineage
 from laplake.sources import pages, tables
 from laplake.sources.feeds import season_session_key
 
@@ -145,10 +146,9 @@ def _dimension(d: RaceData):
 
 
 def _drivers(d: RaceData):
-    fastest = race.fastest_laps(d.valid, d.roster, d.hot_sessions).select(
-        "session_key", "driver_number", "driver_code")
+    timed = race.with_codes(d.valid.select("session_key", "driver_number").distinct(), d.roster)
     seen = race.with_codes(d.valid.select("session_key", "driver_number").distinct(), d.roster)
-    return identity.driver_dimension(d.race_status, fastest, seen, seen, d.roster)
+    return identity.driver_dimension(d.race_status, timed, seen, timed, d.roster)
 
 
 @query("results_drivers", """
@@ -198,8 +198,9 @@ def _identity(d: RaceData):
          ON p.session_key = s.session_key AND p.driver_id = s.driver_id
     LEFT JOIN dimension z ON z.session_key = s.session_key AND z.race_number = 0""")
 def _cascade(d: RaceData):
-    drivers = _drivers(d)
-    stops = identity.identify_stops(pits.clean_stops(d.raw_pits), d.race_status)
+    # Both tables feed several rules; each is computed once.
+    drivers = cut_lineage(_drivers(d))
+    stops = cut_lineage(identity.identify_stops(pits.clean_stops(d.raw_pits), d.race_status))
     out = identity.identity_cascade(stops, drivers, d.race_status)
     return out.select(*STOP, "race_number")
 
