@@ -75,14 +75,26 @@ def fastest_laps(laps: DataFrame, roster: DataFrame, hot_sessions: HotGroups | N
     return with_codes(ranked, roster, limits)
 
 
+def with_positions(laps: DataFrame, hot_drivers: HotGroups | None = None,
+                   hot_sessions: HotGroups | None = None, limits: Limits = LIMITS) -> DataFrame:
+    """Add the position on every lap from cumulative time.
+
+    A driver without the lap is not ranked. Times are summed in whole
+    microseconds, so the order does not depend on the order of addition.
+    """
+    timed = laps.where(F.col("lap_duration") > 0).withColumn(
+        "_micros", F.round(F.col("lap_duration") * 1_000_000).cast("long"))
+    raced = running_total(timed, DRIVER, ["lap_number"], "_micros", "_raced", hot=hot_drivers, limits=limits)
+    ranked = numbered(raced, ["session_key", "lap_number"], ["_raced", "driver_number"], "position",
+                      hot=hot_sessions, limits=limits)
+    return ranked.withColumn("cum_time", F.col("_raced") / 1_000_000).drop("_micros", "_raced")
+
+
 def lap_positions(laps: DataFrame, hot_drivers: HotGroups | None = None,
                   hot_sessions: HotGroups | None = None, limits: Limits = LIMITS) -> DataFrame:
-    """Position on every lap from cumulative time; a driver without the lap is not ranked."""
-    timed = laps.where(F.col("lap_duration") > 0).select(*DRIVER, "lap_number", "lap_duration")
-    raced = running_total(timed, DRIVER, ["lap_number"], "lap_duration", "cum_time",
-                          hot=hot_drivers, limits=limits)
-    return numbered(raced, ["session_key", "lap_number"], ["cum_time", "driver_number"], "position",
-                    hot=hot_sessions, limits=limits)
+    """Position of every driver on every lap."""
+    narrow = laps.select(*DRIVER, "lap_number", "lap_duration")
+    return with_positions(narrow, hot_drivers, hot_sessions, limits).drop("lap_duration")
 
 
 def exact_positions(positions: DataFrame) -> DataFrame:
@@ -296,7 +308,7 @@ def incidents(track_status: DataFrame) -> DataFrame:
     )
 
 
-def with_race_laps(features: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def with_race_laps(rows: DataFrame, laps: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Attach the last lap of the session to every row."""
-    last = features.groupBy("session_key").agg(F.max("lap_number").alias("total_race_laps"))
-    return lookup(features, last, ["session_key"], limits=limits)
+    last = laps.groupBy("session_key").agg(F.max("lap_number").alias("total_race_laps"))
+    return lookup(rows, last, ["session_key"], limits=limits, size_of=laps.select("session_key").distinct())

@@ -31,12 +31,10 @@ def lap_rows(d: RaceData):
 
 def lap_feed(d: RaceData):
     """Topic rows with an offset; some values are cut short and do not parse."""
-    rows = lap_rows(d)
-    keyed = rows.select("event_id", F.struct(*[c for c in rows.columns if c != "event_id"]).alias("lap"))
-    encoded = out.lap_messages(keyed.select("lap.*", "event_id"))
-    offset = F.get_json_object("value", "$.event_id").cast("long")
+    offset = F.col("offset")
+    encoded = out.lap_messages(lap_rows(d).withColumnRenamed("event_id", "offset"), beside=("offset",))
     broken = F.when(offset % 89 == 0, F.substring("value", 1, 20)).otherwise(F.col("value"))
-    return encoded.select("topic", "key", broken.alias("value"), offset.alias("offset"))
+    return encoded.select("topic", "key", broken.alias("value"), "offset")
 
 
 @query("decode_lap_json", f"""SELECT {LAP_SQL}, {r6('lap_duration')} AS lap_duration, tyre_compound, tyre_age_laps,

@@ -29,6 +29,16 @@ def _pick(index, values):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+# Column types of the given tables; a declared schema needs no look into the files.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
 class RaceData:
     """Derived frames of one data folder."""
 
@@ -38,7 +48,7 @@ class RaceData:
         self.limits = limits
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def timed_events(self) -> DataFrame:

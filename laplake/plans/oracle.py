@@ -180,10 +180,10 @@ TABLES = {
                          FROM features WHERE tyre_compound IS NOT NULL GROUP BY ALL)) m
         USING (session_key, driver_number, stint_number) WHERE coalesce(place, 1) = 1""",
     "ranked_positions": """
-        SELECT session_key, driver_number, lap_number, cum_time,
+        SELECT session_key, driver_number, lap_number,
                CAST(row_number() OVER (PARTITION BY session_key, lap_number
                                        ORDER BY cum_time, driver_number) AS INT) AS position
-        FROM (SELECT *, sum(lap_duration) OVER (PARTITION BY session_key, driver_number ORDER BY lap_number
+        FROM (SELECT *, sum(CAST(round(lap_duration * 1000000) AS BIGINT)) OVER (PARTITION BY session_key, driver_number ORDER BY lap_number
                                                 ROWS UNBOUNDED PRECEDING) AS cum_time FROM valid)""",
     "slots": """
         SELECT session_key, driver_number, slot

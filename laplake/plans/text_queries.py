@@ -88,13 +88,6 @@ def _upsert(d: RaceData):
     return table.latest().select("id", "year", "tyre_compound", "document", F.size("embedding").alias("size"))
 
 
-def _named_laps(d: RaceData):
-    calendar = d.races.select(
-        "season", F.col("round_number").alias("round"),
-        F.replace("race_name", F.lit(" Grand Prix"), F.lit("")).alias("name"))
-    return catalogue.circuit_names(race.with_race_laps(d.race_features), calendar)
-
-
 @query("strategy_prompt", f"""
     SELECT session_key, driver_number, lap_number, last_lap AS total_race_laps, circuit AS circuit_name,
            printf('%s tyres %d laps degradation rate %.4f circuit %s lap %d', c, a, {r4('rate')}, circuit, lap_number)
@@ -118,10 +111,12 @@ def _named_laps(d: RaceData):
           JOIN ranked_positions p USING (session_key, driver_number, lap_number)
           LEFT JOIN races r ON r.season = 2024 AND r.round_number = f.session_key)""")
 def _strategy(d: RaceData):
-    keys = ["session_key", "driver_number", "lap_number"]
-    places = race.lap_positions(d.valid, d.hot_drivers, d.hot_sessions).select(*keys, "position")
-    laps = _named_laps(d).join(places, keys, "left").withColumn("gap_to_leader", F.col("lap_delta"))
-    return text.strategy_inputs(laps)
+    placed = race.with_positions(d.race_features, d.hot_drivers, d.hot_sessions)
+    calendar = d.races.select(
+        "season", F.col("round_number").alias("round"),
+        F.replace("race_name", F.lit(" Grand Prix"), F.lit("")).alias("name"))
+    named = catalogue.circuit_names(race.with_race_laps(placed, d.valid), calendar)
+    return text.strategy_inputs(named.withColumn("gap_to_leader", F.col("lap_delta")))
 
 
 @query("commentary_prompt", f"""

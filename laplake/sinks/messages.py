@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from laplake import constants as C
 
 
-def _message(df: DataFrame, topic: str, key: Column, body: Column) -> DataFrame:
+def _message(df: DataFrame, topic: str, key: Column, body: Column, *beside: Column) -> DataFrame:
     value = F.to_json(body, {"ignoreNullFields": "false"})
-    return df.select(F.lit(topic).alias("topic"), key.alias("key"), value.alias("value"))
+    return df.select(F.lit(topic).alias("topic"), key.alias("key"), value.alias("value"), *beside)
 
 
 def _joined(*names: str) -> Column:
     return F.concat_ws(":", *[F.col(name).cast("string") for name in names])
 
 
-def lap_messages(laps: DataFrame, topic: str = C.LAP_TOPIC) -> DataFrame:
-    return _message(laps, topic, _joined("session_key", "driver_number", "lap_number"), F.struct("*"))
+def lap_messages(laps: DataFrame, topic: str = C.LAP_TOPIC, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Lap messages; columns named ``beside`` stay outside the message."""
+    body = F.struct(*[name for name in laps.columns if name not in beside])
+    key = _joined("session_key", "driver_number", "lap_number")
+    return _message(laps, topic, key, body, *[F.col(name) for name in beside])
 
 
 def pit_messages(pits: DataFrame, topic: str = C.PIT_TOPIC) -> DataFrame:

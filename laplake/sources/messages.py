@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
@@ -63,6 +65,13 @@ def clean_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns(fixed) if fixed else df
 
 
+def _decoded(raw: DataFrame, schema: StructType, others: list[Column]) -> DataFrame:
+    """Message fields as columns; the generator keeps later filters above the
+    parser, so every message is parsed once. A broken message gives NULLs."""
+    data = F.from_json(F.col("value").cast("string"), schema)
+    return raw.select(*others, F.inline(F.array(data)))
+
+
 def decode_messages(raw: DataFrame, schema: StructType = schemas.LAP,
                     keys: tuple[str, ...] = ("driver_number", "lap_number"),
                     origin: bool = False) -> DataFrame:
@@ -70,22 +79,20 @@ def decode_messages(raw: DataFrame, schema: StructType = schemas.LAP,
 
     ``origin`` adds the topic and the offset of every message.
     """
-    data = F.from_json(F.col("value").cast("string"), schema)
-    extra = [F.col("topic").alias("_kafka_topic"), F.col("offset").alias("_kafka_offset")] if origin else []
-    typed = raw.select(data.alias("_data"), *extra).select("_data.*", *[c for c in ("_kafka_topic", "_kafka_offset") if origin])
+    names = ("topic", "offset") if origin else ()
+    typed = _decoded(raw, schema, [F.col(name).alias(f"_kafka_{name}") for name in names])
     for key in keys:
         typed = typed.where(F.col(key).isNotNull())
-    return clean_numbers(typed)
+    return clean_numbers(typed).select(*schema.names, *[f"_kafka_{name}" for name in names])
 
 
 def rejected_messages(raw: DataFrame, schema: StructType = schemas.LAP,
                       keys: tuple[str, ...] = ("driver_number", "lap_number")) -> DataFrame:
     """Messages that ``decode_messages`` drops, for a quarantine table."""
-    data = F.from_json(F.col("value").cast("string"), schema)
-    missing = F.lit(False)
-    for key in keys:
-        missing = missing | F.col("_data")[key].isNull()
-    return raw.withColumn("_data", data).where(missing).drop("_data")
+    needed = StructType([schema[key] for key in keys])
+    typed = _decoded(raw, needed, [F.struct(*raw.columns).alias("_message")])
+    missing = reduce(lambda a, b: a | b, (F.col(key).isNull() for key in keys))
+    return typed.where(missing).select("_message.*")
 
 
 def first_messages(rows: DataFrame, count: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from laplake.operators.features import LAPS, LapColumns, lap_features
-from laplake.operators.groups import LIMITS, Limits, fits_broadcast
+from laplake.operators.groups import LIMITS, HotGroups, Limits, fits_broadcast
 from laplake.sinks.tables import VersionedTable
 
 
@@ -47,8 +47,10 @@ class FeatureStream:
             self.raw.write(once, batch_id)
             touched = batch.select(*self.cols.keys).distinct()
             self.touched.write(touched, batch_id)
-            mine = self.raw.latest(self._history(touched, batch_id))
-            self.features.write(lap_features(mine, self.cols, limits=self.limits), batch_id)
+            history = self._history(touched, batch_id)
+            hot = HotGroups.measure(history, self.cols.keys, self.limits)
+            mine = self.raw.latest(history)
+            self.features.write(lap_features(mine, self.cols, hot=hot, limits=self.limits), batch_id)
         finally:
             batch.unpersist()
 
