@@ -73,13 +73,13 @@ COUNTRY_CODES = {
 }
 DEFAULT_FLAG = "un"
 
-# Tyre compound colours.
-TYRE_COLORS = {
-    "SOFT": "#E8002D",
-    "MEDIUM": "#FFD700",
-    "HARD": "#EEEEEE",
-    "INTER": "#39B54A",
-    "WET": "#0067FF",
+# Surnames by car number.
+DRIVER_SURNAMES = {
+    1: "Verstappen", 11: "Perez", 44: "Hamilton", 63: "Russell",
+    16: "Leclerc", 55: "Sainz", 4: "Norris", 81: "Piastri",
+    14: "Alonso", 18: "Stroll", 10: "Gasly", 31: "Ocon",
+    23: "Albon", 2: "Sargeant", 77: "Bottas", 24: "Zhou",
+    20: "Magnussen", 27: "Hulkenberg", 3: "Ricciardo", 22: "Tsunoda",
 }
 
 # Track status labels.

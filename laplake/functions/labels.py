@@ -19,7 +19,7 @@ def team_color(team: Column | str, palette: dict[str, str] = C.TEAM_COLORS) -> C
     return F.coalesce(*hits, F.lit(C.DEFAULT_COLOR))
 
 
-def _mapped(value: Column, table: dict[str, str], default: Column) -> Column:
+def _mapped(value: Column, table: dict, default: Column) -> Column:
     pairs = [F.lit(item) for pair in table.items() for item in pair]
     return F.coalesce(F.create_map(*pairs)[value], default)
 
@@ -57,6 +57,12 @@ def race_short_name(name: Column | str, suffix: str = "") -> Column:
     return F.replace(_col(name), F.lit(" Grand Prix"), F.lit(suffix))
 
 
+def driver_surname(number: Column | str) -> Column:
+    """Surname of a known car number, else the number as text."""
+    column = _col(number)
+    return _mapped(column, C.DRIVER_SURNAMES, column.cast("string"))
+
+
 def or_code_number(code: Column | str, number: Column | str) -> Column:
     """The driver code, or the number as text where no code is known."""
     return F.coalesce(_col(code), _col(number).cast("string"))

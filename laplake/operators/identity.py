@@ -76,7 +76,7 @@ def identify_stops(stops: DataFrame, entries: DataFrame, limits: Limits = LIMITS
 
 
 def driver_dimension(results: DataFrame, fastest: DataFrame, positions: DataFrame,
-                     strategies: DataFrame, roster: DataFrame) -> DataFrame:
+                     strategies: DataFrame, roster: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """One row per race and car number, merged from four sources.
 
     The code of a number comes from the fastest laps, else the positions, else
@@ -96,12 +96,11 @@ def driver_dimension(results: DataFrame, fastest: DataFrame, positions: DataFram
         F.max_by(entry, "entry_order").alias("c"))
     known = roster.groupBy(F.col("code").alias("final_code")).agg(
         F.min(F.struct("full_name", "team")).alias("r"))
-    merged = (
-        codes.join(by_number, [RACE, "driver_number"], "full")
-        .withColumn("final_code", F.coalesce("pair_code", "n.code"))
-        .join(by_code, [RACE, "final_code"], "left")
-        .join(known, ["final_code"], "left")
-    )
+    coded = codes.join(by_number, [RACE, "driver_number"], "full").withColumn(
+        "final_code", F.coalesce("pair_code", "n.code"))
+    merged = lookup(
+        lookup(coded, by_code, [RACE, "final_code"], limits=limits, size_of=results),
+        known, ["final_code"], limits=limits, size_of=roster)
 
     def first_text(name, *last):
         sources = [F.nullif(F.col(f"{part}.{name}"), F.lit("")) for part in ("c", "r", "n")]
@@ -127,8 +126,8 @@ def results_with_driver(results: DataFrame, dimension: DataFrame, limits: Limits
     return joined.withColumn("driver", F.coalesce("_by_code", "_by_number")).drop("_by_code", "_by_number")
 
 
-def _slug_matches(asked: DataFrame, names: DataFrame) -> DataFrame:
-    """First name of each kind that matches a slug, per (race, driver_id, kind).
+def _slug_matches(asked: DataFrame, names: DataFrame, limits: Limits) -> DataFrame:
+    """First driver and first result whose name matches a slug, per (race, driver_id).
 
     Rules: the slug equals the full name, first plus last name, or the code; or
     it contains the last name. The containment rule becomes an equi-join on the
@@ -154,14 +153,16 @@ def _slug_matches(asked: DataFrame, names: DataFrame) -> DataFrame:
             ("whole", F.regexp_replace(lowered, r"\s", "")), ("whole", F.concat(first, last)),
             ("part", last), ("code", F.lower("code")))
     ])
-    answers = (
-        names.select(RACE, "kind", "rank", "code", F.explode(options).alias("o"))
-        .where(F.length("o.alias") > 0)
-        .groupBy(RACE, "kind", "o.form", "o.alias").agg(F.min(F.struct("rank", "code")).alias("hit"))
-    )
-    return questions.join(answers, [RACE, "form", "alias"]).groupBy(RACE, "driver_id").agg(
-        F.min(F.when(F.col("kind") == "driver", F.col("hit"))).alias("driver"),
-        F.min(F.when(F.col("kind") == "result", F.col("hit"))).alias("result"))
+    aliases = names.select(RACE, "kind", "rank", "code", F.explode(options).alias("o")).where(
+        F.length("o.alias") > 0)
+
+    def first_of(kind):
+        return F.min(F.when(F.col("kind") == kind, F.struct("rank", "code"))).alias(kind)
+
+    answers = aliases.groupBy(RACE, "o.form", "o.alias").agg(first_of("driver"), first_of("result"))
+    found = lookup(questions, answers, [RACE, "form", "alias"], "inner", limits=limits, size_of=aliases)
+    return found.groupBy(RACE, "driver_id").agg(
+        F.min("driver").alias("driver"), F.min("result").alias("result"))
 
 
 def identity_cascade(stops: DataFrame, dimension: DataFrame, results: DataFrame,
@@ -185,7 +186,7 @@ def identity_cascade(stops: DataFrame, dimension: DataFrame, results: DataFrame,
         RACE, F.lit("driver").alias("kind"), F.col("race_number").alias("rank"), "code", "full_name",
     ).unionByName(results.select(
         RACE, F.lit("result").alias("kind"), F.col("entry_order").alias("rank"), "code", "full_name"))
-    matches = _slug_matches(ids, names).select(
+    matches = _slug_matches(ids, names, limits).select(
         RACE, "driver_id", F.col("driver.rank").alias("_by_slug"), F.col("result.code").alias("_result_code"))
     by_number = dimension.select(
         RACE, F.col("race_number").alias("driver_number"), F.col("race_number").alias("_by_number")).distinct()

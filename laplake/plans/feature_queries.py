@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from laplake.constants import DRIVER_SURNAMES
+from laplake.functions.labels import driver_surname
 from laplake.functions.numbers import fixed
 from laplake.operators import catalogue, features, pits, race
 from laplake.plans.fixtures import RaceData
@@ -97,6 +99,20 @@ def _driver_summary(d: RaceData):
     return rounded(out, "fastest_lap", "avg_lap_time", "avg_deg_rate")
 
 
+_SURNAMES = " ".join(f"WHEN {number} THEN '{name}'" for number, name in DRIVER_SURNAMES.items())
+
+
+@query("name_summary", f"""
+    SELECT session_key, CASE driver_number {_SURNAMES} ELSE CAST(driver_number AS VARCHAR) END AS driver_name,
+           {r6('avg(tyre_degradation_rate)')} AS avg_deg_rate,
+           CAST(sum(CAST(should_pit_soon AS INT)) AS BIGINT) AS pit_flags
+    FROM features GROUP BY session_key, driver_number""")
+def _names(d: RaceData):
+    out = race.by_pit_flags(race.driver_summary(d.features))
+    return rounded(out.select("session_key", driver_surname("driver_number").alias("driver_name"),
+                              "avg_deg_rate", "pit_flags"), "avg_deg_rate")
+
+
 @query("batch_sample", f"""SELECT {LAP_SQL}, {r6('lap_duration')} AS lap_duration, tyre_compound,
        should_pit_soon FROM features ORDER BY {LAP_SQL} LIMIT 10""")
 def _sample(d: RaceData):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laplake.operators.features import lap_features, valid_laps
-from laplake.operators.groups import LIMITS, HotGroups, Limits, numbered
+from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup, numbered
 from laplake.operators.race import DRIVER
 
 HALF = "2024-01-16 00:00:00"
@@ -161,7 +161,7 @@ class RaceData:
                 ("season", "round_number", "driver_number", "grid_position", "finish_position",
                  "points", "laps_completed", "fastest_lap_rank")}
         people = self.people.select("driver_number", "given", "family", "code")
-        joined = self.results.join(people, "driver_number", "left")
+        joined = lookup(self.results, people, ["driver_number"], limits=self.limits)
         result = F.struct(
             text["driver_number"].alias("number"), text["finish_position"].alias("position"),
             F.coalesce(text["grid_position"], F.lit("0")).alias("grid"), text["points"].alias("points"),

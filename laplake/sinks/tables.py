@@ -42,13 +42,15 @@ class VersionedTable:
         self.partitions = list(partitions)
 
     def write(self, rows: DataFrame, version: int) -> None:
-        writer = (
-            rows.withColumn("version", F.lit(version).cast("long"))
-            .write.mode("overwrite")
+        marked = rows.withColumn("version", F.lit(version).cast("long"))
+        if self.partitions:
+            marked = marked.hint("rebalance", *self.partitions)
+        (
+            marked.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("version", *self.partitions)
+            .parquet(self.path)
         )
-        writer.parquet(self.path)
 
     def all(self) -> DataFrame:
         return self.spark.read.parquet(self.path)

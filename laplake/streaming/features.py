@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from laplake.operators.features import LAPS, LapColumns, lap_features
-from laplake.operators.groups import LIMITS, HotGroups, Limits, fits_broadcast
+from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup
 from laplake.sinks.tables import VersionedTable
 
 
@@ -61,15 +61,13 @@ class FeatureStream:
         found = touched.select(session).distinct().limit(PRUNED_SESSIONS + 1).collect()
         if len(found) <= PRUNED_SESSIONS:
             laps = laps.where(F.col(session).isin([row[0] for row in found]))
-        if fits_broadcast(touched, self.limits):
-            touched = F.broadcast(touched)
-        return laps.join(touched, list(self.cols.keys), "left_semi")
+        return lookup(laps, touched, self.cols.keys, "left_semi", limits=self.limits)
 
     def table(self) -> DataFrame:
         """Current features: for every driver the rows of the last batch that touched it."""
         newest = self.touched.all().groupBy(*self.cols.keys).agg(F.max("version").alias("version"))
-        return self.features.all().join(
-            newest, [*self.cols.keys, "version"], "left_semi").drop("version")
+        keys = [*self.cols.keys, "version"]
+        return lookup(self.features.all(), newest, keys, "left_semi", limits=self.limits).drop("version")
 
     def start(self, laps: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Follow a stream of decoded laps; by default every five seconds."""

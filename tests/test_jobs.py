@@ -2,6 +2,8 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from laplake.operators.features import lap_features
+from laplake.operators.groups import HotGroups
 from laplake.plans import jobs
 from laplake.plans.fixtures import RaceData
 from laplake.session import CHECKPOINT_CONF, cut_lineage, shared_dir
@@ -47,6 +49,20 @@ def test_race_filters_prune_folders(spark, laps, tmp_path):
     assert "ReadSchema: struct<lap_duration:double>" in plan
 
 
+def test_filters_on_keys_pass_the_windows(spark, tmp_path):
+    path = str(tmp_path / "laps")
+    laps = RaceData(spark, SMALL).laps.withColumns({"season": F.lit(2024), "round_number": F.col("session_key")})
+    laps.write.partitionBy("season", "round_number").parquet(path)
+    features = lap_features(read_races(spark, path), hot=HotGroups(["session_key", "driver_number"]))
+    chosen = features.where("driver_number = 3").select("lap_number", "rolling_avg_lap_time")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(driver_number,3)" in plan and "GreaterThan(lap_duration,60.0)" in plan
+    assert "ReadSchema: struct<session_key:int,driver_number:int,lap_number:int,lap_duration:double>" in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 class _Cluster:
     """A session that only names its settings."""
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laplake import schemas
-from laplake.functions.labels import flag_code, status_label, team_color, track_status_label
+from laplake.functions.labels import driver_surname, flag_code, status_label, team_color, track_status_label
 from laplake.functions.numbers import clean_text, fixed_text, interval_seconds, lap_time_text
 from laplake.operators import results as res
 from laplake.operators.catalogue import calendar_status, season_list_until
@@ -191,6 +191,11 @@ def test_label_tables(spark):
     assert tuple(found[1]) == ("#888888", "un", "Status 9")
 
 
+def test_driver_surnames(spark):
+    df = spark.createDataFrame([(44,), (99,)], "n int")
+    assert [r[0] for r in df.select(driver_surname("n")).collect()] == ["Hamilton", "99"]
+
+
 @pytest.mark.parametrize("seconds, text", [
     (119.9996, "2:00.000"), (90.05, "1:30.050"), (60.0, "1:00.000"), (61.0004, "1:01.000"), (125.5, "2:05.500")])
 def test_lap_time_text(spark, seconds, text):

@@ -2,6 +2,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from laplake.operators.groups import Limits
 from laplake.plans.fixtures import RaceData
 from laplake.sinks.tables import VersionedTable
 from laplake.sources import messages
@@ -56,6 +57,15 @@ def test_a_corrected_lap_can_leave_the_table(spark, data, tmp_path):
     assert job.table().count() == 0
 
 
+def test_hot_drivers_in_a_batch(spark, data, rows, tmp_path):
+    limits = Limits(group_rows=7, dimension_rows=3, estimated_bytes=0, slices=20)
+    job = FeatureStream(spark, str(tmp_path / "out"), limits=limits)
+    laps = data.laps.select(*LAP)
+    job.process(laps.where("lap_number % 2 = 0"), 0)
+    job.process(laps.where("lap_number % 2 = 1"), 1)
+    assert rows(job.table(), *NAMES) == rows(data.features, *NAMES)
+
+
 def test_empty_batches_write_nothing(spark, data, tmp_path):
     FeatureStream(spark, str(tmp_path / "out")).process(data.laps.select(*LAP).limit(0), 0)
     assert not (tmp_path / "out").exists()
