@@ -67,6 +67,23 @@ class HotGroups:
         frame = df.sparkSession.createDataFrame([tuple(row) for row in found], schema)
         return cls(keys, frame, rows)
 
+    @classmethod
+    def measure_levels(cls, df: DataFrame, outer: Sequence[str], inner: Sequence[str],
+                       limits: Limits = LIMITS) -> tuple["HotGroups", "HotGroups"]:
+        """Rows per (outer, inner) group, and inner groups per outer group.
+
+        One job finds the largest of both; only if one is too large are the
+        groups themselves looked up.
+        """
+        both = [*outer, *inner]
+        sizes = df.groupBy(*both).agg(F.count(F.lit(1)).alias("_rows"))
+        per_outer = sizes.groupBy(*outer).agg(
+            F.max("_rows").alias("_rows"), F.count(F.lit(1)).alias("_groups"))
+        rows, groups = per_outer.agg(F.max("_rows"), F.max("_groups")).first()
+        inner_hot = cls(both) if (rows or 0) <= limits.group_rows else cls.measure(df, both, limits)
+        outer_hot = cls(outer) if (groups or 0) <= limits.group_rows else cls.measure(sizes, outer, limits)
+        return inner_hot, outer_hot
+
     def __bool__(self) -> bool:
         return self.everything or self.frame is not None
 

@@ -59,13 +59,17 @@ class RaceData:
         )
 
     @cached_property
+    def _hot(self) -> tuple[HotGroups, HotGroups]:
+        return HotGroups.measure_levels(self.timed_events, ["session_key"], ["driver_number"], self.limits)
+
+    @property
     def hot_drivers(self) -> HotGroups:
-        return HotGroups.measure(self.timed_events, DRIVER, self.limits)
+        return self._hot[0]
 
-    @cached_property
+    @property
     def hot_sessions(self) -> HotGroups:
         """Sessions with more drivers than one task should rank."""
-        return HotGroups.measure(self.timed_events.select(*DRIVER).distinct(), ["session_key"], self.limits)
+        return self._hot[1]
 
     @cached_property
     def laps(self) -> DataFrame:

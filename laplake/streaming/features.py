@@ -39,30 +39,30 @@ class FeatureStream:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            if batch.isEmpty():
+            touched = batch.select(*self.cols.keys).distinct()
+            session = self.cols.keys[0]
+            sessions = touched.groupBy(session).count().limit(PRUNED_SESSIONS + 1).collect()
+            if not sessions:
                 return
             columns = [c for c in batch.columns if c not in self.lap_keys]
             once = batch.groupBy(*self.lap_keys).agg(F.max(F.struct(*columns)).alias("_row")).select(
                 *self.lap_keys, "_row.*")
             self.raw.write(once, batch_id)
-            touched = batch.select(*self.cols.keys).distinct()
             self.touched.write(touched, batch_id)
-            history = self._history(touched, batch_id)
+            laps = self.raw.all().where(F.col("version") <= batch_id)
+            few = len(sessions) <= PRUNED_SESSIONS
+            if few:  # a short list of sessions prunes folders
+                laps = laps.where(F.col(session).isin([row[0] for row in sessions]))
+            if few and sum(row["count"] for row in sessions) <= self.limits.dimension_rows:
+                history = laps.join(F.broadcast(touched), list(self.cols.keys), "left_semi")
+            else:
+                history = lookup(laps, touched, self.cols.keys, "left_semi", limits=self.limits)
             hot = HotGroups.measure(history, self.cols.keys, self.limits)
             mine = self.raw.latest(history)
             self.features.write(lap_features(mine, self.cols, hot=hot, limits=self.limits), batch_id)
         finally:
             batch.unpersist()
 
-    def _history(self, touched: DataFrame, batch_id: int) -> DataFrame:
-        """All laps of the touched drivers; a short list of sessions prunes folders."""
-        laps = self.raw.all().where(F.col("version") <= batch_id)
-        session = self.cols.keys[0]
-        found = touched.select(session).distinct().limit(PRUNED_SESSIONS + 1).collect()
-        if len(found) <= PRUNED_SESSIONS:
-            laps = laps.where(F.col(session).isin([row[0] for row in found]))
-        return lookup(laps, touched, self.cols.keys, "left_semi", limits=self.limits)
-
     def table(self) -> DataFrame:
         """Current features: for every driver the rows of the last batch that touched it."""
         newest = self.touched.all().groupBy(*self.cols.keys).agg(F.max("version").alias("version"))
