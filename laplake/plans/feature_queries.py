@@ -280,11 +280,11 @@ def _incidents(d: RaceData):
 @query("laps_since", """SELECT session_key, count(*) AS new_laps, min(lap_number) AS first_lap,
        max(lap_number) AS last_lap
        FROM laps LEFT JOIN (SELECT session_key, driver_number, CAST(max(lap_number) // 2 AS INT) AS after_lap
-                            FROM laps WHERE driver_number % 10 <> 9 GROUP BY session_key, driver_number) c
+                            FROM laps WHERE session_key = 1 GROUP BY session_key, driver_number) c
             USING (session_key, driver_number)
        WHERE lap_number > coalesce(after_lap, 0) GROUP BY session_key""")
 def _laps_since(d: RaceData):
-    # Drivers without a roster entry have no cursor yet.
-    cursors = d.laps.where("driver_number % 10 <> 9").groupBy("session_key", "driver_number").agg(
+    # The second session is new: its drivers have no cursor yet.
+    cursors = d.laps.where("session_key = 1").groupBy("session_key", "driver_number").agg(
         F.floor(F.max("lap_number") / 2).cast("int").alias("after_lap"))
     return catalogue.new_lap_range(catalogue.laps_since(d.laps, cursors))

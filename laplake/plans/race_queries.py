@@ -118,13 +118,13 @@ def _circuit(d: RaceData):
 
 @query("results_fallback", """
     SELECT season, round_number, driver_number, finish_position, grid_position, status, points,
-           CASE WHEN round_number % 3 <> 0 THEN laps_completed
+           CASE WHEN season >= 1975 THEN laps_completed
                 WHEN laps_completed % 5 = 0 THEN 0 ELSE laps_completed END AS laps_completed,
-           CASE WHEN round_number % 3 <> 0 THEN 'jolpica' ELSE 'fastf1' END AS source
+           CASE WHEN season >= 1975 THEN 'jolpica' ELSE 'fastf1' END AS source
     FROM results""")
 def _fallback(d: RaceData):
-    # The first provider lacks every third round; the second types all as text.
-    first = pages.classification(pages.parse_pages(d.race_pages)).where("round_number % 3 <> 0")
+    # The first provider starts in 1975; the second types all as text.
+    first = pages.classification(pages.parse_pages(d.race_pages)).where("season >= 1975")
     raw = d.results.select(
         "season", "round_number", F.col("driver_number").cast("string").alias("driver_number"),
         F.lit("nan").alias("abbreviation"), F.lit("").alias("full_name"), F.lit("<NA>").alias("team"),
@@ -274,11 +274,11 @@ _FLAGS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.COUNTRY_CODES.items())
 @query("calendar_status", f"""
     SELECT season, round_number AS round, CASE country {_FLAGS} ELSE 'un' END AS flag,
            strftime(CAST(race_date AS DATE), '%-d %b') AS short_date,
-           CAST(race_date AS DATE) < DATE '{CUT}' AS is_past, race_no % 3 <> 0 AS is_processed
+           CAST(race_date AS DATE) < DATE '{CUT}' AS is_past, country <> 'Japan' AS is_processed
     FROM races""")
 def _calendar_status(d: RaceData):
     calendar = pages.calendar(pages.parse_pages(d.race_pages))
-    done = d.races.where("race_no % 3 <> 0").select("season", "round_number")
+    done = d.races.where("country <> 'Japan'").select("season", "round_number")
     out = catalogue.calendar_status(calendar, done, F.lit(CUT).cast("date"))
     return out.select("season", "round", "flag", "short_date", "is_past", "is_processed")
 
@@ -290,11 +290,11 @@ def _seasons(d: RaceData):
 
 
 @query("available_races", """SELECT season, round_number, CAST(count(*) OVER (PARTITION BY season) AS BIGINT) AS races
-       FROM races WHERE race_no % 3 <> 0""")
+       FROM races WHERE country <> 'Japan'""")
 def _available(d: RaceData):
     # Folder names of processed races, among them folders that name no race.
     done = d.races.select(F.when(
-        F.col("race_no") % 3 != 0, F.concat(F.col("season"), F.lit("_round"), F.col("round_number")),
+        F.col("country") != "Japan", F.concat(F.col("season"), F.lit("_round"), F.col("round_number")),
     ).otherwise(F.concat(F.lit("tmp_"), F.col("season"))).alias("folder"))
     found = tables.available_races(tables.race_folders(done))
     return race.lookup(found, tables.races_per_season(found), ["season"])
@@ -352,10 +352,10 @@ def _probe(d: RaceData):
 
 @query("circuit_names", """
     SELECT r.season, r.round_number, r.driver_number, r.finish_position,
-           CASE WHEN race_no % 5 = 0 THEN 'Unknown' ELSE replace(race_name, ' Grand Prix', '') END AS circuit_name
+           CASE WHEN season < 1960 THEN 'Unknown' ELSE replace(race_name, ' Grand Prix', '') END AS circuit_name
     FROM results r""")
 def _circuit_names(d: RaceData):
-    calendar = d.races.where("race_no % 5 <> 0").select(
+    calendar = d.races.where("season >= 1960").select(
         "season", F.col("round_number").alias("round"),
         F.replace("race_name", F.lit(" Grand Prix"), F.lit("")).alias("name"))
     rows = d.results.select("season", "round_number", "driver_number", "finish_position")
@@ -363,19 +363,19 @@ def _circuit_names(d: RaceData):
 
 
 @query("backfill_plan", """SELECT DISTINCT season, round_number, replace(race_name, ' Grand Prix', ' GP') AS race_name,
-       race_no % 3 <> 0 AS skip FROM results""")
+       country <> 'Japan' AS skip FROM results""")
 def _plan(d: RaceData):
     return _backfill_plan(d)
 
 
 def _backfill_plan(d: RaceData):
-    done = d.races.where("race_no % 3 <> 0").select("season", "round_number")
+    done = d.races.where("country <> 'Japan'").select("season", "round_number")
     return jobs.backfill_plan(catalogue.completed_rounds(d.results), done)
 
 
 @query("backfill_audit", """
     SELECT outcome, count(*) AS races FROM (
-      SELECT CASE WHEN any_value(race_no) % 3 <> 0 THEN 'skipped'
+      SELECT CASE WHEN any_value(country) <> 'Japan' THEN 'skipped'
                   WHEN count(*) FILTER (laps_completed > 60) > 0 THEN 'succeeded' ELSE 'failed' END AS outcome
       FROM results GROUP BY season, round_number) GROUP BY outcome""")
 def _audit(d: RaceData):
