@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laplake.llm.decontaminate import find_contamination
+from laplake.llm.frames import remainder
+from laplake.llm.language import identify_language, train_language
 from laplake.llm.packing import pack
+from laplake.llm.quality import score_quality, train_quality
 from laplake.llm.token_counts import count_tokens
 from laplake.llm.token_files import read_token_files, write_token_files
 from laplake.session import new_folder
@@ -89,3 +92,27 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_token_files(table(spark, sf_dir, "documents"), path)
     read = read_token_files(spark, path)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _train_language(documents: DataFrame):
+    return train_language(documents.where(remainder("doc_id", 3) != 1))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = identify_language(documents.select("doc_id", "text"), _train_language(documents))
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def _train_quality(documents: DataFrame, labels: DataFrame):
+    return train_quality(documents, labels.where(remainder("doc_id", 3) != 1))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score_quality(documents, _train_quality(documents, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
