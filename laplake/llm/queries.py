@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from laplake.llm.decontaminate import find_contamination
 from laplake.llm.frames import remainder
 from laplake.llm.language import identify_language, train_language
+from laplake.llm.near_dedup import near_duplicates
 from laplake.llm.packing import pack
 from laplake.llm.quality import score_quality, train_quality
 from laplake.llm.token_counts import count_tokens
@@ -116,3 +117,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+grams AS (
+    SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(5, len(w)) - 1], ' ')) AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+    FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common c JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+    WHERE 100 * c.n >= 75 * (s.n + t.n - c.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT a AS root, a AS node FROM both_ways
+    UNION
+    SELECT r.root, b.b FROM reach r JOIN both_ways b ON b.a = r.node),
+lowest AS (SELECT node, min(root) AS component FROM reach GROUP BY node)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(l.component, w.doc_id) AS component_id,
+    coalesce(l.component, w.doc_id) = w.doc_id AS kept
+FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN lowest l ON l.node = w.doc_id
+"""
