@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laplake.llm.chat import (
+    branches,
+    format_branches,
+    read_loss,
+    read_turns,
+    turns_as_replies,
+)
 from laplake.llm.decontaminate import find_contamination
 from laplake.llm.frames import remainder
 from laplake.llm.language import identify_language, train_language
 from laplake.llm.near_dedup import near_duplicates
+from laplake.llm.nearest import nearest
 from laplake.llm.packing import pack
 from laplake.llm.quality import score_quality, train_quality
 from laplake.llm.token_counts import count_tokens
@@ -150,3 +158,38 @@ SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(l.comp
     coalesce(l.component, w.doc_id) = w.doc_id AS kept
 FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN lowest l ON l.node = w.doc_id
 """
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    whole = format_branches(branches(turns_as_replies(rows)))
+    read = whole.withColumns({"turns": read_turns("formatted"), "under": read_loss()})
+    text = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(text, 256).alias("turns_sha256"), F.length("under").cast("long").alias("loss_chars"),
+        F.sha2("under", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+ORACLES["op6_chat_format"] = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(20 + 2 * length(role || text) - length(translate(role || text, '\<[', ''))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+@query
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.where("vec_id % 20 = 0"))
