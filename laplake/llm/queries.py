@@ -17,6 +17,7 @@ from laplake.llm.chat import (
 from laplake.llm.decontaminate import find_contamination
 from laplake.llm.frames import remainder
 from laplake.llm.language import identify_language, train_language
+from laplake.llm.lm_score import lm_scores
 from laplake.llm.near_dedup import near_duplicates
 from laplake.llm.nearest import nearest
 from laplake.llm.packing import pack
@@ -193,3 +194,10 @@ FROM rows GROUP BY conv_id
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scores(documents, remainder("doc_id", 7) != 2).withColumn(
+        "held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
