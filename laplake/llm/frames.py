@@ -39,6 +39,20 @@ def attach(df: DataFrame, fields: Iterable[StructField], compute: Callable) -> D
     return df.mapInArrow(run, StructType([*kept, *fields]))
 
 
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join with a column of numeric ids.
+
+    The ids go to all tasks only while a count shows that they are few; beyond
+    that both sides are shuffled.
+    """
+    ids = ids.distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, how)
+
+
 def remainder(column: Column | str, of: int) -> Column:
     """crc32 of a value as text, modulo ``of``: the split of rows into folds."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % of

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from laplake.llm.components import connected_components
-from laplake.llm.frames import staged
+from laplake.llm.frames import by_ids, staged
 from laplake.llm.text import (
     blank_class,
     flat_bytes,
@@ -46,7 +46,6 @@ BITS = 2  # kept of each minimum
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
 DEVIATIONS = 6  # standard deviations that an estimate may lie too low
-BROADCAST_IDS = 1_000_000  # ids of eight bytes
 HUB_ROUNDS = 2
 
 
@@ -158,11 +157,8 @@ def sketches(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _sets_of(documents: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, shingles) of the given documents."""
-    nodes = nodes.select("node").distinct()
-    # The ids are sent to all tasks only while a count shows that they are few.
-    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = documents.select(F.col(doc_id).alias("node"), F.col(text).alias("text")).join(
-        F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    chosen = by_ids(
+        documents.select(F.col(doc_id).alias("node"), F.col(text).alias("text")), nodes.select("node"), "node", "left_semi")
 
     def run(batches):
         for batch in batches:
