@@ -9,10 +9,11 @@ threshold; the rest is confirmed on the full shingle sets.
 
 Inside a bucket not all pairs are formed. First all members meet the bucket's
 smallest one. Links make components, and in further rounds only members of
-different components of one bucket meet, by new hubs and, at last, each of the
-few that are left with all that are not of its component. So a pair stays
-untested only where both are in one component already, and no link between
-components is lost.
+different components of one bucket meet, by other hubs in every bucket. At last,
+each of the few that are still outside the bucket's main component has its packed
+bits compared with those of all members of other components, block by block, and
+only near ones become rows. So a pair stays untested only where both are in one
+component already, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ BITS = 2  # kept of each minimum
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
 DEVIATIONS = 6  # standard deviations that an estimate may lie too low
-HUB_ROUNDS = 2
+HUB_ROUNDS = 2  # after the first, with other hubs
+BLOCK = 1024  # members of one bucket that meet at a time in the last round
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +125,13 @@ def estimated(left: Column | str, right: Column | str) -> Column:
     return (1 - differ / HASHES - chance) / (1 - chance)
 
 
+def least_estimate(percent: int) -> float:
+    """An estimate that a pair at the threshold stays below only by more than ``DEVIATIONS``."""
+    chance = 1 / (1 << BITS)
+    agree = chance + (1 - chance) * percent / 100
+    return percent / 100 - DEVIATIONS * math.sqrt(agree * (1 - agree) / HASHES) / (1 - chance)
+
+
 def sketches(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, n, two halves of the set's digest, band keys, packed bits) of every row."""
 
@@ -186,13 +195,9 @@ class _Links:
         side = self.classes.select("node", "n", "bits")
         for name in ("a", "b"):
             pairs = pairs.join(side.withColumnsRenamed({"node": name, "n": f"n_{name}", "bits": f"bits_{name}"}), name)
-        t = self.percent / 100
-        chance = 1 / (1 << BITS)
-        agree = chance + (1 - chance) * t
-        margin = DEVIATIONS * math.sqrt(agree * (1 - agree) / HASHES) / (1 - chance)
         return pairs.where(
             (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
-            & (estimated("bits_a", "bits_b") >= t - margin)).select("a", "b")
+            & (estimated("bits_a", "bits_b") >= least_estimate(self.percent))).select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> DataFrame | None:
         """The pairs that are links on full sets; None if there is nothing new to test."""
@@ -233,31 +238,22 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     members = staged(placed.join(shared.select("key", "hub"), "key"), "buckets")
     links = _Links(documents, classes, doc_id, text, percent)
 
-    found = links.confirm(
+    edges = links.confirm(
         members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    edges = found
-    components = None if edges is None else staged(connected_components(edges), "components")
-    for round_number in range(HUB_ROUNDS):
-        if components is None:
-            break
-        last = round_number == HUB_ROUNDS - 1
-        pairs, members = _open_pairs(members, components, round_number, everything=last)
+    if edges is None:
+        edges = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    components = staged(connected_components(edges), "components")
+    for salt in range(HUB_ROUNDS + 1):
+        members = _open_buckets(members, components, salt)
+        pairs = _hub_pairs(members) if salt < HUB_ROUNDS else _all_pairs(members, classes, percent)
         found = links.confirm(pairs)
         if found is not None:
             edges = edges.union(found)
             components = staged(connected_components(edges), "components")
-    if components is None:
-        # No bucket's hub is linked: all pairs of a bucket are open.
-        pairs, _ = _open_pairs(members, None, 0, everything=True)
-        found = links.confirm(pairs)
-        components = None if found is None else connected_components(found)
 
     named = classes.select("d1", "d2", "node")
-    if components is not None:
-        named = named.join(components, "node", "left").select(
-            "d1", "d2", F.coalesce("component", "node").alias("component"))
-    else:
-        named = named.select("d1", "d2", F.col("node").alias("component"))
+    named = named.join(components, "node", "left").select(
+        "d1", "d2", F.coalesce("component", "node").alias("component"))
     joined = rows.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return joined.select(
@@ -265,33 +261,79 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _open_pairs(members: DataFrame, components: DataFrame | None, salt: int, everything: bool):
-    """Pairs of one bucket and different components, and the buckets that still hold such.
+def _open_buckets(members: DataFrame, components: DataFrame, salt: int) -> DataFrame:
+    """(key, node, c, hub, hub_c, main) of the buckets that hold several components.
 
-    Either with a new hub per bucket, the member with the smallest salted hash, or
-    of every member outside the component of the old hub with all others.
+    ``c`` is a member's component, ``hub`` a member by a hash of its own in every
+    bucket and round, ``main`` the component with most members.
     """
-    members = members.select("key", "node", "hub")
-    if components is None:
-        members = members.withColumns({"c": F.col("node"), "hub_c": F.col("hub")})
-    else:
-        named = components.withColumnRenamed("component", "c")
-        members = members.join(named, "node", "left").withColumn("c", F.coalesce("c", "node"))
-        hubs = named.withColumnsRenamed({"node": "hub", "c": "hub_c"})
-        members = members.join(hubs, "hub", "left").withColumn("hub_c", F.coalesce("hub_c", "hub"))
+    named = components.withColumnRenamed("component", "c")
+    members = members.select("key", "node").join(named, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    order = F.xxhash64("key", "node", F.lit(salt))
     mixed = members.groupBy("key").agg(
-        F.min("c").alias("c0"), F.max("c").alias("c1"),
-        F.min_by("node", F.xxhash64("node", F.lit(salt))).alias("hub2"),
-        F.min_by("c", F.xxhash64("node", F.lit(salt))).alias("hub2_c")).where("c0 <> c1")
-    members = staged(members.join(mixed.select("key", "hub2", "hub2_c"), "key"), "open-buckets")
-    if not everything:
-        pairs = members.where("c <> hub2_c").select(
-            F.least("node", "hub2").alias("a"), F.greatest("node", "hub2").alias("b"))
-    else:
-        left = members.where("c <> hub_c").select("key", F.col("node").alias("x"), F.col("c").alias("x_c"))
-        right = members.select("key", F.col("node").alias("y"), F.col("c").alias("y_c"), "hub_c")
-        # Two members that are both outside meet once.
-        both = left.join(right, "key").where(
-            (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("hub_c")) | (F.col("x") < F.col("y"))))
-        pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return pairs.distinct(), members.select("key", "node", "hub")
+        F.min("c").alias("c0"), F.max("c").alias("c1"), F.mode("c").alias("main"),
+        F.min_by("node", order).alias("hub"), F.min_by("c", order).alias("hub_c"), F.count(F.lit(1)).alias("size"),
+    ).where("c0 <> c1").drop("c0", "c1")
+    return staged(members.join(mixed, "key"), "open-buckets")
+
+
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Each member with its bucket's hub, where that is of another component."""
+    return members.where("c <> hub_c").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def _all_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All near pairs of one bucket and different components, by their packed bits."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    wide = members.join(classes.select("node", "n", "bits"), "node").select(
+        "key", "node", "c", "main", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    # Members outside the main component are on the left, all members on the right.
+    left = wide.where("c <> main").select(
+        "key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("outside"), "node", "c", "main", "n", "bits")
+    right = wide.select(
+        "key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("outside"), "node", "c", "main", "n", "bits")
+    rows = left.union(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    least = least_estimate(percent)
+    chance = 1 / (1 << BITS)
+    most = HASHES * (1 - chance) * (1 - least) + 1e-9  # minima that may differ
+    every_other = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+
+    def near(table: pa.Table):
+        outside = table.column("outside").to_numpy()
+        node, c, main, n = (table.column(k).to_numpy() for k in ("node", "c", "main", "n"))
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, LONGS).view(np.uint64)
+        x_all, y_all = np.flatnonzero(outside), np.flatnonzero(~outside)
+        for at in range(0, len(x_all), 256):
+            x, y = x_all[at:at + 256, None], y_all[None, :]
+            differ = np.zeros((x.shape[0], y.shape[1]), dtype=np.int32)
+            for k in range(LONGS):
+                d = bits[x, k] ^ bits[y, k]
+                for shift in range(1, BITS):
+                    d |= d >> np.uint64(shift)
+                differ += np.bitwise_count(d & every_other)
+            good = (differ <= most) & (c[x] != c[y]) & ((c[y] == main[y]) | (node[x] < node[y]))
+            good &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+            i, j = np.nonzero(good)
+            if len(i):
+                a, b = node[x[i, 0]], node[y[0, j]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            key, i, j = (table.column(k).to_numpy() for k in ("key", "i", "j"))
+            change = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            cuts = [0, *change.tolist()]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                yield from near(table.slice(s, e - s))
+            rest = table.slice(cuts[-1])
+        if rest is not None:
+            yield from near(rest)
+
+    kind = members.schema["node"].dataType
+    return rows.mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)])).distinct()
