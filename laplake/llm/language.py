@@ -170,7 +170,7 @@ def identify_language(documents: DataFrame, net: ByteConvNet | None, text: str =
             else:
                 windows, owner, filled = cut_windows(lowered(data), bounds, window)
                 weighted = net.probabilities(windows) * filled[:, None]
-                total = np.stack([np.bincount(owner, c, minlength=to - at) for c in weighted.T], axis=1)
+                total = np.stack([np.bincount(owner, c, minlength=to - at) for c in weighted.T], axis=1).astype(float)
                 total /= np.maximum(1, np.diff(bounds))[:, None]
             best = total.argmax(axis=1)
             names += [net.classes[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)]

@@ -28,7 +28,7 @@ from pyspark.sql.types import (
 
 from laplake.llm.frames import binary_array, staged
 
-TABLES, PROJECTIONS, STEP, PROBES = 4, 4, 2.0, 10
+TABLES, PROJECTIONS, STEP, PROBES = 4, 4, 2.0, 12
 BLOCK = 1024  # vectors, or queries, of one bucket that meet at a time
 
 
