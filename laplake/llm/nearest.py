@@ -6,7 +6,8 @@ into steps; the steps are the bucket. A query visits, in every table, its own
 bucket and the neighbours reached by moving some projections one step, in order
 of the estimated chance that they hold near vectors. All vectors of the visited
 buckets are scored exactly, block by block, and only the best of each block go
-on, so no pair is ever a row. Buckets of any size are split into blocks.
+on, so no pair is ever a row. The own buckets come first; what is found there is
+the bar for all others. Buckets of any size are split into blocks.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def usable_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def _placed(vectors: DataFrame, hashing: tuple, longest: float, probes: int | None) -> DataFrame:
-    """(bucket, id, vector) of every table: the own bucket, or all that a query visits."""
+    """(bucket, visit, id, vector) of every table: the own bucket, or all that a query visits, numbered from 0."""
 
     def run(batches):
         for batch in batches:
@@ -103,15 +104,16 @@ def _placed(vectors: DataFrame, hashing: tuple, longest: float, probes: int | No
                 for at in range(0, len(again), 1 << 14):
                     rows = again[at:at + (1 << 14)]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(buckets.reshape(-1)[at:at + (1 << 14)]), part.column("id").take(pa.array(rows)),
-                        binary_array(x[rows].ravel(), np.full(len(rows), dimension))], names=["bucket", "id", "vector"])
+                        pa.array(buckets.reshape(-1)[at:at + (1 << 14)]),
+                        pa.array((np.arange(at, at + len(rows)) % (probes or 1)).astype(np.int32)), part.column("id").take(pa.array(rows)),
+                        binary_array(x[rows].ravel(), np.full(len(rows), dimension))], names=["bucket", "visit", "id", "vector"])
 
     return vectors.mapInArrow(run, StructType([
-        StructField("bucket", LongType()), vectors.schema["id"], StructField("vector", BinaryType())]))
+        StructField("bucket", LongType()), StructField("visit", IntegerType()), vectors.schema["id"], StructField("vector", BinaryType())]))
 
 
-def _best_of_block(k: int, id_type):
-    """Exact scores of a block of vectors for a block of queries; the k best of each query."""
+def _best_of_block(k: int):
+    """Exact scores of a block of vectors for a block of queries; the k best of each query that reach its bar."""
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         return np.stack([np.frombuffer(v, dtype=np.float64) for v in column.to_pylist()])
@@ -126,12 +128,14 @@ def _best_of_block(k: int, id_type):
         asked = right.column("id").to_numpy()
         scores = q @ x.T
         scores[asked[:, None] == ids[None, :]] = -np.inf
+        least = right.column("bar").to_numpy()
         if scores.shape[1] > k:
             # Rounding of the product must not decide: near the bar, all are scored again.
             bar = np.partition(scores, -k, axis=1)[:, -k]
             bar = bar - 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0)))
         else:
             bar = np.full(len(q), -np.finfo(np.float64).max)
+        bar = np.maximum(bar, least - 1e-9 * (1 + np.abs(least)))
         row, column = np.nonzero((scores >= bar[:, None]) & np.isfinite(scores))
         exact = np.empty(len(row))
         for at in range(0, len(row), 1 << 15):
@@ -140,7 +144,7 @@ def _best_of_block(k: int, id_type):
         order = np.lexsort((ids[column], -exact, row))
         row, column, exact = row[order], column[order], exact[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank < k
+        keep = (rank < k) & (exact >= least[row])
         return pa.table({
             "query_id": right.column("id").take(pa.array(row[keep])), "vec_id": left.column("id").take(pa.array(column[keep])),
             "score": exact[keep]})
@@ -165,26 +169,38 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
     index = staged(_placed(corpus, hashing, longest * (1 + 1e-9), None), "ann-index")
     visits = staged(_placed(asked, hashing, longest, probes), "ann-visits")
 
+    own, others = visits.where("visit = 0"), visits.where("visit > 0")
+    lowest = -float(np.finfo(np.float64).max)
+    first = staged(_search(index, own.withColumn("bar", F.lit(lowest)), k, block), "ann-first")
+    bars = _ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bar"))
+    barred = others.join(bars, "id", "left").withColumn("bar", F.coalesce("bar", F.lit(lowest)))
+    return _ranked(first.union(_search(index, barred, k, block)), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(index: DataFrame, visits: DataFrame, k: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score): each query with the best of every block of the buckets that it visits."""
+
     def blocks(frame: DataFrame, name: str) -> DataFrame:
         return frame.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
 
-    sizes = staged(blocks(index, "parts").join(blocks(visits, "query_parts"), "bucket"), "ann-buckets")
+    sizes = blocks(index, "parts").join(blocks(visits, "query_parts"), "bucket")
 
-    def split(frame: DataFrame, own: str, other: str) -> DataFrame:
+    def split(frame: DataFrame, own: str, other: str, *more: str) -> DataFrame:
         """Each row in its own block, once for every block of the other side."""
         mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
         return frame.join(sizes, "bucket").select(
             "bucket", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), "id",
-            F.col("vector").alias("id_vector"))
+            F.col("vector").alias("id_vector"), *more)
 
     keys = ("bucket", "parts", "query_parts")
     left = split(index, "parts", "query_parts").groupBy(*keys)
-    right = split(visits, "query_parts", "parts").groupBy(*keys)
-    id_field = index.schema["id"]
-    found = left.cogroup(right).applyInArrow(_best_of_block(k, id_field.dataType), StructType([
-        StructField("query_id", id_field.dataType), StructField("vec_id", id_field.dataType),
-        StructField("score", DoubleType())]))
+    right = split(visits, "query_parts", "parts", "bar").groupBy(*keys)
+    id_type = index.schema["id"].dataType
+    return left.cogroup(right).applyInArrow(_best_of_block(k), StructType([
+        StructField("query_id", id_type), StructField("vec_id", id_type), StructField("score", DoubleType())]))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = merged.withColumn("rank", F.row_number().over(order).cast(IntegerType())).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return merged.withColumn("rank", F.row_number().over(order).cast(IntegerType())).where(F.col("rank") <= k)
