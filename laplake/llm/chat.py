@@ -1,9 +1,10 @@
 """Conversations from reply trees.
 
 Messages point to the message they answer. Self-joins that double in reach give
-every message its path from the root: after n rounds paths of 2**n messages are
-known. Leaves' paths are the branches; they are ranked by score within their
-tree, and each chosen one is written as one conversation:
+each message's ancestors at the distances 1, 2, 4 and so on; from these the path
+from every leaf to its root is unfolded, one row per step. The branches are
+ranked by score within their tree, and each chosen one is written as one
+conversation:
 
     <s>role[INST]text[/INST]</s><s>role[INST]text[/INST]</s>...
 
@@ -14,6 +15,8 @@ is the list of character ranges that hold assistant texts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,32 +54,44 @@ def turns_as_replies(conversations: DataFrame, tree: str = "conv_id", turn: str
         F.col(role).alias("role"), F.col(text).alias("text"), F.lit(0.0).alias("score"))
 
 
-def reply_paths(messages: DataFrame) -> DataFrame:
-    """(tree, node, path): the nodes from the root down to each message.
+def ancestors(messages: DataFrame) -> list[DataFrame]:
+    """(tree, node, above) at the distances 1, 2, 4, ... for the messages that have such an ancestor.
 
-    A message without parent, or whose parent is missing, is a root. Messages on
-    a circle, or below one, have no path. Node ids are unique within a tree; the
-    tree id may be null and is then a tree of its own.
+    Below and on a circle there is no end of ancestors; the last table is then at a
+    distance of more than the number of all messages.
     """
     links = messages.select("tree", "node", "parent")
-    known = links.select("tree", F.col("node").alias("parent")).withColumn("_known", F.lit(True))
-    found = join_on(links, known, ["tree", "parent"], "left")
-    paths = staged(found.select(
-        "tree", "node", F.when(F.col("_known"), F.col("parent")).alias("above"), F.array("node").alias("path")), "paths")
-    total, reach = None, 1
-    while True:
-        rows, waiting = paths.agg(F.count(F.lit(1)), F.count("above")).first()
-        total = rows if total is None else total
-        if not waiting or reach > total:
-            break
-        upper = paths.select(
-            "tree", F.col("node").alias("above"), F.col("above").alias("_above"), F.col("path").alias("_path"))
-        joined = join_on(paths, upper, ["tree", "above"], "left")
-        paths = staged(joined.select(
-            "tree", "node", F.col("_above").alias("above"),
-            F.concat(F.coalesce("_path", F.array().cast(paths.schema["path"].dataType)), "path").alias("path")), "paths")
+    total = links.count()
+    known = links.select("tree", F.col("node").alias("parent"))
+    found = join_on(links.where(F.col("parent").isNotNull()), known, ["tree", "parent"], "left_semi")
+    tables, reach = [staged(found.select("tree", "node", F.col("parent").alias("above")), "ancestors")], 1
+    while reach <= total and not tables[-1].isEmpty():
+        last = tables[-1]
+        upper = last.select("tree", F.col("node").alias("above"), F.col("above").alias("_above"))
+        further = join_on(last, upper, ["tree", "above"], "inner").select("tree", "node", F.col("_above").alias("above"))
+        tables.append(staged(further, "ancestors"))
         reach *= 2
-    return paths.where(F.col("above").isNull()).select("tree", "node", "path")
+    return tables
+
+
+def reply_paths(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, node, at): one row per message on the path of each leaf; ``at`` grows from the root.
+
+    A message without parent, or whose parent is missing, is a root. Leaves below
+    a circle have no path. Node ids are unique within a tree; the tree id may be
+    null and is then a tree of its own.
+    """
+    tables = ancestors(messages)
+    parents = messages.where(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("node")).distinct()
+    leaves = join_on(messages.select("tree", "node"), parents, ["tree", "node"], "left_anti")
+    leaves = join_on(leaves, tables[-1].select("tree", "node"), ["tree", "node"], "left_anti")
+    parts = [staged(leaves.select(
+        "tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("at")), "reply-paths")]
+    for power in reversed(range(len(tables) - 1)):
+        above = join_on(reduce(DataFrame.union, parts), tables[power], ["tree", "node"], "inner").select(
+            "tree", "leaf", F.col("above").alias("node"), (F.col("at") - (1 << power)).alias("at"))
+        parts.append(staged(above, "reply-paths"))
+    return reduce(DataFrame.union, parts)
 
 
 def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
@@ -85,9 +100,7 @@ def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
     A branch's score is the mean of its messages' scores, null counting as 0. The
     ``best`` branches of each tree are taken, or all; equal scores by leaf id.
     """
-    parents = messages.where(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("node")).distinct()
-    leaves = join_on(reply_paths(messages), parents, ["tree", "node"], "left_anti")
-    steps = leaves.select("tree", F.col("node").alias("leaf"), F.posexplode("path").alias("at", "node"))
+    steps = reply_paths(messages)
     scores = messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score"))
     scored = join_on(steps, scores, ["tree", "node"], "inner").groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
     ranked = scored.withColumn(

@@ -201,8 +201,10 @@ def test_branches_of_a_reply_tree(spark):
         (None, 7, None, "user", "no tree", 0.0), (3, 1, 2, "user", "circle", 0.0), (3, 2, 1, "user", "circle", 0.0),
         (4, 8, 77, "user", "orphan", 0.0), (4, 9, 8, "assistant", "reply", 0.0)]
     df = spark.createDataFrame([(*r, "x") for r in rows], MESSAGES + ", leaf string").drop("leaf")
-    paths = {(r["tree"], r["node"]): r["path"] for r in reply_paths(df).collect()}
-    assert paths[(1, 4)] == [1, 2, 4] and paths[(None, 7)] == [7] and paths[(4, 9)] == [8, 9] and (3, 1) not in paths
+    paths = {}
+    for r in reply_paths(df).orderBy("at").collect():
+        paths.setdefault((r["tree"], r["leaf"]), []).append(r["node"])
+    assert paths == {(1, 4): [1, 2, 4], (1, 5): [1, 3, 5], (None, 7): [7], (4, 9): [8, 9], (2, 1): [1]}
     every = branches(df, best=None).select("tree", "leaf", "rank").distinct().collect()
     assert {(1, 4, 1), (1, 5, 2), (4, 9, 1), (2, 1, 1), (None, 7, 1)} == {tuple(r) for r in every}
     best = format_branches(branches(df)).where("tree = 1").select(
