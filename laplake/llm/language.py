@@ -83,10 +83,12 @@ class ByteConvNet:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 5, batch: int = 128, seed: int = 11):
+    def train(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 5, least_steps: int = 200,
+              batch: int = 64, seed: int = 11):
         """Cross-entropy, with the gradient of a maximum going to the place that gave it."""
         draw = np.random.default_rng(seed)
         adam = Adam([*self.tables, self.weights, self.bias])
+        epochs = max(epochs, -(-least_steps // -(-len(windows) // batch)))
         for epoch in range(epochs):
             adam.rate = 0.01 * (1 - epoch / epochs)
             order = draw.permutation(len(windows))

@@ -35,7 +35,7 @@ def test_gradient_goes_to_the_maximum():
     net = ByteConvNet(["a", "b"], widths=(2,), filters=3)
     windows = np.array([list(b"hello world 1234"), list(b"quite other text")], dtype=np.uint8)
     before = -np.log(net.probabilities(windows)[[0, 1], [0, 1]]).sum()
-    net.train(windows, np.array([0, 1]), epochs=300)
+    net.train(windows, np.array([0, 1]), least_steps=300)
     assert -np.log(net.probabilities(windows)[[0, 1], [0, 1]]).sum() < before / 4
 
 
