@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
-@F.pandas_udf(StringType())
-def _fold(names: pd.Series) -> pd.Series:
-    def fold(text):
-        if text is None:
-            return None
-        decomposed = unicodedata.normalize("NFD", text)
-        return "".join(ch for ch in decomposed if ord(ch) < 128).lower()
-
-    return names.map(fold)
+@cache
+def _accented() -> tuple[str, str]:
+    """Characters that decompose into an ASCII character and accents, and those ASCII characters."""
+    found = [
+        (chr(code), plain) for code in range(0x80, sys.maxunicode + 1)
+        if ord(plain := unicodedata.normalize("NFD", chr(code))[0]) < 0x80
+    ]
+    return "".join(c for c, _ in found), "".join(p for _, p in found)
 
 
 def fold_name(name: Column | str) -> Column:
-    """Decompose accents, drop what is not ASCII, lower-case.
-
-    No built-in collation deletes letters such as a slashed o, so this is the
-    one vectorised function; callers apply it to distinct names only.
-    """
-    return _fold(F.col(name) if isinstance(name, str) else name)
+    """Decompose accents, drop what is not ASCII, lower-case."""
+    column = F.col(name) if isinstance(name, str) else name
+    return F.lower(F.regexp_replace(F.translate(column, *_accented()), r"[^\x00-\x7F]", ""))
 
 
 def first_word(name: Column) -> Column:

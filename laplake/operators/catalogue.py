@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from laplake.constants import FIRST_SEASON
 from laplake.functions.labels import flag_code, race_short_name
-from laplake.operators.groups import LIMITS, Limits, lookup
+from laplake.operators.groups import lookup
 
 RACE = ("season", "round_number")
 
@@ -27,14 +27,13 @@ def season_list_until(spark: SparkSession, year: Column | None = None, first: in
     return season_list(spark.range(1).select(newest.alias("season")), first)
 
 
-def calendar_status(calendar: DataFrame, processed: DataFrame, today: Column | None = None,
-                    limits: Limits = LIMITS) -> DataFrame:
+def calendar_status(calendar: DataFrame, processed: DataFrame, today: Column | None = None) -> DataFrame:
     """Calendar rows with flag code, short date, past mark and processed mark."""
     day = F.col("date").try_cast("date")
     now = F.current_date() if today is None else today
     done = processed.select("season", F.col("round_number").alias("round")).distinct().withColumn(
         "_done", F.lit(True))
-    return lookup(calendar, done, ["season", "round"], limits=limits).withColumns({
+    return lookup(calendar, done, ["season", "round"]).withColumns({
         "flag": flag_code("country"),
         "short_date": F.coalesce(F.date_format(day, "d MMM"), F.lit("")),
         "is_past": F.coalesce(day < now, F.lit(False)),
@@ -42,11 +41,11 @@ def calendar_status(calendar: DataFrame, processed: DataFrame, today: Column | N
     }).drop("_done")
 
 
-def circuit_names(rows: DataFrame, calendar: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def circuit_names(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     """Add the circuit's race name by season and round, ``Unknown`` where missing."""
     names = calendar.groupBy("season", F.col("round").alias("round_number")).agg(
         F.min("name").alias("_name"))
-    return lookup(rows, names, list(RACE), limits=limits).withColumn(
+    return lookup(rows, names, list(RACE)).withColumn(
         "circuit_name", F.coalesce("_name", F.lit("Unknown"))).drop("_name")
 
 
@@ -77,18 +76,18 @@ def sessions_with_data(sessions: DataFrame, laps: DataFrame, years: Sequence[int
         F.desc("year"), F.desc("date_start"), F.desc("session_key"))
 
 
-def first_lap_counts(sessions: DataFrame, laps: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def first_lap_counts(sessions: DataFrame, laps: DataFrame) -> DataFrame:
     """Number of first-lap rows of every session."""
     counts = laps.where(F.col("lap_number") == 1).groupBy("session_key").agg(
         F.count(F.lit(1)).alias("records"))
-    return lookup(sessions, counts, ["session_key"], limits=limits).withColumn(
+    return lookup(sessions, counts, ["session_key"]).withColumn(
         "records", F.coalesce("records", F.lit(0)))
 
 
-def laps_since(laps: DataFrame, cursors: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def laps_since(laps: DataFrame, cursors: DataFrame) -> DataFrame:
     """Laps after each driver's own cursor; no cursor means all laps."""
     keys = ["session_key", "driver_number"]
-    return lookup(laps, cursors, keys, limits=limits).where(
+    return lookup(laps, cursors, keys).where(
         F.col("lap_number") > F.coalesce("after_lap", F.lit(0))).drop("after_lap")
 
 

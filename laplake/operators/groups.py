@@ -25,13 +25,10 @@ from laplake.session import cut_lineage
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes that one task or one broadcast may reach."""
+    """Rows that one task may hold of a group, and hot keys that are broadcast."""
 
     group_rows: int = 1_000_000
     hot_groups: int = 10_000
-    dimension_rows: int = 200_000
-    estimated_bytes: int = 1_000_000
-    slices: int = 20_000
 
 
 LIMITS = Limits()
@@ -126,7 +123,7 @@ def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     as many slices as it needs. The result is checkpointed: slice numbers must
     not change when a lost task is run again.
     """
-    count = min(limits.slices, max(2, math.ceil(2 * rows / limits.group_rows)))
+    count = max(2, math.ceil(2 * rows / limits.group_rows))
     ranged = df.repartitionByRange(count, *keys, *order)
     return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
 
@@ -197,52 +194,15 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return _union([cold, rest])
 
 
-def fits_broadcast(df: DataFrame, limits: Limits = LIMITS) -> bool:
-    """Whether the table is small enough to copy to every task.
-
-    A planner estimate far below the limit settles it; otherwise rows are
-    counted, up to one more than ``limits.dimension_rows``.
-    """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) <= limits.estimated_bytes:
-        return True
-    return df.limit(limits.dimension_rows + 1).count() <= limits.dimension_rows
-
-
-def lookup(fact: DataFrame, dimension: DataFrame, keys: Sequence[str], how: str = "left",
-           hot: HotGroups | None = None, limits: Limits = LIMITS,
-           size_of: DataFrame | None = None) -> DataFrame:
+def lookup(fact: DataFrame, dimension: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join to a table with one row per key.
 
-    A dimension of checked size is broadcast. Beyond that the rows of hot keys
-    meet their few dimension rows by broadcast, all others by a shuffle join.
-    ``size_of`` is a cheaper table with at least as many rows as the dimension.
+    Nothing is forced: adaptive execution broadcasts the dimension if the bytes
+    that its shuffle wrote are few, and else splits the partitions of hot keys.
     """
-    keys = list(keys)
-    if fits_broadcast(dimension if size_of is None else size_of, limits):
-        return fact.join(F.broadcast(dimension), keys, how)
-    hot = hot if hot is not None else HotGroups.measure(fact, keys, limits)
-    if hot.everything:
-        return fact.join(dimension, keys, how)
-    cold, rest = hot.split(fact)
-    joined = cold.join(dimension, keys, how)
-    if rest is not None:
-        joined = joined.unionByName(rest.join(F.broadcast(hot.only(dimension)), keys, how))
-    return joined
+    return fact.join(dimension, list(keys), how)
 
 
-def without_matches(df: DataFrame, covered: DataFrame, keys: Sequence[str],
-                    limits: Limits = LIMITS) -> DataFrame:
-    """Rows whose key is absent from a table with one row per key.
-
-    The keys of the rows are measured, not the table: it may be costly to build.
-    """
-    keys = list(keys)
-    hot = HotGroups.measure(df, keys, limits)
-    if hot.everything:
-        return df.join(covered, keys, "left_anti")
-    cold, rest = hot.split(df)
-    kept = cold.join(covered, keys, "left_anti")
-    if rest is not None:
-        kept = kept.unionByName(rest.join(F.broadcast(hot.only(covered)), keys, "left_anti"))
-    return kept
+def without_matches(df: DataFrame, covered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is absent from a table with one row per key."""
+    return df.join(covered, list(keys), "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from laplake.constants import DISPLAY_TEAM_COLORS
 from laplake.functions.labels import team_color
 from laplake.functions.names import first_word, fold_name, last_word, without
-from laplake.operators.groups import LIMITS, Limits, lookup
+from laplake.operators.groups import lookup
 
 RACE = "session_key"
 
@@ -61,7 +61,7 @@ def resolve_ids(ids: DataFrame, entries: DataFrame) -> DataFrame:
         RACE, "driver_id", F.col("e.code").alias("driver_code"))
 
 
-def identify_stops(stops: DataFrame, entries: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def identify_stops(stops: DataFrame, entries: DataFrame) -> DataFrame:
     """Add code and number to pit stops; unknown ids get a blank code and number 0."""
     codes = resolve_ids(stops, entries)
     numbers = entries.groupBy(RACE, "code").agg(
@@ -69,14 +69,14 @@ def identify_stops(stops: DataFrame, entries: DataFrame, limits: Limits = LIMITS
     known = codes.join(numbers.withColumnRenamed("code", "driver_code"), [RACE, "driver_code"], "left")
     bare = stops.drop("driver_number", "driver_code")
     ids = stops.select(RACE, "driver_id").distinct()
-    return lookup(bare, known, [RACE, "driver_id"], limits=limits, size_of=ids).withColumns({
+    return lookup(bare, known, [RACE, "driver_id"]).withColumns({
         "driver_code": F.coalesce("driver_code", F.lit("")),
         "driver_number": F.coalesce("driver_number", F.lit(0)),
     })
 
 
 def driver_dimension(results: DataFrame, fastest: DataFrame, positions: DataFrame,
-                     strategies: DataFrame, roster: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+                     strategies: DataFrame, roster: DataFrame) -> DataFrame:
     """One row per race and car number, merged from four sources.
 
     The code of a number comes from the fastest laps, else the positions, else
@@ -99,8 +99,8 @@ def driver_dimension(results: DataFrame, fastest: DataFrame, positions: DataFram
     coded = codes.join(by_number, [RACE, "driver_number"], "full").withColumn(
         "final_code", F.coalesce("pair_code", "n.code"))
     merged = lookup(
-        lookup(coded, by_code, [RACE, "final_code"], limits=limits, size_of=results),
-        known, ["final_code"], limits=limits, size_of=roster)
+        lookup(coded, by_code, [RACE, "final_code"]),
+        known, ["final_code"])
 
     def first_text(name, *last):
         sources = [F.nullif(F.col(f"{part}.{name}"), F.lit("")) for part in ("c", "r", "n")]
@@ -115,33 +115,36 @@ def driver_dimension(results: DataFrame, fastest: DataFrame, positions: DataFram
     ).withColumn("color", team_color("team", DISPLAY_TEAM_COLORS))
 
 
-def results_with_driver(results: DataFrame, dimension: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def results_with_driver(results: DataFrame, dimension: DataFrame) -> DataFrame:
     """Attach the dimension row to results, by code, else by number."""
     row = F.struct("race_number", "code", "full_name", "team", "color")
     codes = dimension.groupBy(RACE, "code").agg(F.min_by(row, "race_number").alias("_by_code"))
     numbers = dimension.groupBy(RACE, F.col("race_number").alias("driver_number")).agg(
         F.min_by(row, "code").alias("_by_number"))
-    joined = lookup(lookup(results, codes, [RACE, "code"], limits=limits, size_of=dimension),
-                    numbers, [RACE, "driver_number"], limits=limits, size_of=dimension)
+    joined = lookup(lookup(results, codes, [RACE, "code"]),
+                    numbers, [RACE, "driver_number"])
     return joined.withColumn("driver", F.coalesce("_by_code", "_by_number")).drop("_by_code", "_by_number")
 
 
-def _slug_matches(asked: DataFrame, names: DataFrame, limits: Limits) -> DataFrame:
+def _slug_matches(asked: DataFrame, names: DataFrame) -> DataFrame:
     """First driver and first result whose name matches a slug, per (race, driver_id).
 
     Rules: the slug equals the full name, first plus last name, or the code; or
     it contains the last name. The containment rule becomes an equi-join on the
-    substrings of the slug, whose number is bounded by the slug's length. Names
+    substrings of the slug that are as long as some last name of the race. Names
     are reduced to one per alias before the join.
     """
     slug = F.col("slug")
-    starts = F.sequence(F.lit(1), F.length(slug))
-    pieces = F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(1), F.length(slug) - s + 1), lambda n: F.substring(slug, s, n))))
+    asked = asked.where(F.length(slug) > 0)
+    sizes = names.select(RACE, F.length(F.lower(last_word(F.col("full_name")))).alias("n")).where("n > 0")
+    sizes = sizes.groupBy(RACE).agg(F.collect_set("n").alias("sizes"))
+    pieces = F.flatten(F.transform(F.coalesce("sizes", F.array().cast("array<int>")), lambda n: F.when(
+        n <= F.length(slug), F.transform(
+            F.sequence(F.lit(1), F.length(slug) - n + 1), lambda s: F.substring(slug, s, n))).otherwise(F.array().cast("array<string>"))))
     whole = F.array(F.struct(F.lit("whole").alias("form"), slug.alias("alias")),
                     F.struct(F.lit("code").alias("form"), F.col("raw").alias("alias")))
     parts = F.transform(F.array_distinct(pieces), lambda p: F.struct(F.lit("part").alias("form"), p.alias("alias")))
-    questions = asked.where(F.length(slug) > 0).select(
+    questions = lookup(asked, sizes, [RACE]).select(
         RACE, "driver_id", F.explode(F.concat(whole, parts)).alias("q")
     ).select(RACE, "driver_id", "q.form", "q.alias")
 
@@ -160,13 +163,12 @@ def _slug_matches(asked: DataFrame, names: DataFrame, limits: Limits) -> DataFra
         return F.min(F.when(F.col("kind") == kind, F.struct("rank", "code"))).alias(kind)
 
     answers = aliases.groupBy(RACE, "o.form", "o.alias").agg(first_of("driver"), first_of("result"))
-    found = lookup(questions, answers, [RACE, "form", "alias"], "inner", limits=limits, size_of=aliases)
+    found = lookup(questions, answers, [RACE, "form", "alias"], "inner")
     return found.groupBy(RACE, "driver_id").agg(
         F.min("driver").alias("driver"), F.min("result").alias("result"))
 
 
-def identity_cascade(stops: DataFrame, dimension: DataFrame, results: DataFrame,
-                     limits: Limits = LIMITS) -> DataFrame:
+def identity_cascade(stops: DataFrame, dimension: DataFrame, results: DataFrame) -> DataFrame:
     """Resolve pit stops to drivers: code, slug, number, then result names.
 
     The rules run on the distinct identities of the stops; the stops meet the
@@ -186,7 +188,7 @@ def identity_cascade(stops: DataFrame, dimension: DataFrame, results: DataFrame,
         RACE, F.lit("driver").alias("kind"), F.col("race_number").alias("rank"), "code", "full_name",
     ).unionByName(results.select(
         RACE, F.lit("result").alias("kind"), F.col("entry_order").alias("rank"), "code", "full_name"))
-    matches = _slug_matches(ids, names, limits).select(
+    matches = _slug_matches(ids, names).select(
         RACE, "driver_id", F.col("driver.rank").alias("_by_slug"), F.col("result.code").alias("_result_code"))
     by_number = dimension.select(
         RACE, F.col("race_number").alias("driver_number"), F.col("race_number").alias("_by_number")).distinct()
@@ -198,4 +200,4 @@ def identity_cascade(stops: DataFrame, dimension: DataFrame, results: DataFrame,
         .join(by_result, [RACE, "_result_code"], "left")
         .select(*identity, chosen.alias("race_number"))
     )
-    return lookup(stops, found, identity, limits=limits, size_of=asked)
+    return lookup(stops, found, identity)

@@ -78,12 +78,11 @@ def stop_statistics(stops: DataFrame, low: float = 1.0, high: float = 60.0) -> D
     )
 
 
-def stop_flags(stops: DataFrame, low: float = 1.0, high: float = 60.0,
-               limits: Limits = LIMITS) -> DataFrame:
+def stop_flags(stops: DataFrame, low: float = 1.0, high: float = 60.0) -> DataFrame:
     """Mark the fastest stop of the session and the slow ones."""
     fastest = stops.groupBy("session_key").agg(F.min(_counted(low, high)).alias("_fastest"))
     duration = F.col("duration_seconds")
-    return lookup(stops, fastest, ["session_key"], limits=limits).withColumns({
+    return lookup(stops, fastest, ["session_key"]).withColumns({
         "is_fastest": F.coalesce(duration == F.col("_fastest"), F.lit(False)),
         "is_slow": F.coalesce(
             (duration > C.SLOW_STOP_SECONDS) & ~F.coalesce(duration == F.col("_fastest"), F.lit(False)),

@@ -48,11 +48,10 @@ def by_pit_flags(summary: DataFrame) -> DataFrame:
     return summary.orderBy("session_key", F.desc("pit_flags"), "driver_number")
 
 
-def with_codes(df: DataFrame, roster: DataFrame, limits: Limits = LIMITS,
-               hot: HotGroups | None = None) -> DataFrame:
+def with_codes(df: DataFrame, roster: DataFrame) -> DataFrame:
     """Add ``driver_code``: the roster code, or the number as text."""
     names = roster.groupBy("driver_number").agg(F.min("code").alias("_code"))
-    joined = lookup(df, names, ["driver_number"], hot=hot, limits=limits)
+    joined = lookup(df, names, ["driver_number"])
     return joined.withColumn("driver_code", or_code_number("_code", "driver_number")).drop("_code")
 
 
@@ -72,7 +71,7 @@ def fastest_laps(laps: DataFrame, roster: DataFrame, hot_sessions: HotGroups | N
     )
     ranked = numbered(best, ["session_key"], ["lap_time_seconds", "driver_number"], "rank",
                       hot=hot_sessions, limits=limits)
-    return with_codes(ranked, roster, limits)
+    return with_codes(ranked, roster)
 
 
 def with_positions(laps: DataFrame, hot_drivers: HotGroups | None = None,
@@ -107,9 +106,9 @@ def exact_positions(positions: DataFrame) -> DataFrame:
 
 
 def first_available(primary: DataFrame, secondary: DataFrame, keys: Sequence[str],
-                    names: tuple[str, str], limits: Limits = LIMITS) -> DataFrame:
+                    names: tuple[str, str]) -> DataFrame:
     """Rows of the first source that has any for a key, marked with its name."""
-    missing = without_matches(secondary, primary.select(*keys).distinct(), keys, limits)
+    missing = without_matches(secondary, primary.select(*keys).distinct(), keys)
     columns = primary.columns
     return (
         primary.withColumn("source", F.lit(names[0]))
@@ -140,8 +139,7 @@ def tyre_stints(features: DataFrame) -> DataFrame:
     ).withColumn("stint", (F.col("stint_number") + 1).cast("int"))
 
 
-def tyre_strategies(stints: DataFrame, roster: DataFrame, page: int = 1000,
-                    limits: Limits = LIMITS) -> DataFrame:
+def tyre_strategies(stints: DataFrame, roster: DataFrame, page: int = 1000) -> DataFrame:
     """Stints of a driver as an ordered array.
 
     A row holds at most ``page`` stints; a normal race has one row per driver.
@@ -151,16 +149,16 @@ def tyre_strategies(stints: DataFrame, roster: DataFrame, page: int = 1000,
         stints.withColumn("page", F.floor(F.col("stint_number") / page).cast("int"))
         .groupBy(*DRIVER, "page").agg(F.sort_array(F.collect_list(item)).alias("stints"))
     )
-    return with_codes(paged, roster, limits)
+    return with_codes(paged, roster)
 
 
-def by_finish(strategies: DataFrame, results: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def by_finish(strategies: DataFrame, results: DataFrame) -> DataFrame:
     """Strategies in finishing order; drivers without a result come last."""
     places = (
         results.groupBy("session_key", F.col("code").alias("driver_code"))
         .agg(F.min("finish_position").alias("finish_position"))
     )
-    joined = lookup(strategies, places, ["session_key", "driver_code"], limits=limits)
+    joined = lookup(strategies, places, ["session_key", "driver_code"])
     order = F.coalesce(F.nullif("finish_position", F.lit(0)), F.lit(C.UNPLACED))
     return joined.withColumn("finish_order", order).drop("finish_position").orderBy(
         "session_key", "finish_order", "driver_number", "page")
@@ -197,7 +195,7 @@ def driver_lap_range(laps: DataFrame, hot_drivers: HotGroups | None = None,
         rows = numbered(rest, DRIVER, ["lap_number"], "_at", "long", everything, limits)
         middle = F.abs(2 * F.col("_at") - F.col("_rows") - 1) <= 1
         parts.append(
-            lookup(rows, sizes, DRIVER, how="inner", hot=hot, limits=limits).where(middle)
+            lookup(rows, sizes, DRIVER, how="inner").where(middle)
             .groupBy(*DRIVER).agg(
                 F.min("first_lap").alias("first_lap"), F.max("last_lap").alias("last_lap"),
                 F.avg("lap_number").cast("int").alias("default_lap")))
@@ -215,9 +213,9 @@ def first_drivers(laps: DataFrame, count: int = 5) -> DataFrame:
 
 
 def lap_pivot(laps: DataFrame, selection: DataFrame, value: Column, names: Sequence,
-              column: str = "slot", limits: Limits = LIMITS) -> DataFrame:
+              column: str = "slot") -> DataFrame:
     """Lap table with one column per selected driver; the column list is given."""
-    chosen = lookup(laps, selection, DRIVER, how="inner", limits=limits)
+    chosen = lookup(laps, selection, DRIVER, how="inner")
     return (
         chosen.groupBy("session_key", "lap_number")
         .pivot(column, list(names)).agg(F.max(value))
@@ -244,16 +242,14 @@ def lap_grid(last_laps: DataFrame, step: int = 4096) -> DataFrame:
         "lap_number", F.col("lap_number").cast("int"))
 
 
-def position_pivot(positions: DataFrame, selection: DataFrame, names: Sequence,
-                   limits: Limits = LIMITS) -> DataFrame:
+def position_pivot(positions: DataFrame, selection: DataFrame, names: Sequence) -> DataFrame:
     """Position table over every lap of the session, gaps NULL."""
     last = positions.groupBy("session_key").agg(F.max("lap_number").alias("last_lap"))
-    table = lap_pivot(positions, selection, F.col("position"), names, limits=limits)
+    table = lap_pivot(positions, selection, F.col("position"), names)
     return lap_grid(last).join(table, ["session_key", "lap_number"], "left")
 
 
-def race_headline(features: DataFrame, results: DataFrame, pits: DataFrame,
-                  limits: Limits = LIMITS) -> DataFrame:
+def race_headline(features: DataFrame, results: DataFrame, pits: DataFrame) -> DataFrame:
     """Per session: laps, best lap, winner, pit stops, flags, mean wear."""
     rate = F.col("tyre_degradation_rate")
     best = F.struct(fixed("lap_duration", 3), "driver_number", "lap_number")
@@ -267,8 +263,8 @@ def race_headline(features: DataFrame, results: DataFrame, pits: DataFrame,
     winners = results.where(F.col("finish_position") == 1).groupBy("session_key").agg(
         F.min("code").alias("winner"))
     stops = pits.groupBy("session_key").agg(F.count(F.lit(1)).alias("pit_stops"))
-    joined = lookup(lookup(facts, winners, ["session_key"], limits=limits),
-                    stops, ["session_key"], limits=limits)
+    joined = lookup(lookup(facts, winners, ["session_key"]),
+                    stops, ["session_key"])
     return joined.select(
         "session_key", "laps", F.coalesce("pit_stops", F.lit(0)).alias("pit_stops"), "pit_flags",
         F.format_string("%.4fs", fixed("avg_tyre_deg", 4)).alias("avg_tyre_deg"),
@@ -308,7 +304,7 @@ def incidents(track_status: DataFrame) -> DataFrame:
     )
 
 
-def with_race_laps(rows: DataFrame, laps: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def with_race_laps(rows: DataFrame, laps: DataFrame) -> DataFrame:
     """Attach the last lap of the session to every row."""
     last = laps.groupBy("session_key").agg(F.max("lap_number").alias("total_race_laps"))
-    return lookup(rows, last, ["session_key"], limits=limits, size_of=laps.select("session_key").distinct())
+    return lookup(rows, last, ["session_key"])

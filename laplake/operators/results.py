@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from laplake import constants as C
 from laplake.functions.labels import is_unclassified, or_code_number, status_label, team_color
 from laplake.functions.numbers import clean_text, double_or, int_or, zero_to_null
-from laplake.operators.groups import LIMITS, Limits
 from laplake.operators.race import DRIVER, first_available
 
 
@@ -60,10 +59,9 @@ def typed_results(raw: DataFrame) -> DataFrame:
     )
 
 
-def race_results(primary: DataFrame, secondary: DataFrame, names: tuple[str, str] = ("jolpica", "fastf1"),
-                 limits: Limits = LIMITS) -> DataFrame:
+def race_results(primary: DataFrame, secondary: DataFrame, names: tuple[str, str] = ("jolpica", "fastf1")) -> DataFrame:
     """Classification per race from the first source that has it."""
-    return first_available(primary, secondary, ["season", "round_number"], names, limits)
+    return first_available(primary, secondary, ["season", "round_number"], names)
 
 
 def by_finish(results: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def _race_laps(d: RaceData):
 def _lap_range(d: RaceData):
     drivers = race.driver_lap_range(d.valid, hot_drivers=d.hot_drivers)
     sessions = race.session_laps(d.valid).select("session_key", "drivers", "middle_lap")
-    return race.lookup(drivers, sessions, ["session_key"], hot=d.hot_sessions)
+    return race.lookup(drivers, sessions, ["session_key"])
 
 
 @query("fastest_laps", f"""SELECT session_key, driver_number, lap_number,
@@ -187,11 +187,11 @@ def _tyre_stints(d: RaceData):
 
 
 @query("tyre_strategies", """
-    SELECT session_key, driver_number, driver_code, stints, finish_order FROM (
-      SELECT session_key, driver_number,
+    SELECT session_key, driver_number, driver_code, page, stints, finish_order FROM (
+      SELECT session_key, driver_number, CAST(stint_number // 1000 AS INT) AS page,
              string_agg(concat_ws(':', stint_number + 1, compound, start_lap, end_lap, lap_count), '|'
                         ORDER BY stint_number) AS stints
-      FROM stint_table GROUP BY session_key, driver_number)
+      FROM stint_table GROUP BY session_key, driver_number, stint_number // 1000)
     JOIN (SELECT session_key, driver_number, coalesce(code, CAST(driver_number AS VARCHAR)) AS driver_code,
                  coalesce(finish_position, 99) AS finish_order
           FROM (SELECT DISTINCT session_key, driver_number FROM valid)
@@ -201,7 +201,7 @@ def _strategies(d: RaceData):
     line = F.transform("stints", lambda s: F.concat_ws(
         ":", *[s[name].cast("string") for name in ("stint", "compound", "start_lap", "end_lap", "lap_count")]))
     ordered = race.by_finish(nested, d.race_status)
-    return ordered.select("session_key", "driver_number", "driver_code",
+    return ordered.select("session_key", "driver_number", "driver_code", "page",
                           F.array_join(line, "|").alias("stints"), "finish_order")
 
 

@@ -165,7 +165,7 @@ class RaceData:
                 ("season", "round_number", "driver_number", "grid_position", "finish_position",
                  "points", "laps_completed", "fastest_lap_rank")}
         people = self.people.select("driver_number", "given", "family", "code")
-        joined = lookup(self.results, people, ["driver_number"], limits=self.limits)
+        joined = lookup(self.results, people, ["driver_number"])
         result = F.struct(
             text["driver_number"].alias("number"), text["finish_position"].alias("position"),
             F.coalesce(text["grid_position"], F.lit("0")).alias("grid"), text["points"].alias("points"),

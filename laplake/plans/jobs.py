@@ -17,8 +17,7 @@ RACE = ("season", "round_number")
 
 
 def backfill_plan(rounds: DataFrame, processed: DataFrame, seasons: Sequence[int] | None = None,
-                  only_rounds: Sequence[int] | None = None, force: bool = False,
-                  limits: Limits = LIMITS) -> DataFrame:
+                  only_rounds: Sequence[int] | None = None, force: bool = False) -> DataFrame:
     """Every requested race, marked ``skip`` where it is processed already."""
     if seasons is not None:
         rounds = rounds.where(F.col("season").isin(*seasons))
@@ -27,7 +26,7 @@ def backfill_plan(rounds: DataFrame, processed: DataFrame, seasons: Sequence[int
     if force:
         return rounds.withColumn("skip", F.lit(False))
     done = processed.select(*RACE).distinct().withColumn("_done", F.lit(True))
-    return lookup(rounds, done, list(RACE), limits=limits).withColumn(
+    return lookup(rounds, done, list(RACE)).withColumn(
         "skip", F.coalesce("_done", F.lit(False))).drop("_done")
 
 
@@ -35,15 +34,15 @@ def process_races(laps: DataFrame, races: DataFrame, path: str, cols: LapColumns
                   hot: HotGroups | None = None, limits: Limits = LIMITS) -> DataFrame:
     """Enrich any set of races in one job and write them by race."""
     todo = races.select(*RACE).distinct().withColumn("_todo", F.lit(True))
-    chosen = lookup(laps, todo, list(RACE), how="inner", limits=limits).drop("_todo")
+    chosen = lookup(laps, todo, list(RACE), how="inner").drop("_todo")
     write_races(lap_features(chosen, cols, hot=hot, limits=limits), path)
     return laps.sparkSession.read.parquet(path)
 
 
-def backfill_audit(plan: DataFrame, written: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def backfill_audit(plan: DataFrame, written: DataFrame) -> DataFrame:
     """Outcome of every planned race: skipped, succeeded or failed (no rows)."""
     rows = written.groupBy(*RACE).agg(F.count(F.lit(1)).alias("rows"))
-    joined = lookup(plan, rows, list(RACE), limits=limits)
+    joined = lookup(plan, rows, list(RACE))
     outcome = (
         F.when(F.col("skip"), "skipped")
         .when(F.coalesce("rows", F.lit(0)) > 0, "succeeded")
@@ -61,9 +60,9 @@ def backfill(spark: SparkSession, laps: DataFrame, rounds: DataFrame, path: str,
              only_rounds: Sequence[int] | None = None, force: bool = False,
              limits: Limits = LIMITS) -> DataFrame:
     """Plan, process what is missing, and return the audit."""
-    plan = backfill_plan(rounds, processed, seasons, only_rounds, force, limits)
+    plan = backfill_plan(rounds, processed, seasons, only_rounds, force)
     written = process_races(laps, plan.where(~F.col("skip")), path, limits=limits)
-    return backfill_audit(plan, written, limits)
+    return backfill_audit(plan, written)
 
 
 def index_races(features: DataFrame, encoder: Encoder, table: VersionedTable, version: int,

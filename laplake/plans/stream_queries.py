@@ -21,11 +21,11 @@ LAP = ["session_key", "driver_number", "lap_number"]
 ROWS_PER_FILE = 1_000_000
 
 
-def landed(d: RaceData, df, name: str, files_per_trigger: int = 1000):
-    """Land a frame as files and open them as a stream."""
+def landed(d: RaceData, df, name: str, files: int = 3):
+    """Land a frame as files and open them as a stream of one file per trigger."""
     path = new_folder(d.spark, name)
-    df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
-    return messages.landed_stream(d.spark, path, df.schema, files_per_trigger=files_per_trigger)
+    df.repartition(files).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    return messages.landed_stream(d.spark, path, df.schema, files_per_trigger=1)
 
 
 def collected(d: RaceData, stream, name: str, keys):
@@ -55,9 +55,9 @@ def repeated_feed(d: RaceData):
            {r6('rolling_avg_lap_time')} AS rolling_avg_lap_time, {r6('personal_best')} AS personal_best,
            {r6('tyre_degradation_rate')} AS tyre_degradation_rate FROM features""")
 def _features(d: RaceData):
-    stream = messages.decode_messages(landed(d, _all_laps_repeated(d), "laps"))
-    job = FeatureStream(d.spark, new_folder(d.spark, "live"))
-    run_available(stream, new_folder(d.spark, "progress"), job.process)
+    stream = messages.decode_messages(landed(d, corrected_feed(d), "laps"), origin=True)
+    job = FeatureStream(d.spark, new_folder(d.spark, "live"), order=["_kafka_offset"], merge_every=2)
+    run_available(stream.drop("_kafka_topic"), new_folder(d.spark, "progress"), job.process)
     return job.table().select(
         *LAP, "stint_number", "stint_length", "should_pit_soon",
         fixed("rolling_avg_lap_time", 6).alias("rolling_avg_lap_time"),
@@ -65,10 +65,15 @@ def _features(d: RaceData):
         fixed("tyre_degradation_rate", 6).alias("tyre_degradation_rate"))
 
 
-def _all_laps_repeated(d: RaceData):
-    rows = lap_rows(d)
-    copies = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    return lap_messages(rows.withColumn("_copy", F.explode(copies)).drop("_copy", "event_id"))
+def corrected_feed(d: RaceData):
+    """Lap messages, every fifth of them after a message with other values, in any order of arrival."""
+    copies = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    rows = lap_rows(d).withColumn("_right", F.explode(copies))
+    rows = rows.withColumns({
+        "lap_duration": F.when(F.col("_right") == 1, F.col("lap_duration")).otherwise(F.lit(61.5)),
+        "tyre_age_laps": F.when(F.col("_right") == 1, F.col("tyre_age_laps")).otherwise(F.lit(40)),
+        "offset": 2 * F.col("event_id") + F.col("_right")})
+    return lap_messages(rows.drop("_right", "event_id"), beside=("offset",))
 
 
 @query("stream_dedup", f"SELECT {LAP_SQL}, tyre_compound FROM laps WHERE event_id % 89 <> 0")
@@ -80,12 +85,12 @@ def _dedup(d: RaceData):
 
 
 @query("stream_latest_position", """
-    SELECT session_key, driver_number, position
+    SELECT session_key, driver_number, coalesce(position, 99) AS position
     FROM (SELECT *, row_number() OVER (PARTITION BY session_key, driver_number ORDER BY ts DESC, event_id) AS place
-          FROM positions WHERE position IS NOT NULL) WHERE place = 1""")
+          FROM positions) WHERE place = 1""")
 def _latest(d: RaceData):
-    known = d.positions.where("position IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
-    newest = live.newest_positions(landed(d, known, "positions"))
+    timed = d.positions.withColumn("ts", F.col("ts").cast("timestamp"))
+    newest = live.newest_positions(landed(d, timed, "positions"))
     keys = ["session_key", "driver_number"]
     table = VersionedTable(d.spark, new_folder(d.spark, "latest"), keys)
     run_available(newest, new_folder(d.spark, "progress"), table.write, "update")
@@ -93,13 +98,25 @@ def _latest(d: RaceData):
 
 
 @query("stream_replay", """
-    SELECT session_key, event_type, CASE event_type WHEN 'session_start' THEN lo ELSE hi END AS at_lap, laps
-    FROM (SELECT session_key, min(lap_number) AS lo, max(lap_number) AS hi, count(*) AS laps
-          FROM laps GROUP BY session_key)
-    CROSS JOIN (SELECT 'session_start' AS event_type UNION ALL SELECT 'session_end') e""")
+    SELECT session_key, CAST(row_number() OVER (
+               PARTITION BY session_key ORDER BY stage, lap_number, driver_number) AS BIGINT) AS seq,
+           kind, CAST(lap_number AS BIGINT) AS lap_number, CAST(driver_number AS BIGINT) AS driver_number
+    FROM (SELECT session_key, 1 AS stage, 'lap' AS kind, lap_number, driver_number FROM laps
+          UNION ALL SELECT session_key, 2, 'pit', lap_number, driver_number FROM laps WHERE is_pit_in_lap
+          UNION ALL SELECT session_key, 0, 'session_start', min(lap_number), 0 FROM laps GROUP BY session_key
+          UNION ALL SELECT session_key, 3, 'session_end', max(lap_number), 0 FROM laps GROUP BY session_key)""")
 def _replay(d: RaceData):
+    """The replay as it arrives in several micro-batches, in the order of its numbers."""
     path = new_folder(d.spark, "replay")
-    rows = d.laps.select(*LAP, "lap_duration", "tyre_compound")
-    live.land_replay(rows, path, laps_per_file=1000)
-    stream = live.replay_stream(d.spark, path, rows.schema, files_per_trigger=1000)
-    return live.session_events(collected(d, stream, "replayed", LAP).all())
+    laps = d.laps.select(*LAP, "lap_duration", "tyre_compound")
+    events = live.replay_events(laps, d.laps.where("is_pit_in_lap").select(*LAP))
+    live.land_replay(events, path, per_file=100_000)
+    stream = live.replay_stream(d.spark, path, events.schema, files_per_trigger=2)
+    arrived = live.in_order(collected(d, stream, "replayed", ["session_key", "seq"]).all())
+
+    def number(*names):
+        return F.coalesce(*[F.get_json_object("data", f"$.{name}") for name in names]).cast("long")
+
+    return arrived.select(
+        "session_key", "seq", "kind", number("lap_number", "at_lap").alias("lap_number"),
+        F.coalesce(number("driver_number"), F.lit(0)).alias("driver_number"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 PARTITIONS = ("season", "round_number")
 
@@ -28,41 +29,77 @@ def write_races(features: DataFrame, path: str, partitions: Sequence[str] = PART
 
 
 class VersionedTable:
-    """Append-only Parquet folder with one sub-folder per version.
+    """Parquet folder with one sub-folder per version.
 
-    Writing a version again replaces only that version, so a retried batch does
-    not duplicate rows. Readers take the newest version of every key.
+    Writing a version again replaces that version as a whole, so a retried batch
+    leaves no rows of its first try. Readers take the newest row of every key.
+    ``order`` names columns that tell which of two rows of a key is newer; without
+    it the version does. ``merge`` keeps the number of versions small.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str],
-                 partitions: Sequence[str] = ()):
+                 partitions: Sequence[str] = (), order: Sequence[str] = ("version",)):
         self.spark = spark
         self.path = path
         self.keys = list(keys)
         self.partitions = list(partitions)
+        self.order = list(order)
+        self.schema: StructType | None = None
 
     def write(self, rows: DataFrame, version: int) -> None:
-        marked = rows.withColumn("version", F.lit(version).cast("long"))
-        if self.partitions:
-            marked = marked.hint("rebalance", *self.partitions)
+        """Write one version; rows of equal keys must not contradict each other in ``order``."""
+        self._learn(rows)
+        writer = (rows.hint("rebalance", *self.partitions) if self.partitions else rows).write
         (
-            marked.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("version", *self.partitions)
-            .parquet(self.path)
+            writer.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(*self.partitions)
+            .parquet(f"{self.path}/version={version}")
         )
 
+    def _learn(self, rows: DataFrame) -> None:
+        inner = [f for f in rows.schema.fields if f.name not in self.partitions]
+        outer = [rows.schema[name] for name in self.partitions]
+        self.schema = StructType([*inner, StructField("version", LongType()), *outer])
+
     def all(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        reader = self.spark.read.option("basePath", self.path)
+        return (reader.schema(self.schema) if self.schema else reader).parquet(self.path)
 
     def latest(self, rows: DataFrame | None = None) -> DataFrame:
-        """Newest row per key; copies of a key are combined before the shuffle."""
+        """Newest row per key; copies of a key are combined before the shuffle.
+
+        Of rows that are equally new the one with the largest values is taken, so
+        the result does not depend on which version or task a row came by.
+        """
         rows = self.all() if rows is None else rows
         payload = [name for name in rows.columns if name not in (*self.keys, "version")]
         newest = rows.groupBy(*self.keys).agg(
-            F.max_by(F.struct(*payload), F.col("version")).alias("_row"))
+            F.max_by(F.struct(*payload), F.struct(*self.order, *payload)).alias("_row"))
         return newest.select(*self.keys, "_row.*")
 
-    def compact(self, target: "VersionedTable", version: int = 0) -> None:
-        """Write the newest rows as one version of another table."""
-        target.write(self.latest(), version)
+    def versions(self) -> list[int]:
+        path, fs = self._folder()
+        if not fs.exists(path):
+            return []
+        names = (status.getPath().getName() for status in fs.listStatus(path))
+        return sorted(int(name.split("=")[1]) for name in names if name.startswith("version="))
+
+    def expire(self, before: int) -> None:
+        """Delete all versions below ``before``; what they held must be in a later one."""
+        _, fs = self._folder()
+        for version in self.versions():
+            if version < before:
+                fs.delete(self._path(f"version={version}"), True)
+
+    def merge(self, version: int) -> None:
+        """Write the newest rows as ``version``, which must be above all others, and drop the rest."""
+        self.write(self.latest(), version)
+        self.expire(version)
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _folder(self):
+        path = self._path()
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())

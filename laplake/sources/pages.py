@@ -12,7 +12,7 @@ from laplake import constants as C
 from laplake import schemas
 from laplake.functions.labels import race_short_name, team_color
 from laplake.functions.numbers import double_or, int_or, zero_to_null
-from laplake.operators.groups import LIMITS, Limits, lookup
+from laplake.operators.groups import lookup
 
 UNKNOWN_CODE = "???"
 
@@ -164,9 +164,9 @@ def standings_teams(pages: DataFrame) -> DataFrame:
     )
 
 
-def roster(drivers: DataFrame, teams: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def roster(drivers: DataFrame, teams: DataFrame) -> DataFrame:
     """Drivers with team and colour; codes without a standing are Unknown."""
-    joined = lookup(drivers, teams, ["season", "code"], limits=limits)
+    joined = lookup(drivers, teams, ["season", "code"])
     team = F.coalesce(F.col("team"), F.lit("Unknown"))
     return joined.select(
         "season", "driver_number", "code", "full_name", team.alias("team"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,61 +13,65 @@ from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup
 from laplake.sinks.tables import VersionedTable
 
 
-
-PRUNED_SESSIONS = 1000
-
-
 class FeatureStream:
     """Keeps raw laps and their features up to date, batch by batch.
 
     A batch is stored first; then every (session, driver) it touches is computed
-    again from all its laps. Late and repeated laps therefore give the result a
-    batch job would give. Both tables are versioned by batch, so a batch that is
-    run again after a failure replaces what it wrote before.
+    again from all its laps. Of several messages for one lap the one with the
+    highest ``order`` counts, whether they come in one batch or in many, so late
+    and repeated laps give the result a batch job would give. Without order
+    columns in the stream the message with the largest values counts.
+
+    Tables are versioned by batch: a batch that is run again after a failure
+    replaces what it wrote before. After every ``merge_every`` batches the versions
+    are merged into one, so a batch reads and keeps a bounded number of them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, cols: LapColumns = LAPS, limits: Limits = LIMITS):
+    def __init__(self, spark: SparkSession, path: str, cols: LapColumns = LAPS, limits: Limits = LIMITS,
+                 order: Sequence[str] = (), merge_every: int = 10):
         self.spark = spark
         self.cols = cols
         self.limits = limits
+        self.order = list(order)
+        self.merge_every = merge_every
         self.lap_keys = [*cols.keys, cols.order]
         partitions = [cols.keys[0]]
-        self.raw = VersionedTable(spark, f"{path}/laps", self.lap_keys, partitions)
+        self.raw = VersionedTable(spark, f"{path}/laps", self.lap_keys, partitions, self.order)
         self.features = VersionedTable(spark, f"{path}/features", self.lap_keys, partitions)
         self.touched = VersionedTable(spark, f"{path}/touched", cols.keys)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        """Take in one batch. Even versions are batches, odd ones merges."""
+        version = 2 * batch_id
         batch = batch.persist()
         try:
-            touched = batch.select(*self.cols.keys).distinct()
-            session = self.cols.keys[0]
-            sessions = touched.groupBy(session).count().limit(PRUNED_SESSIONS + 1).collect()
-            if not sessions:
+            if batch.isEmpty():
                 return
-            columns = [c for c in batch.columns if c not in self.lap_keys]
-            once = batch.groupBy(*self.lap_keys).agg(F.max(F.struct(*columns)).alias("_row")).select(
-                *self.lap_keys, "_row.*")
-            self.raw.write(once, batch_id)
-            self.touched.write(touched, batch_id)
-            laps = self.raw.all().where(F.col("version") <= batch_id)
-            few = len(sessions) <= PRUNED_SESSIONS
-            if few:  # a short list of sessions prunes folders
-                laps = laps.where(F.col(session).isin([row[0] for row in sessions]))
-            if few and sum(row["count"] for row in sessions) <= self.limits.dimension_rows:
-                history = laps.join(F.broadcast(touched), list(self.cols.keys), "left_semi")
-            else:
-                history = lookup(laps, touched, self.cols.keys, "left_semi", limits=self.limits)
+            touched = batch.select(*self.cols.keys).distinct()
+            self.raw.write(self.raw.latest(batch), version)
+            self.touched.write(touched, version)
+            # The touched sessions prune the folders of the raw table as the query runs.
+            history = lookup(self.raw.all().where(F.col("version") <= version), touched, self.cols.keys, "left_semi")
             hot = HotGroups.measure(history, self.cols.keys, self.limits)
-            mine = self.raw.latest(history)
-            self.features.write(lap_features(mine, self.cols, hot=hot, limits=self.limits), batch_id)
+            mine = self.raw.latest(history).drop(*self.order)
+            self.features.write(lap_features(mine, self.cols, hot=hot, limits=self.limits), version)
+            if (batch_id + 1) % self.merge_every == 0:
+                self.merge(version + 1)
         finally:
             batch.unpersist()
 
+    def merge(self, version: int) -> None:
+        """One version instead of many. Old ones go last, so a failure in between loses nothing."""
+        self.raw.write(self.raw.latest(), version)
+        self.features.write(self.table(), version)
+        self.touched.write(self.touched.all().select(*self.cols.keys).distinct(), version)
+        for table in (self.touched, self.features, self.raw):
+            table.expire(version)
+
     def table(self) -> DataFrame:
         """Current features: for every driver the rows of the last batch that touched it."""
         newest = self.touched.all().groupBy(*self.cols.keys).agg(F.max("version").alias("version"))
-        keys = [*self.cols.keys, "version"]
-        return lookup(self.features.all(), newest, keys, "left_semi", limits=self.limits).drop("version")
+        return lookup(self.features.all(), newest, [*self.cols.keys, "version"], "left_semi").drop("version")
 
     def start(self, laps: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Follow a stream of decoded laps; by default every five seconds."""
@@ -93,5 +97,3 @@ def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame,
         query.awaitTermination()
     finally:
         query.stop()
-
-

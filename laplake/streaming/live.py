@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from laplake import constants as C
+from laplake.operators.groups import numbered
 from laplake.sources.messages import landed_stream
 
 LAP_KEYS = ("session_key", "driver_number", "lap_number")
@@ -31,15 +33,43 @@ def without_repeats(stream: DataFrame, keys: Sequence[str] = LAP_KEYS, time: str
 
 def newest_positions(stream: DataFrame, keys: Sequence[str] = ("session_key", "driver_number"),
                      order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """Newest position per driver, for update or complete output."""
+    """Newest position per driver, 99 if it is missing, for update or complete output."""
     first_of_equal = F.struct(F.col(order[0]), *[-F.col(name) for name in order[1:]])
-    return stream.groupBy(*keys).agg(F.max_by("position", first_of_equal).alias("position"))
+    newest = F.max_by("position", first_of_equal)
+    return stream.groupBy(*keys).agg(F.coalesce(newest, F.lit(C.UNPLACED)).alias("position"))
 
 
-def land_replay(laps: DataFrame, path: str, laps_per_file: int = 1, file_format: str = "parquet") -> None:
-    """Write a finished race as lap-ordered folders, one per step of the replay."""
-    step = F.floor((F.col("lap_number") - 1) / laps_per_file).cast("int")
-    laps.withColumn("step", step).write.partitionBy("step").format(file_format).save(path)
+def replay_events(laps: DataFrame, pits: DataFrame) -> DataFrame:
+    """Everything a finished session sends, numbered in order: (session_key, seq, kind, data).
+
+    First the start marker, then the laps by lap and driver, then the pit stops by
+    lap and driver, last the end marker. ``data`` is the message as JSON.
+    """
+
+    def rows(frame: DataFrame, kind: str, rank: int) -> DataFrame:
+        return frame.select(
+            "session_key", F.lit(rank).alias("_rank"), F.col("lap_number").alias("_lap"),
+            F.col("driver_number").alias("_driver"), F.lit(kind).alias("kind"),
+            F.to_json(F.struct(*frame.columns)).alias("data"))
+
+    markers = session_events(laps).select(
+        "session_key", F.when(F.col("event_type") == "session_start", 0).otherwise(3).alias("_rank"),
+        F.col("at_lap").alias("_lap"), F.lit(0).alias("_driver"), F.col("event_type").alias("kind"),
+        F.to_json(F.struct("session_key", "event_type", "at_lap", "laps")).alias("data"))
+    events = rows(laps, "lap", 1).union(rows(pits, "pit", 2)).union(markers)
+    numbers = numbered(events, ["session_key"], ["_rank", "_lap", "_driver", "data"], "seq", dtype="long")
+    return numbers.select("session_key", "seq", "kind", "data")
+
+
+def land_replay(events: DataFrame, path: str, per_file: int = 1000, file_format: str = "parquet") -> None:
+    """Write replay events as files of consecutive numbers, each in order.
+
+    File streams go by modification time, which says little within one job. The
+    number in every row is what orders a replay; ``in_order`` restores it.
+    """
+    step = F.floor((F.col("seq") - 1) / per_file)
+    events.withColumn("_step", step).repartition("session_key", "_step").sortWithinPartitions(
+        "session_key", "seq").drop("_step").write.option("maxRecordsPerFile", per_file).format(file_format).save(path)
 
 
 def replay_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1,
@@ -48,6 +78,12 @@ def replay_stream(spark: SparkSession, path: str, schema: StructType, files_per_
     return landed_stream(spark, path, schema, file_format, files_per_trigger)
 
 
+def in_order(events: DataFrame) -> DataFrame:
+    """Replay events of any batches, by session and number; every number once."""
+    return events.dropDuplicates(["session_key", "seq"]).repartitionByRange("session_key", "seq").sortWithinPartitions(
+        "session_key", "seq")
+
+
 def session_events(laps: DataFrame) -> DataFrame:
     """Start and end marker of every session, with its first and last lap."""
     bounds = laps.groupBy("session_key").agg(

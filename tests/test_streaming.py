@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -34,10 +36,54 @@ def test_shuffled_and_repeated_laps_equal_batch(spark, data, rows, tmp_path):
     stream = messages.landed_stream(spark, path, data.laps.select(*LAP).schema, files_per_trigger=1)
     job = FeatureStream(spark, str(tmp_path / "out"))
     run_available(stream, str(tmp_path / "progress"), job.process)
-    assert job.touched.all().select("version").distinct().count() == 4
+    assert job.touched.versions() == [0, 2, 4, 6]
     assert rows(job.table(), *NAMES) == rows(data.features, *NAMES)
 
 
+@pytest.mark.parametrize("order", [["seq"], []])
+def test_the_size_of_batches_does_not_matter(spark, data, rows, tmp_path, order):
+    """Contradicting messages for a lap, in files whose order is not that of the messages."""
+    path = str(tmp_path / "in")
+    laps = data.laps.select(*LAP).where("driver_number < 12")
+    early = laps.where("lap_number % 3 = 0").withColumns({"lap_duration": F.lit(95.0), "seq": F.lit(1)})
+    frames = [laps.withColumn("seq", F.lit(2)).where("lap_number % 2 = 0"), early,
+              laps.withColumn("seq", F.lit(2)).where("lap_number % 2 = 1")]
+    for frame in frames:
+        frame.select(*LAP, *order).coalesce(1).write.mode("append").parquet(path)
+    results = []
+    for files in (1, 2, 1000):
+        job = FeatureStream(spark, str(tmp_path / f"out{files}"), order=order, merge_every=2)
+        stream = messages.landed_stream(spark, path, frames[0].select(*LAP, *order).schema, files_per_trigger=files)
+        run_available(stream, str(tmp_path / f"progress{files}"), job.process)
+        results.append(rows(job.table(), *NAMES))
+    assert results[0] == results[1] == results[2]
+    if order:
+        assert results[0] == rows(data.features.where("driver_number < 12"), *NAMES)
+
+
+def test_many_batches_keep_few_versions(spark, data, rows, tmp_path):
+    job = FeatureStream(spark, str(tmp_path / "out"), merge_every=4)
+    laps = data.laps.select(*LAP).where("driver_number < 6")
+    for batch in range(13):
+        job.process(laps.where(f"lap_number % 13 = {batch}"), batch)
+        for table in (job.raw, job.features, job.touched):
+            assert len(table.versions()) <= 5
+    assert rows(job.table(), *NAMES) == rows(data.features.where("driver_number < 6"), *NAMES)
+
+
+def test_a_version_is_replaced_as_a_whole(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), ["id"], ["part"])
+    schema = "id int, name string, part int"
+    table.write(spark.createDataFrame([(1, "a", 1), (2, "b", 2)], schema), 0)
+    table.write(spark.createDataFrame([(1, "c", 1)], schema), 0)
+    assert [tuple(r) for r in table.latest().collect()] == [(1, "c", 1)]
+    table.write(spark.createDataFrame([(1, "d", 1), (1, "e", 1), (3, "f", 2)], schema), 1)
+    assert sorted(tuple(r) for r in table.latest().collect()) == [(1, "e", 1), (3, "f", 2)]
+    table.merge(2)
+    assert table.versions() == [2]
+    assert sorted(tuple(r) for r in VersionedTable(spark, table.path, ["id"]).latest().select("id", "name").collect()) == [(1, "e"), (3, "f")]
+
+
 def test_a_retried_batch_changes_nothing(spark, data, rows, tmp_path):
     job = FeatureStream(spark, str(tmp_path / "out"))
     laps = data.laps.select(*LAP)
@@ -49,16 +95,16 @@ def test_a_retried_batch_changes_nothing(spark, data, rows, tmp_path):
 
 
 def test_a_corrected_lap_can_leave_the_table(spark, data, tmp_path):
-    job = FeatureStream(spark, str(tmp_path / "out"))
-    laps = data.laps.select(*LAP).where("session_key = 1 AND driver_number = 1")
+    job = FeatureStream(spark, str(tmp_path / "out"), order=["seq"])
+    laps = data.laps.select(*LAP, F.lit(1).alias("seq")).where("session_key = 1 AND driver_number = 1")
     job.process(laps, 0)
     assert job.table().count() > 0
-    job.process(laps.withColumn("lap_duration", F.lit(300.0)), 1)
+    job.process(laps.withColumns({"lap_duration": F.lit(300.0), "seq": F.lit(2)}), 1)
     assert job.table().count() == 0
 
 
 def test_hot_drivers_in_a_batch(spark, data, rows, tmp_path):
-    limits = Limits(group_rows=7, dimension_rows=3, estimated_bytes=0, slices=20)
+    limits = Limits(group_rows=7)
     job = FeatureStream(spark, str(tmp_path / "out"), limits=limits)
     laps = data.laps.select(*LAP)
     job.process(laps.where("lap_number % 2 = 0"), 0)
@@ -91,16 +137,30 @@ def test_repeats_are_dropped_across_batches(spark, data, tmp_path):
     assert table.all().count() == timed.count()
 
 
-def test_replay_is_in_lap_order(spark, data, tmp_path):
+def test_replay_is_in_order(spark, data, tmp_path):
     path = str(tmp_path / "replay")
-    laps = data.laps.select(*LAP)
-    live.land_replay(laps, path, laps_per_file=20)
-    stream = live.replay_stream(spark, path, laps.schema, files_per_trigger=1000)
-    table = VersionedTable(spark, str(tmp_path / "out"), LAP[:3])
+    laps, pits = data.laps.select(*LAP), data.laps.where("is_pit_in_lap").select(*LAP[:3])
+    events = live.replay_events(laps, pits)
+    live.land_replay(events, path, per_file=50)
+    stream = live.replay_stream(spark, path, events.schema, files_per_trigger=5)
+    table = VersionedTable(spark, str(tmp_path / "out"), ["session_key", "seq"])
     run_available(stream, str(tmp_path / "progress"), table.write)
-    assert table.all().count() == laps.count()
-    events = live.session_events(laps).collect()
-    assert {r["event_type"] for r in events} == {"session_start", "session_end"}
+    assert len(table.versions()) > 3
+    found = live.in_order(table.all()).collect()
+    assert len(found) == laps.count() + pits.count() + 2 * laps.select("session_key").distinct().count()
+    for session in {r["session_key"] for r in found}:
+        mine = [r for r in found if r["session_key"] == session]
+        assert [r["seq"] for r in mine] == list(range(1, len(mine) + 1))
+        kinds = [r["kind"] for r in mine]
+        assert kinds[0] == "session_start" and kinds[-1] == "session_end"
+        assert kinds[1:-1] == sorted(kinds[1:-1])
+        numbers = [json.loads(r["data"])["lap_number"] for r in mine if r["kind"] == "lap"]
+        assert numbers == sorted(numbers)
+
+
+def test_a_missing_newest_position_is_99(spark):
+    df = spark.createDataFrame([(1, 1, 5, 10, 1), (1, 1, None, 20, 2)], "session_key int, driver_number int, position int, ts int, event_id int")
+    assert [tuple(r) for r in live.newest_positions(df).collect()] == [(1, 1, 99)]
 
 
 def test_start_uses_the_given_trigger(spark, data, tmp_path):
