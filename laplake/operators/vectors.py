@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -24,6 +25,7 @@ from laplake.functions.numbers import fixed_text
 from laplake.operators.groups import join_on
 
 QUERY_BLOCK = 2_000
+CORPUS_PART = 50_000
 
 Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -57,10 +59,24 @@ def filter_vectors(corpus: DataFrame, year: int | None = None, driver: int | Non
     return corpus
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(lists), -1)
+def _matrices(column: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, row numbers, unit vectors) of the usable rows, by length of the vector.
+
+    Null vectors and vectors with a null component are left out.
+    """
+    lists = column.combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    values = lists.flatten()
+    ends = np.cumsum(sizes)
+    gaps = np.zeros(len(values) + 1, dtype=np.int64)
+    np.cumsum(values.is_null().to_numpy(zero_copy_only=False), out=gaps[1:])
+    whole = gaps[ends] == gaps[ends - sizes]
+    flat = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    for size in np.unique(sizes[whole & (sizes > 0)]).tolist():
+        rows = np.flatnonzero(whole & (sizes == size))
+        yield size, rows, _unit(flat[(ends[rows] - size)[:, None] + np.arange(size)])
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -68,113 +84,119 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def _query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Query vectors in blocks of bounded size, each small enough for every task."""
+def _by_blocks(corpus: DataFrame, queries: DataFrame, meet: Callable, schema: StructType, block: int,
+               part: int) -> DataFrame:
+    """Every part of the corpus meets every block of queries in a task of its own.
+
+    The corpus is counted once and read once, whatever the number of queries.
+    """
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
     blocks = max(1, math.ceil(queries.count() / block))
-    for number in range(blocks):
-        mine = queries if blocks == 1 else queries.where(
-            F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        rows = mine.collect()
-        if rows:
-            yield [r["query_id"] for r in rows], _unit(np.array([r["embedding"] for r in rows], dtype=np.float64))
+    parts = max(1, math.ceil(corpus.count() / part))
 
+    def spread(own: str, number: int, other: str, others: int, key: str, frame: DataFrame) -> DataFrame:
+        return frame.withColumns({
+            own: F.pmod(F.xxhash64(key), F.lit(number)).cast("int"),
+            other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))})
 
-def _search_block(corpus: DataFrame, names: list[str], vectors: np.ndarray, k: int) -> DataFrame:
-    keep = [field for field in corpus.schema.fields if field.name != "embedding"]
-    schema = StructType([StructField("query_id", StringType()), StructField("score", DoubleType()), *keep])
-    columns = [field.name for field in keep]
+    left = spread("_part", parts, "_block", blocks, "id", corpus)
+    right = spread("_block", blocks, "_part", parts, "query_id", queries)
+    return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(meet, schema)
 
-    def best(table: pa.Table) -> pa.Table:
-        """The k best rows of each query: highest score, then lowest id."""
-        ordered = table.sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])
-        owner = ordered.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy()
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        rank = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)]))
-        return ordered.filter(pa.array(rank < k))
 
-    def search(batches):
-        held = None
-        for batch in batches:
-            usable = batch.filter(batch.column("embedding").is_valid())
-            if usable.num_rows == 0:
-                continue
-            scores = np.round(_unit(_matrix(usable.column("embedding"))) @ vectors.T, 6) + 0.0
-            rows = pa.Table.from_batches([usable]).select(columns)
-            parts = []
-            for at, name in enumerate(names):
-                mine = scores[:, at]
-                if len(mine) > k:
-                    bar = np.partition(mine, len(mine) - k)[len(mine) - k]
-                    hits = np.flatnonzero(mine >= bar)
-                else:
-                    hits = np.arange(len(mine))
-                part = rows.take(pa.array(hits))
-                part = part.add_column(0, "score", pa.array(mine[hits]))
-                parts.append(part.add_column(0, "query_id", pa.array([name] * len(hits), pa.string())))
-            found = pa.concat_tables(parts if held is None else [held, *parts])
-            held = best(found)
-        if held is not None:
-            yield from held.combine_chunks().to_batches()
-
-    return corpus.mapInArrow(search, schema)
-
-
-def top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+def _cosines(vectors: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Cosine of every query with every vector, to six digits."""
+    return np.round(asked @ vectors.T, 6) + 0.0
+
+
+def top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK,
+          part: int = CORPUS_PART) -> DataFrame:
     """The k most similar vectors of every query by cosine, exact.
 
     ``corpus`` has ``id``, ``embedding`` and metadata, ``queries`` has ``query_id``
-    and ``embedding``. Each task scores its rows against a block of queries and
-    keeps k rows per query, so at most k rows per task and query are shuffled.
-    Scores are rounded to six digits; equal scores are ordered by id.
+    and ``embedding``. Each task scores a part of the corpus against a block of
+    queries and keeps k rows per query, so at most k rows per part and query are
+    shuffled. Scores are rounded to six digits; equal scores are ordered by id.
+    Vectors with null components, or of another length than the query's, are no
+    candidates.
     """
-    candidates = None
-    for names, vectors in _query_blocks(queries, block):
-        found = _search_block(corpus, names, vectors, k)
-        candidates = found if candidates is None else candidates.unionByName(found)
-    if candidates is None:
-        meta = [c for c in corpus.columns if c != "embedding"]
-        empty = corpus.where(F.lit(False)).select(
-            F.lit("").alias("query_id"), F.lit(0.0).alias("score"), *meta)
-        return empty.withColumn("rank", F.lit(0))
+    keep = [field for field in corpus.schema.fields if field.name != "embedding"]
+    schema = StructType([StructField("query_id", StringType()), StructField("score", DoubleType()), *keep])
+    columns = [field.name for field in keep]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("id")
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        asked = {size: (rows, unit) for size, rows, unit in _matrices(right.column("embedding"))}
+        for size, rows, vectors in _matrices(left.column("embedding")):
+            names, unit = asked.get(size, (None, None))
+            for at in range(0, 0 if unit is None else len(unit), 256):
+                scores = _cosines(vectors, unit[at:at + 256])
+                # One whole number per pair, so that no two are equal: score, then place by id.
+                ranks = (np.rint(scores * 1e6).astype(np.int64) << 32) - np.arange(len(rows))
+                best = np.argpartition(ranks, -k, axis=1)[:, -k:] if len(rows) > k else np.broadcast_to(
+                    np.arange(len(rows)), ranks.shape)
+                found.append((np.repeat(names[at:at + 256], best.shape[1]), rows[best].ravel(),
+                              np.take_along_axis(scores, best, axis=1).ravel()))
+        asker, row, score = (
+            np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+        hits = left.select(columns).take(pa.array(row))
+        hits = hits.add_column(0, "score", pa.array(score, pa.float64()))
+        return hits.add_column(0, "query_id", right.column("query_id").take(pa.array(asker)))
+
+    found = _by_blocks(corpus, queries, meet, schema, block, part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def score_range(corpus: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+def score_range(corpus: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK,
+                part: int = CORPUS_PART) -> DataFrame:
     """Lowest and highest score and the number of vectors scored, per query."""
     schema = StructType([
         StructField("query_id", StringType()), StructField("vectors", LongType()),
         StructField("worst", DoubleType()), StructField("best", DoubleType())])
-    parts = None
-    for names, vectors in _query_blocks(queries, block):
-
-        def extremes(batches, names=names, vectors=vectors):
-            seen, low, high = 0, np.full(len(names), np.inf), np.full(len(names), -np.inf)
-            for batch in batches:
-                usable = batch.filter(batch.column("embedding").is_valid())
-                if usable.num_rows:
-                    scores = np.round(_unit(_matrix(usable.column("embedding"))) @ vectors.T, 6) + 0.0
-                    seen += usable.num_rows
-                    low, high = np.minimum(low, scores.min(axis=0)), np.maximum(high, scores.max(axis=0))
-            if seen:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.array([seen] * len(names), pa.int64()), pa.array(low), pa.array(high)],
-                    names=["query_id", "vectors", "worst", "best"])
-
-        found = corpus.select("embedding").mapInArrow(extremes, schema)
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return corpus.sparkSession.createDataFrame([], schema)
-    return parts.groupBy("query_id").agg(
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {name: [] for name in schema.names}
+        asked = {size: (rows, unit) for size, rows, unit in _matrices(right.column("embedding"))}
+        for size, rows, vectors in _matrices(left.column("embedding")):
+            names, unit = asked.get(size, (None, None))
+            for at in range(0, 0 if unit is None else len(unit), 256):
+                scores = _cosines(vectors, unit[at:at + 256])
+                out["query_id"] += right.column("query_id").take(pa.array(names[at:at + 256])).to_pylist()
+                out["vectors"] += [len(rows)] * len(scores)
+                out["worst"] += scores.min(axis=1).tolist()
+                out["best"] += scores.max(axis=1).tolist()
+        return pa.table({name: pa.array(out[name], kind) for name, kind in zip(
+            schema.names, (pa.string(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
+
+    return _by_blocks(corpus.select("id", "embedding"), queries, meet, schema, block, part).groupBy("query_id").agg(
         F.sum("vectors").alias("vectors"), F.min("worst").alias("worst"), F.max("best").alias("best"))
 
 
 def mean_vectors(corpus: DataFrame, key: str) -> DataFrame:
-    """Mean vector per key, as search queries; sums are combined before the shuffle."""
-    cells = corpus.select(
-        F.col(key).cast("string").alias("query_id"), F.posexplode("embedding").alias("at", "x"))
-    means = cells.groupBy("query_id", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    """Mean vector per key, as search queries; every task adds up its rows first."""
+
+    def add_up(batches):
+        sums: dict = {}
+        for batch in batches:
+            names = batch.column("query_id").to_pylist()
+            for name, vector in zip(names, batch.column("embedding").to_pylist(), strict=True):
+                values = np.array(vector or [], dtype=np.float64)
+                held = sums.setdefault((name, len(values)), [np.zeros(len(values)), np.zeros(len(values), dtype=np.int64)])
+                seen = ~np.isnan(values)
+                held[0] += np.where(seen, values, 0)
+                held[1] += seen
+        rows = [(name, at, total, n) for (name, _), (s, c) in sums.items()
+                for at, (total, n) in enumerate(zip(s.tolist(), c.tolist(), strict=True)) if n]
+        names, at, total, n = zip(*rows, strict=True) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array(at, pa.int32()), pa.array(total, pa.float64()), pa.array(n, pa.int64())],
+            names=["query_id", "at", "total", "n"])
+
+    cells = corpus.select(F.col(key).cast("string").alias("query_id"), "embedding").mapInArrow(
+        add_up, "query_id string, at int, total double, n long")
+    means = cells.groupBy("query_id", "at").agg((F.sum("total") / F.sum("n")).alias("x"))
     ordered = F.sort_array(F.collect_list(F.struct("at", "x")))
     return means.groupBy("query_id").agg(F.transform(ordered, lambda c: c["x"]).alias("embedding"))
 

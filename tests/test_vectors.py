@@ -93,3 +93,19 @@ def test_index_keeps_the_last_version(spark, tmp_path):
     assert table.latest().count() == features.count()
     table.merge(3)
     assert table.versions() == [3] and table.all().count() == features.count()
+
+
+def test_ragged_vectors_and_null_components_are_no_candidates(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [None, 1.0]), ("d", [1.0, 0.0, 0.0, 1.0, 0.0]), ("e", []), ("f", None)]
+    corpus = spark.createDataFrame(rows, "id string, embedding array<float>").coalesce(1)
+    queries = spark.createDataFrame([("q", [2.0, 0.0]), ("r", [1.0, 0.0, 0.0, 0.0])], "query_id string, embedding array<double>")
+    assert [(r["query_id"], r["id"]) for r in vectors.top_k(corpus, queries, 3).collect()] == [("q", "a")]
+    assert [tuple(r) for r in vectors.score_range(corpus, queries).collect()] == [("q", 1, 1.0, 1.0)]
+
+
+def test_copies_of_one_vector_cost_k_rows(spark):
+    corpus = spark.range(3000).select(
+        F.format_string("v%05d", "id").alias("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    queries = spark.range(300).select(F.col("id").alias("query_id"), F.array(F.lit(2.0), F.lit(1.0)).alias("embedding"))
+    found = vectors.top_k(corpus, queries, 2, block=70, part=500).select("query_id", "rank", "id").collect()
+    assert {(r["rank"], r["id"]) for r in found} == {(1, "v00000"), (2, "v00001")} and len(found) == 600
