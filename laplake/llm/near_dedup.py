@@ -9,7 +9,9 @@ threshold; the rest is confirmed on the full shingle sets.
 
 Inside a bucket not all pairs are formed. First all members meet the bucket's
 smallest one. Links make components, and in further rounds only members of
-different components of one bucket meet, by other hubs in every bucket. At last,
+different components of one bucket meet, by other hubs in every bucket. Shingles
+that only one of all these members has bound its similarity with any other, which
+sets most of the rest apart without looking at pairs. At last,
 each of the few that are still outside the bucket's main component has its packed
 bits compared with those of all members of other components, block by block, and
 only near ones become rows. So a pair stays untested only where both are in one
@@ -44,7 +46,7 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 40, 4  # a pair at 0.75 shares no band with probability 2.5e-7
 BITS = 2  # kept of each minimum
-HASHES = BANDS * ROWS
+HASHES = 640  # the first BANDS * ROWS of them make the bands
 LONGS = HASHES * BITS // 64
 DEVIATIONS = 6  # standard deviations that an estimate may lie too low
 HUB_ROUNDS = 2  # after the first, with other hubs
@@ -98,7 +100,7 @@ def minima(sets: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 def band_keys(lows: np.ndarray) -> np.ndarray:
     """One 64-bit bucket key per band, from the band's whole minima."""
-    rows = lows.reshape(len(lows), BANDS, ROWS).astype(np.uint64)
+    rows = lows[:, :BANDS * ROWS].reshape(len(lows), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), rows.shape[:2])
     for k in range(ROWS):
         key = mix(key + rows[:, :, k])
@@ -199,6 +201,29 @@ class _Links:
             (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
             & (estimated("bits_a", "bits_b") >= least_estimate(self.percent))).select("a", "b")
 
+    def hold_sets(self, nodes: DataFrame) -> None:
+        """Compute and keep the shingle sets of those nodes whose sets are not there yet."""
+        if self.sets:
+            nodes = nodes.join(reduce(DataFrame.union, self.sets).select("node"), "node", "left_anti")
+        self.sets.append(staged(_sets_of(self.documents, nodes, self.doc_id, self.text), "shingles"))
+
+    def with_bounds(self, members: DataFrame) -> DataFrame:
+        """(key, node, n, most): members that may still have a link among all given ones.
+
+        ``most`` is the number of a member's shingles that another member has too, and
+        so the largest intersection that it can have with any of them.
+        """
+        nodes = members.select("node").distinct()
+        self.hold_sets(nodes)
+        sets = reduce(DataFrame.union, self.sets).join(nodes, "node", "left_semi")
+        alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+            F.min("node").alias("node"), F.count(F.lit(1)).alias("times")).where("times = 1").groupBy("node").agg(
+            F.count(F.lit(1)).alias("alone"))
+        bounded = sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").select(
+            "node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int").alias("most"))
+        likely = staged(bounded.where(F.col("most") * 100 >= F.col("n") * self.percent), "bounds")
+        return members.select("key", "node").join(likely, "node")
+
     def confirm(self, pairs: DataFrame) -> DataFrame | None:
         """The pairs that are links on full sets; None if there is nothing new to test."""
         if self.tested:
@@ -207,10 +232,7 @@ class _Links:
         if near.isEmpty():
             return None
         self.tested.append(near)
-        nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        if self.sets:
-            nodes = nodes.join(reduce(DataFrame.union, self.sets).select("node"), "node", "left_anti")
-        self.sets.append(staged(_sets_of(self.documents, nodes, self.doc_id, self.text), "shingles"))
+        self.hold_sets(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
         sets = reduce(DataFrame.union, self.sets)
         full = near
         for name in ("b", "a"):
@@ -243,6 +265,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     if edges is None:
         edges = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     components = staged(connected_components(edges), "components")
+    members = links.with_bounds(_open_buckets(members, components, 0))
+    members = links.with_bounds(members)
     for salt in range(HUB_ROUNDS + 1):
         members = _open_buckets(members, components, salt)
         pairs = _hub_pairs(members) if salt < HUB_ROUNDS else _all_pairs(members, classes, percent)
@@ -262,13 +286,14 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def _open_buckets(members: DataFrame, components: DataFrame, salt: int) -> DataFrame:
-    """(key, node, c, hub, hub_c, main) of the buckets that hold several components.
+    """(key, node, c, hub, hub_c, main, size) of the buckets that hold several components.
 
     ``c`` is a member's component, ``hub`` a member by a hash of its own in every
     bucket and round, ``main`` the component with most members.
     """
     named = components.withColumnRenamed("component", "c")
-    members = members.select("key", "node").join(named, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    own = [c for c in ("key", "node", "n", "most") if c in members.columns]
+    members = members.select(*own).join(named, "node", "left").withColumn("c", F.coalesce("c", "node"))
     order = F.xxhash64("key", "node", F.lit(salt))
     mixed = members.groupBy("key").agg(
         F.min("c").alias("c0"), F.max("c").alias("c1"), F.mode("c").alias("main"),
@@ -287,13 +312,14 @@ def _all_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
     """All near pairs of one bucket and different components, by their packed bits."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    wide = members.join(classes.select("node", "n", "bits"), "node").select(
-        "key", "node", "c", "main", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    columns = ("node", "c", "main", "n", "most", "bits", "bands")
+    wide = members.join(classes.select("node", "bits", "bands"), "node").select(
+        "key", *columns, own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     # Members outside the main component are on the left, all members on the right.
     left = wide.where("c <> main").select(
-        "key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("outside"), "node", "c", "main", "n", "bits")
+        "key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("outside"), *columns)
     right = wide.select(
-        "key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("outside"), "node", "c", "main", "n", "bits")
+        "key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("outside"), *columns)
     rows = left.union(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     least = least_estimate(percent)
     chance = 1 / (1 << BITS)
@@ -302,7 +328,9 @@ def _all_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
     def near(table: pa.Table):
         outside = table.column("outside").to_numpy()
-        node, c, main, n = (table.column(k).to_numpy() for k in ("node", "c", "main", "n"))
+        node, c, main, n, shared = (table.column(k).to_numpy() for k in columns[:-2])
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        here = table.column("key")[0].as_py() if len(table) else None
         bits = table.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, LONGS).view(np.uint64)
         x_all, y_all = np.flatnonzero(outside), np.flatnonzero(~outside)
         for at in range(0, len(x_all), 256):
@@ -314,10 +342,17 @@ def _all_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
                     d |= d >> np.uint64(shift)
                 differ += np.bitwise_count(d & every_other)
             good = (differ <= most) & (c[x] != c[y]) & ((c[y] == main[y]) | (node[x] < node[y]))
-            good &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+            same = np.minimum(shared[x], shared[y])
+            good &= same * 100 >= (n[x] + n[y] - same) * percent
             i, j = np.nonzero(good)
             if len(i):
-                a, b = node[x[i, 0]], node[y[0, j]]
+                # Of all buckets that two members share, the first band's counts.
+                i, j = x[i, 0], y[0, j]
+                both = bands[i] == bands[j]
+                first = bands[i][np.arange(len(i)), both.argmax(axis=1)] == here
+                i, j = i[first], j[first]
+            if len(i):
+                a, b = node[i], node[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
