@@ -20,6 +20,7 @@ HEADLINE = (
     "lap_features", "feature_summary", "driver_summary", "fastest_laps", "lap_positions", "tyre_strategies",
     "position_pivot", "pit_stops_clean", "pit_identity", "pit_duration_join", "results_flatten", "race_headline",
     "lap_documents", "strategy_prompt", "vector_topk", "decode_lap_json", "write_features", "stream_features",
+    "identity_cascade", "stream_dedup", "results_fallback", "results_drivers",
 )
 
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laplake.operators.features import LAPS, LapColumns, lap_features
-from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup
+from laplake.operators.features import LAPS, LapColumns, lap_features, valid_laps
+from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup, without_matches
 from laplake.operators.text import lap_documents
 from laplake.operators.vectors import Encoder, embed_documents
 from laplake.sinks.tables import VersionedTable, write_races
@@ -32,23 +32,40 @@ def backfill_plan(rounds: DataFrame, processed: DataFrame, seasons: Sequence[int
 
 def process_races(laps: DataFrame, races: DataFrame, path: str, cols: LapColumns = LAPS,
                   hot: HotGroups | None = None, limits: Limits = LIMITS) -> DataFrame:
-    """Enrich any set of races in one job and write them by race."""
-    todo = races.select(*RACE).distinct().withColumn("_todo", F.lit(True))
-    chosen = lookup(laps, todo, list(RACE), how="inner").drop("_todo")
-    write_races(lap_features(chosen, cols, hot=hot, limits=limits), path)
-    return laps.sparkSession.read.parquet(path)
+    """Enrich any set of races in one job, write them by race, and return what is there of them.
 
+    A race that now has no valid lap loses the rows of earlier runs.
+    """
+    spark = laps.sparkSession
+    todo = races.select(*RACE).distinct()
+    chosen = lookup(laps, todo, list(RACE), how="inner")
+    features = lap_features(chosen, cols, hot=hot, limits=limits)
+    write_races(features, path)
+    for season, number in without_matches(todo, expected_laps(chosen, cols), list(RACE)).collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/season={season}/round_number={number}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return lookup(spark.read.schema(features.schema).parquet(path), todo, list(RACE), how="left_semi")
 
-def backfill_audit(plan: DataFrame, written: DataFrame) -> DataFrame:
-    """Outcome of every planned race: skipped, succeeded or failed (no rows)."""
+
+def expected_laps(laps: DataFrame, cols: LapColumns = LAPS) -> DataFrame:
+    """Valid laps per race: the rows that processing has to write."""
+    return valid_laps(laps, cols.duration).groupBy(*RACE).agg(F.count(F.lit(1)).alias("expected"))
+
+
+def backfill_audit(plan: DataFrame, written: DataFrame, expected: DataFrame) -> DataFrame:
+    """Outcome of every planned race: skipped, succeeded, partial, or failed (no rows)."""
     rows = written.groupBy(*RACE).agg(F.count(F.lit(1)).alias("rows"))
-    joined = lookup(plan, rows, list(RACE))
+    joined = lookup(lookup(plan, rows, list(RACE)), expected, list(RACE))
+    none = F.lit(0).cast("long")
+    joined = joined.withColumns({
+        name: F.when(F.col("skip"), none).otherwise(F.coalesce(name, none)) for name in ("rows", "expected")})
     outcome = (
         F.when(F.col("skip"), "skipped")
-        .when(F.coalesce("rows", F.lit(0)) > 0, "succeeded")
-        .otherwise("failed")
+        .when(F.col("rows") == 0, "failed")
+        .when(F.col("rows") < F.col("expected"), "partial")
+        .otherwise("succeeded")
     )
-    return joined.withColumns({"rows": F.coalesce("rows", F.lit(0)), "outcome": outcome})
+    return joined.withColumn("outcome", outcome)
 
 
 def outcome_counts(audit: DataFrame) -> DataFrame:
@@ -62,7 +79,7 @@ def backfill(spark: SparkSession, laps: DataFrame, rounds: DataFrame, path: str,
     """Plan, process what is missing, and return the audit."""
     plan = backfill_plan(rounds, processed, seasons, only_rounds, force)
     written = process_races(laps, plan.where(~F.col("skip")), path, limits=limits)
-    return backfill_audit(plan, written)
+    return backfill_audit(plan, written, expected_laps(laps))
 
 
 def index_races(features: DataFrame, encoder: Encoder, table: VersionedTable, version: int,

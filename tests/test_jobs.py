@@ -30,6 +30,30 @@ def test_backfill_skips_and_reports(spark, laps, rows, tmp_path):
     assert rows(forced, "season", "round_number", "skip") == [(2023, 1, False), (2024, 1, False)]
 
 
+def test_backfill_with_nothing_to_do(spark, laps, rows, tmp_path):
+    rounds = _rounds(spark, (2024, 1, "A GP"))
+    audit = jobs.backfill(spark, laps, rounds, str(tmp_path / "new"), rounds)
+    assert rows(audit, "round_number", "outcome", "rows") == [(1, "skipped", 0)]
+
+
+def test_a_forced_race_without_rows_has_failed(spark, laps, rows, tmp_path):
+    path, none = str(tmp_path / "out"), spark.createDataFrame([], "season int, round_number int")
+    rounds = _rounds(spark, (2024, 1, "A GP"), (2024, 2, "B GP"))
+    first = jobs.backfill(spark, laps, rounds, path, none)
+    assert {r["outcome"] for r in first.collect()} == {"succeeded"}
+    broken = laps.withColumn("lap_duration", F.when(F.col("round_number") == 2, F.col("lap_duration")))
+    again = jobs.backfill(spark, broken, rounds, path, rounds, force=True)
+    assert rows(again, "round_number", "outcome") == [(1, "failed"), (2, "succeeded")]
+    assert read_races(spark, path, 2024, 1).count() == 0
+
+
+def test_a_partly_written_race_is_seen(spark, laps, rows):
+    plan = _rounds(spark, (2024, 1, "A GP")).withColumn("skip", F.lit(False))
+    expected = jobs.expected_laps(laps)
+    written = laps.where("round_number = 1").limit(3)
+    assert rows(jobs.backfill_audit(plan, written, expected), "outcome", "rows") == [("partial", 3)]
+
+
 def test_writing_a_race_again_leaves_the_others(spark, laps, tmp_path):
     path = str(tmp_path / "races")
     features = RaceData(spark, SMALL).race_features
