@@ -95,7 +95,6 @@ TRACK_CLEAR = "1"
 
 # Message topics.
 LAP_TOPIC = "f1.lap.data"
-TELEMETRY_TOPIC = "f1.telemetry"
 PIT_TOPIC = "f1.pit.stops"
 POSITION_TOPIC = "f1.positions"
 SESSION_TOPIC = "f1.session.events"
@@ -114,7 +113,6 @@ SLOW_STOP_SECONDS = 40.0
 FIRST_SEASON = 2023
 CAREER_SEASONS = (2020, 2021, 2022, 2023, 2024)
 CIRCUIT_SEASONS = (2018, 2019, 2020, 2021, 2022, 2023, 2024)
-EMBEDDING_DIMENSION = 1024
 EMBEDDING_BATCH = 64
 
 # Report texts.
@@ -122,7 +120,6 @@ PIT_SOON_TEXT = "should pit soon"
 PIT_LATER_TEXT = "pit not needed yet"
 CONTEXT_TITLE = "Relevant historical F1 situations:\n"
 CONTEXT_EMPTY = "No similar historical situations found."
-NO_CONTEXT = "No historical context available."
 MINIMAL_WEAR_TEXT = "minimal degradation, tyres still feeling strong"
 BOX_TEXT = "box box box — pit window is open"
 STAY_OUT_TEXT = "stay out, tyres look okay"

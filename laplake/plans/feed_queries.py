@@ -82,16 +82,16 @@ def _encode(d: RaceData):
 
 @query("normalize_laps", f"""
     SELECT {LAP_SQL}, {r6('lap_duration')} AS lap_duration, {r6('value / 4')} AS sector_1_time, tyre_compound,
-           tyre_age_laps, is_pit_out_lap, FALSE AS is_pit_in_lap, 'openf1' AS source FROM laps
+           tyre_age_laps, is_pit_out_lap, FALSE AS is_pit_in_lap, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, 'openf1' AS source FROM laps
     UNION ALL SELECT {LAP_SQL}, {r6('lap_duration')}, {r6('round(value, 2)')}, tyre_compound, tyre_age_laps,
-           is_pit_out_lap, is_pit_in_lap, 'fastf1' FROM laps WHERE lap_duration IS NOT NULL""")
+           is_pit_out_lap, is_pit_in_lap, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'fastf1' FROM laps WHERE lap_duration IS NOT NULL""")
 def _normalize_laps(d: RaceData):
     timing = d.laps.select(
         "session_key", "driver_number", "lap_number", "lap_duration",
         (F.col("value") / 4).alias("duration_sector_1"), F.col("value").alias("duration_sector_2"),
         F.col("value").alias("duration_sector_3"), F.col("tyre_compound").alias("compound"),
         F.col("tyre_age_laps").alias("tyre_age_at_start"),
-        F.when(F.col("is_pit_out_lap"), True).alias("is_pit_out_lap"))
+        F.when(F.col("is_pit_out_lap"), True).alias("is_pit_out_lap"), "ts")
 
     def span(seconds):
         return F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
@@ -102,12 +102,12 @@ def _normalize_laps(d: RaceData):
         span(value).alias("sector_1"), span(value).alias("sector_2"), span(value).alias("sector_3"),
         F.col("tyre_compound").alias("compound"), F.col("tyre_age_laps").cast("double").alias("tyre_life"),
         F.when(F.col("is_pit_out_lap"), span(value)).alias("pit_out_time"),
-        F.when(F.col("is_pit_in_lap"), span(value)).alias("pit_in_time"))
-    both = feeds.timing_laps(timing).unionByName(feeds.clock_laps(clock))
+        F.when(F.col("is_pit_in_lap"), span(value)).alias("pit_in_time"), "ts")
+    both = feeds.timing_laps(timing, at="ts").unionByName(feeds.clock_laps(clock, at="ts"))
     return both.select(
         "session_key", "driver_number", "lap_number", fixed("lap_duration", 6).alias("lap_duration"),
         fixed("sector_1_time", 6).alias("sector_1_time"), "tyre_compound", "tyre_age_laps",
-        "is_pit_out_lap", "is_pit_in_lap", "source")
+        "is_pit_out_lap", "is_pit_in_lap", "timestamp", "source")
 
 
 @query("normalize_drivers", """
@@ -154,7 +154,7 @@ def _normalize_pits(d: RaceData):
     SELECT CAST(season * 1000 + round_number AS INT) AS session_key, 'Race' AS session_name,
            CASE WHEN race_no % 4 = 3 THEN 'Qualifying' ELSE 'R' END AS session_type, season AS year,
            country AS country_name, race_date AS date_start, '+00:00' AS gmt_offset, 'openf1' AS source FROM races
-    UNION ALL SELECT 0, race_name, substr(race_name, 1, 1), season, country, concat(race_date, ' 00:00:00'),
+    UNION ALL SELECT CAST(season * 1000 + round_number AS INT), race_name, substr(race_name, 1, 1), season, country, concat(race_date, ' 00:00:00'),
            '+00:00', 'fastf1' FROM races""")
 def _normalize_sessions(d: RaceData):
     none = F.lit(None).cast("string")
@@ -165,7 +165,7 @@ def _normalize_sessions(d: RaceData):
         F.col("country").alias("country_name"), F.col("race_date").alias("date_start"), none.alias("gmt_offset"))
     clock = d.races.select(
         F.col("race_name").alias("name"), F.col("race_date").cast("timestamp").alias("event_date"),
-        F.col("circuit_id").alias("location"), "country")
+        F.col("circuit_id").alias("location"), "country", "season", "round_number")
     both = feeds.timing_sessions(timing).unionByName(feeds.clock_session(clock))
     return both.select("session_key", "session_name", "session_type", "year", "country_name", "date_start",
                        "gmt_offset", "source")

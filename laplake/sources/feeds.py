@@ -20,9 +20,22 @@ def _no_text(name: str) -> Column:
     return F.lit(None).cast("string").alias(name)
 
 
+def _stamp(at: Column | str | None) -> Column:
+    """ISO text of the time of a row; without one, of the time it is taken in."""
+    time = F.current_timestamp() if at is None else at if isinstance(at, Column) else F.col(at)
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+
+
+def _session_key(raw: DataFrame) -> Column:
+    """The feed's session key, or one from season and round where it has none."""
+    if "session_key" in raw.columns:
+        return F.col("session_key")
+    return season_session_key("season", "round_number").alias("session_key")
+
+
 def timing_laps(raw: DataFrame, driver_number: int | None = None,
-                lap_number: int | None = None) -> DataFrame:
-    """Laps of the timing feed; zero or no filter value means all."""
+                lap_number: int | None = None, at: Column | str | None = None) -> DataFrame:
+    """Laps of the timing feed; zero or no filter value means all. ``at`` is the time of a lap."""
     if driver_number:
         raw = raw.where(F.col("driver_number") == driver_number)
     if lap_number:
@@ -35,7 +48,7 @@ def timing_laps(raw: DataFrame, driver_number: int | None = None,
         F.col("compound").alias("tyre_compound"),
         F.col("tyre_age_at_start").alias("tyre_age_laps"),
         _or("is_pit_out_lap", False).alias("is_pit_out_lap"),
-        F.lit(False).alias("is_pit_in_lap"),
+        F.lit(False).alias("is_pit_in_lap"), _stamp(at),
         F.lit("openf1").alias("source"),
     )
 
@@ -82,11 +95,11 @@ def timing_sessions(raw: DataFrame, session_key: int | None = None) -> DataFrame
     )
 
 
-def clock_laps(raw: DataFrame) -> DataFrame:
+def clock_laps(raw: DataFrame, at: Column | str | None = None) -> DataFrame:
     """Laps of the clock feed: intervals to seconds, untimed laps skipped."""
     timed = raw.where(F.col("lap_time").isNotNull())
     return timed.select(
-        "session_key", "driver_number", "lap_number",
+        _session_key(raw), "driver_number", "lap_number",
         interval_seconds("lap_time").alias("lap_duration"),
         interval_seconds("sector_1").alias("sector_1_time"),
         interval_seconds("sector_2").alias("sector_2_time"),
@@ -94,7 +107,7 @@ def clock_laps(raw: DataFrame) -> DataFrame:
         F.col("compound").alias("tyre_compound"),
         F.col("tyre_life").cast("int").alias("tyre_age_laps"),
         F.col("pit_out_time").isNotNull().alias("is_pit_out_lap"),
-        F.col("pit_in_time").isNotNull().alias("is_pit_in_lap"),
+        F.col("pit_in_time").isNotNull().alias("is_pit_in_lap"), _stamp(at),
         F.lit("fastf1").alias("source"),
     )
 
@@ -116,7 +129,7 @@ def clock_drivers(raw: DataFrame) -> DataFrame:
 def clock_session(raw: DataFrame) -> DataFrame:
     """Session facts of the clock feed; the type is the first letter of the name."""
     return raw.select(
-        F.lit(0).alias("session_key"),
+        _session_key(raw),
         F.col("name").alias("session_name"),
         F.substring("name", 1, 1).alias("session_type"),
         F.year("event_date").alias("year"),
@@ -129,12 +142,12 @@ def clock_session(raw: DataFrame) -> DataFrame:
     )
 
 
-def clock_pits(raw: DataFrame) -> DataFrame:
+def clock_pits(raw: DataFrame, at: Column | str | None = None) -> DataFrame:
     """One pit stop per lap with a pit-in time."""
     return raw.where(F.col("pit_in_time").isNotNull()).select(
-        "session_key", "driver_number", "lap_number",
+        _session_key(raw), "driver_number", "lap_number",
         F.lit(None).cast("double").alias("pit_duration"),
-        F.col("compound").alias("tyre_compound_new"),
+        F.col("compound").alias("tyre_compound_new"), _stamp(at),
         F.lit("fastf1").alias("source"),
     )
 

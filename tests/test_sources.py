@@ -226,3 +226,19 @@ def test_season_list(spark):
     found = [r[0] for r in season_list_until(spark, F.lit(2026)).collect()]
     assert found == [2026, 2025, 2024, 2023]
     assert season_list_until(spark, F.lit(2020)).count() == 0
+
+
+def test_normalised_laps_pass_as_messages(spark):
+    raw = spark.createDataFrame(
+        [(2024, 3, 7, 1, "0 00:01:31.5", "SOFT", 4.0)], "season int, round_number int, driver_number int, lap_number int, "
+        "lap_time string, compound string, tyre_life double").withColumns({
+            "lap_time": F.expr("make_dt_interval(0, 0, 1, 31.5)"),
+            **{name: F.expr("make_dt_interval(0, 0, 0, 30.5)") for name in ("sector_1", "sector_2", "sector_3")},
+            "pit_out_time": F.expr("CAST(NULL AS INTERVAL DAY TO SECOND)"), "pit_in_time": F.expr("make_dt_interval(0, 0, 0, 9)")})
+    laps = feeds.clock_laps(raw)
+    back = messages.decode_messages(out.lap_messages(laps)).first()
+    assert (back["session_key"], back["lap_duration"], back["is_pit_in_lap"]) == (2024003, 91.5, True)
+    assert back["timestamp"] == laps.first()["timestamp"] or back["timestamp"][:4].isdigit()
+    assert feeds.clock_pits(raw).first()["session_key"] == 2024003
+    raw_session = spark.createDataFrame([(2024, 3, "Race", "Spa", "Belgium")], "season int, round_number int, name string, location string, country string")
+    assert feeds.clock_session(raw_session.withColumn("event_date", F.current_timestamp())).first()["session_key"] == 2024003
