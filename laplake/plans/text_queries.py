@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from laplake.operators import catalogue, race, text, vectors
 from laplake.operators.groups import lookup
+from laplake.plans import jobs
 from laplake.plans.fixtures import RaceData
 from laplake.plans.oracle import r1, r3, r4
 from laplake.plans.registry import query
@@ -88,6 +89,31 @@ def _upsert(d: RaceData):
     return table.latest().select("id", "year", "tyre_compound", "document", F.size("embedding").alias("size"))
 
 
+INDEXED = "123e"
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """A deterministic stand-in for an embedding service: how often some characters occur."""
+    return [[float(text.count(c)) for c in "123e"] for text in texts]
+
+
+@query("lap_index", f"""
+    SELECT id, year, tyre_compound, document, {", ".join(
+        f"CAST(length(document) - length(replace(document, '{c}', '')) AS DOUBLE) AS count_{c}" for c in INDEXED)}
+    FROM (SELECT printf('2024_r%d_d%d_l%d', session_key, driver_number, lap_number) AS id, 2024 AS year,
+                 coalesce(tyre_compound, 'unknown') AS tyre_compound, {DOCUMENT} AS document
+          FROM (SELECT * REPLACE (CASE WHEN driver_number % 2 = 0 THEN 'WET' ELSE tyre_compound END AS tyre_compound)
+                FROM features))""")
+def _index(d: RaceData):
+    """Describe, embed and upsert all laps; then half of the drivers again with another compound."""
+    table = VersionedTable(d.spark, new_folder(d.spark, "index"), ["id"])
+    jobs.index_races(d.race_features, letter_counts, table, 0)
+    corrected = d.race_features.where("driver_number % 2 = 0").withColumn("tyre_compound", F.lit("WET"))
+    found = jobs.index_races(corrected, letter_counts, table, 1)
+    counts = [F.col("embedding")[i].cast("double").alias(f"count_{c}") for i, c in enumerate(INDEXED)]
+    return found.select("id", "year", "tyre_compound", "document", *counts)
+
+
 @query("strategy_prompt", f"""
     SELECT session_key, driver_number, lap_number, last_lap AS total_race_laps, circuit AS circuit_name,
            printf('%s tyres %d laps degradation rate %.4f circuit %s lap %d', c, a, {r4('rate')}, circuit, lap_number)

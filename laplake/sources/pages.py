@@ -13,6 +13,7 @@ from laplake import schemas
 from laplake.functions.labels import race_short_name, team_color
 from laplake.functions.numbers import double_or, int_or, zero_to_null
 from laplake.operators.groups import lookup
+from laplake.sources.feeds import season_session_key
 
 UNKNOWN_CODE = "???"
 
@@ -122,11 +123,12 @@ def calendar(pages: DataFrame) -> DataFrame:
 
 
 def pit_feed(pages: DataFrame) -> DataFrame:
-    """Raw pit stops, text typed, one row per entry."""
-    rows = races(pages).select("*", F.explode("race.PitStops").alias("p"))
+    """Raw pit stops, text typed, one row per entry in the order of the page."""
+    rows = races(pages).select("*", F.posexplode("race.PitStops").alias("_at", "p"))
+    season, number = _season(), int_or(F.col("race.round"), 0)
     return rows.select(
-        _season().alias("season"),
-        int_or(F.col("race.round"), 0).alias("round_number"),
+        season.alias("season"), number.alias("round_number"),
+        season_session_key(season, number).alias("session_key"), F.col("_at").alias("copy_no"),
         F.col("p.driverId").alias("driver_id"),
         F.col("p.stop").alias("stop"),
         F.col("p.lap").alias("lap"),
