@@ -68,7 +68,6 @@ def identify_stops(stops: DataFrame, entries: DataFrame) -> DataFrame:
         F.min_by("driver_number", "entry_order").alias("driver_number"))
     known = codes.join(numbers.withColumnRenamed("code", "driver_code"), [RACE, "driver_code"], "left")
     bare = stops.drop("driver_number", "driver_code")
-    ids = stops.select(RACE, "driver_id").distinct()
     return lookup(bare, known, [RACE, "driver_id"]).withColumns({
         "driver_code": F.coalesce("driver_code", F.lit("")),
         "driver_number": F.coalesce("driver_number", F.lit(0)),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from laplake import constants as C
 from laplake.functions.numbers import double_or, fixed, int_or, zero_to_null
 from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup, numbered, running_total
-from laplake.operators.race import DRIVER
+from laplake.operators.race import DRIVER, first_available
 
 NO_DURATION = "—"
 
@@ -38,6 +38,16 @@ def by_lap(stops: DataFrame, session: str = "session_key") -> DataFrame:
     return stops.orderBy(session, "lap_number", shown, "driver_id", "stop_number")
 
 
+def pit_report(stops: DataFrame, events: DataFrame, names: tuple[str, str] = ("pages", "laps")) -> DataFrame:
+    """Identified stops, or for races without any the stops seen in the laps, marked with their source.
+
+    Both have the session, driver code and number, stop and lap number and duration.
+    """
+    columns = ["session_key", "driver_code", "driver_number", "stop_number", "lap_number",
+               "duration_seconds", "duration_formatted"]
+    return first_available(stops.select(*columns), events.select(*columns), ["session_key"], names)
+
+
 def pit_events(timed_laps: DataFrame, hot_drivers: HotGroups | None = None,
                limits: Limits = LIMITS) -> DataFrame:
     """Laps with a pit-in time, numbered per driver."""

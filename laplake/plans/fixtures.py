@@ -271,6 +271,21 @@ class RaceData:
             F.when(F.col("is_pit_out_lap") & (F.col("event_id") % 7 != 0),
                    (lap - 1) * 100.0 + F.col("value")).alias("pit_out_s"))
 
+    @cached_property
+    def pit_pages(self) -> DataFrame:
+        """Landed pit-stop pages, a few drivers each; the provider lacks the last session."""
+        last = self.timed_events.agg(F.max("session_key")).first()[0]
+        stops = self.raw_pits.where(F.col("session_key") != last)
+        row = F.struct(
+            F.col("copy_no"), F.col("driver_id").alias("driverId"), "stop", "lap", "duration")
+        paged = stops.groupBy("session_key", F.floor(F.col("driver_number") / 5).alias("page")).agg(
+            F.transform(F.sort_array(F.collect_list(row)), lambda r: r.dropFields("copy_no")).alias("rows"))
+        race = F.struct(
+            F.lit("2024").alias("season"), F.col("session_key").cast("string").alias("round"), F.col("rows").alias("PitStops"))
+        body = F.struct(F.struct(F.struct(
+            F.lit("2024").alias("season"), F.array(race).alias("Races")).alias("RaceTable")).alias("MRData"))
+        return paged.select(F.to_json(body).alias("body"))
+
     @cached_property
     def raw_pits(self) -> DataFrame:
         """Text-typed stops; some are sent twice, some durations do not parse."""

@@ -229,6 +229,37 @@ def _durations(d: RaceData):
         "session_key", "driver_number", "lap_number", "duration_seconds", "duration_formatted")
 
 
+@query("pit_report", f"""
+    SELECT 2024000 + s.session_key AS session_key, {_matched('r.code', "''")} AS driver_code,
+           {_matched('s.driver_number', '0')} AS driver_number, s.stop_number, s.lap_number,
+           {r6('s.duration_seconds')} AS duration_seconds, s.duration_formatted, 'pages' AS source
+    FROM stops s LEFT JOIN roster r ON s.driver_number = r.driver_number
+    WHERE s.session_key < (SELECT max(session_key) FROM laps)
+    UNION ALL
+    SELECT 2024000 + e.session_key, coalesce(r.code, CAST(e.driver_number AS VARCHAR)), e.driver_number,
+           CAST(row_number() OVER (PARTITION BY e.session_key, e.driver_number ORDER BY lap_number) AS INT), lap_number,
+           {r6('stay')}, CASE WHEN stay IS NULL THEN '—' ELSE printf('%.3f', stay) END, 'laps'
+    FROM (SELECT i.session_key, i.driver_number, i.lap_number,
+                 CASE WHEN o.pit_out_s - i.pit_in_s > 0 AND o.pit_out_s - i.pit_in_s < 120
+                      THEN {r3('o.pit_out_s - i.pit_in_s')} END AS stay
+          FROM timed_laps i LEFT JOIN timed_laps o
+            ON i.session_key = o.session_key AND i.driver_number = o.driver_number
+           AND o.lap_number = i.lap_number + 1 AND o.pit_out_s IS NOT NULL
+          WHERE i.pit_in_s IS NOT NULL) e
+    LEFT JOIN roster r ON e.driver_number = r.driver_number
+    WHERE e.session_key = (SELECT max(session_key) FROM laps)""")
+def _report(d: RaceData):
+    """Pages to typed, identified stops, and the laps' own stops for the race without pages."""
+
+    def keyed(frame):
+        return frame.withColumn("session_key", season_session_key(F.lit(2024), "session_key"))
+
+    stops = identity.identify_stops(pits.clean_stops(pages.pit_feed(pages.parse_pages(d.pit_pages))), keyed(d.race_status))
+    events = pits.pit_durations(pits.pit_events(d.timed_laps, d.hot_drivers), d.timed_laps)
+    report = pits.pit_report(stops, race.with_codes(keyed(events), d.roster))
+    return report.withColumn("duration_seconds", fixed("duration_seconds", 6))
+
+
 @query("pit_compound", """
     SELECT session_key, driver_number, lap_number,
            (SELECT min_by(t.compound, t.start_lap) FROM stint_table t
