@@ -122,7 +122,8 @@ def pack(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", end_i
 
     ``ids`` are little-endian unsigned 32-bit values. A null or empty text is its
     end id alone. Repeated rows are packed each for itself, null ids stay null.
-    ``path`` names the tokenizer file. ``capacity`` must be a power of two.
+    ``path`` names the tokenizer file. ``capacity`` must be a power of two. The
+    documents should come from files: a lost task then meets the same rows again.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")

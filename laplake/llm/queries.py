@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laplake.llm.chat import (
@@ -39,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(of: int, fold: int) -> Column:
+    """Rows that are scored but not learned from; rows without an id are neither held out nor learned from."""
+    return F.coalesce(remainder("doc_id", of) == fold, F.lit(False))
+
+
 @query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,7 +117,7 @@ def _train_language(documents: DataFrame):
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = identify_language(documents.select("doc_id", "text"), _train_language(documents))
-    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def _train_quality(documents: DataFrame, labels: DataFrame):
@@ -124,7 +129,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_quality(documents, _train_quality(documents, table(spark, sf_dir, "labels")))
     return found.select(
-        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
+        "doc_id", _held_out(3, 1).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -199,5 +204,4 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm_scores(documents, remainder("doc_id", 7) != 2).withColumn(
-        "held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
+    return lm_scores(documents, remainder("doc_id", 7) != 2).withColumn("held_out", _held_out(7, 2))
