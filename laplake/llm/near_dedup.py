@@ -48,8 +48,8 @@ BANDS, ROWS = 40, 4  # a pair at 0.75 shares no band with probability 2.5e-7
 BITS = 2  # kept of each minimum
 HASHES = 640  # the first BANDS * ROWS of them make the bands
 LONGS = HASHES * BITS // 64
-DEVIATIONS = 6  # standard deviations that an estimate may lie too low
-HUB_ROUNDS = 2  # after the first, with other hubs
+DEVIATIONS = 5  # standard deviations that an estimate may lie too low
+HUB_ROUNDS = 1  # after the first, with other hubs
 BLOCK = 1024  # members of one bucket that meet at a time in the last round
 
 
@@ -224,11 +224,11 @@ class _Links:
         likely = staged(bounded.where(F.col("most") * 100 >= F.col("n") * self.percent), "bounds")
         return members.select("key", "node").join(likely, "node")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame | None:
-        """The pairs that are links on full sets; None if there is nothing new to test."""
+    def confirm(self, pairs: DataFrame, estimated_before: bool = False) -> DataFrame | None:
+        """The pairs that are links on full sets; None if no new pair is one."""
         if self.tested:
             pairs = pairs.join(reduce(DataFrame.union, self.tested), ["a", "b"], "left_anti")
-        near = staged(self._near(pairs), "pairs")
+        near = staged(pairs if estimated_before else self._near(pairs), "pairs")
         if near.isEmpty():
             return None
         self.tested.append(near)
@@ -239,7 +239,8 @@ class _Links:
             full = full.join(sets.withColumnsRenamed({"node": name, "shingles": f"set_{name}"}), name)
         same = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - same
-        return staged(full.where(same * 100 >= union * self.percent).select("a", "b"), "links")
+        found = staged(full.where(same * 100 >= union * self.percent).select("a", "b"), "links")
+        return None if found.isEmpty() else found
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -266,14 +267,14 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         edges = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     components = staged(connected_components(edges), "components")
     members = links.with_bounds(_open_buckets(members, components, 0))
-    members = links.with_bounds(members)
     for salt in range(HUB_ROUNDS + 1):
         members = _open_buckets(members, components, salt)
-        pairs = _hub_pairs(members) if salt < HUB_ROUNDS else _all_pairs(members, classes, percent)
-        found = links.confirm(pairs)
+        if salt < HUB_ROUNDS:
+            found = links.confirm(_hub_pairs(members))
+        else:
+            found = links.confirm(_all_pairs(members, classes, percent), estimated_before=True)
         if found is not None:
-            edges = edges.union(found)
-            components = staged(connected_components(edges), "components")
+            components = staged(_joined(components, found), "components")
 
     named = classes.select("d1", "d2", "node")
     named = named.join(components, "node", "left").select(
@@ -285,6 +286,19 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after new links between them."""
+    ends = links
+    for name in ("a", "b"):
+        own = components.withColumnsRenamed({"node": name, "component": "_c"})
+        ends = ends.join(own, name, "left").withColumn(name, F.coalesce("_c", name)).drop("_c")
+    merged = staged(connected_components(ends), "merged").withColumnsRenamed({"node": "component", "component": "_m"})
+    old = components.join(merged, "component", "left").select("node", F.coalesce("_m", "component").alias("component"))
+    # Ends that were alone before are nodes of their own name.
+    new = merged.select(F.col("component").alias("node"), F.col("_m").alias("component")).join(components, "node", "left_anti")
+    return old.union(new)
+
+
 def _open_buckets(members: DataFrame, components: DataFrame, salt: int) -> DataFrame:
     """(key, node, c, hub, hub_c, main, size) of the buckets that hold several components.
 
