@@ -292,7 +292,7 @@ def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
     for name in ("a", "b"):
         own = components.withColumnsRenamed({"node": name, "component": "_c"})
         ends = ends.join(own, name, "left").withColumn(name, F.coalesce("_c", name)).drop("_c")
-    merged = staged(connected_components(ends), "merged").withColumnsRenamed({"node": "component", "component": "_m"})
+    merged = staged(connected_components(ends), "merged").select(F.col("node").alias("component"), F.col("component").alias("_m"))
     old = components.join(merged, "component", "left").select("node", F.coalesce("_m", "component").alias("component"))
     # Ends that were alone before are nodes of their own name.
     new = merged.select(F.col("component").alias("node"), F.col("_m").alias("component")).join(components, "node", "left_anti")

@@ -17,7 +17,7 @@ from laplake.llm.chat import (
 )
 from laplake.llm.components import connected_components
 from laplake.llm.decontaminate import cut_spans, drop_contaminated, find_contamination
-from laplake.llm.near_dedup import near_duplicates, shingle_sets
+from laplake.llm.near_dedup import _joined, near_duplicates, shingle_sets
 from laplake.llm.text import (
     alnum_class,
     blank_class,
@@ -191,6 +191,13 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_grow_by_new_links(spark):
+    old = spark.createDataFrame([(1, 1), (5, 1), (7, 7), (9, 7)], "node long, component long")
+    links = spark.createDataFrame([(5, 9), (2, 3), (1, 5)], "a long, b long")
+    assert {r["node"]: r["component"] for r in _joined(old, links).collect()} == {1: 1, 5: 1, 7: 1, 9: 1, 2: 2, 3: 2}
+    assert {r["node"]: r["component"] for r in _joined(old.limit(0), links).collect()} == {1: 1, 5: 1, 9: 1, 2: 2, 3: 2}
+
+
 MESSAGES = "tree long, node long, parent long, role string, text string, score double"
 
 
