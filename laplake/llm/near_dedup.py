@@ -5,7 +5,8 @@ and only classes are compared. Of a class's minima, bands of a few whole minima
 make bucket keys; of each minimum only the low bits are kept, packed into a few
 longs. Classes that share a bucket are candidates; the packed bits, corrected
 for chance collisions, give an estimate that removes those far below the
-threshold; the rest is confirmed on the full shingle sets.
+threshold; the rest, and all pairs of few shingles, are confirmed on the full
+shingle sets.
 
 Inside a bucket not all pairs are formed. First all members meet the bucket's
 smallest one. Links make components, and in further rounds only members of
@@ -49,6 +50,7 @@ BITS = 2  # kept of each minimum
 HASHES = 640  # the first BANDS * ROWS of them make the bands
 LONGS = HASHES * BITS // 64
 DEVIATIONS = 5  # standard deviations that an estimate may lie too low
+SHORT = 64  # shingles of two classes together below which no estimate is asked
 HUB_ROUNDS = 1  # after the first, with other hubs
 BLOCK = 1024  # members of one bucket that meet at a time in the last round
 
@@ -108,8 +110,15 @@ def band_keys(lows: np.ndarray) -> np.ndarray:
 
 
 def packed_bits(lows: np.ndarray) -> np.ndarray:
-    """The low bits of all minima, packed into longs."""
-    low = (lows & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(lows), LONGS, 64 // BITS)
+    """Low bits of all minima, packed into longs.
+
+    The minima are scattered first: the low bits of a product by an odd number depend on
+    those of the shingle alone, and would agree by chance under all hash functions or none.
+    """
+    low = np.empty(lows.shape, dtype=np.uint64)
+    for at in range(0, len(lows), 256):
+        low[at:at + 256] = mix(lows[at:at + 256].astype(np.uint64)) & np.uint64((1 << BITS) - 1)
+    low = low.reshape(len(lows), LONGS, 64 // BITS)
     return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
 
 
@@ -199,7 +208,8 @@ class _Links:
             pairs = pairs.join(side.withColumnsRenamed({"node": name, "n": f"n_{name}", "bits": f"bits_{name}"}), name)
         return pairs.where(
             (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
-            & (estimated("bits_a", "bits_b") >= least_estimate(self.percent))).select("a", "b")
+            & ((F.col("n_a") + F.col("n_b") < SHORT)
+               | (estimated("bits_a", "bits_b") >= least_estimate(self.percent)))).select("a", "b")
 
     def hold_sets(self, nodes: DataFrame) -> None:
         """Compute and keep the shingle sets of those nodes whose sets are not there yet."""
@@ -355,7 +365,7 @@ def _all_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
                 for shift in range(1, BITS):
                     d |= d >> np.uint64(shift)
                 differ += np.bitwise_count(d & every_other)
-            good = (differ <= most) & (c[x] != c[y]) & ((c[y] == main[y]) | (node[x] < node[y]))
+            good = ((differ <= most) | (n[x] + n[y] < SHORT)) & (c[x] != c[y]) & ((c[y] == main[y]) | (node[x] < node[y]))
             same = np.minimum(shared[x], shared[y])
             good &= same * 100 >= (n[x] + n[y] - same) * percent
             i, j = np.nonzero(good)

@@ -17,7 +17,16 @@ from laplake.llm.chat import (
 )
 from laplake.llm.components import connected_components
 from laplake.llm.decontaminate import cut_spans, drop_contaminated, find_contamination
-from laplake.llm.near_dedup import _joined, near_duplicates, shingle_sets
+from laplake.llm.near_dedup import (
+    BITS,
+    HASHES,
+    _joined,
+    least_estimate,
+    minima,
+    near_duplicates,
+    packed_bits,
+    shingle_sets,
+)
 from laplake.llm.text import (
     alnum_class,
     blank_class,
@@ -163,6 +172,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert found == brute_duplicates(docs)
 
 
+def test_links_of_few_shingles(spark):
+    # Four against three shingles: 0.75 exactly.
+    words = [[f"p{i}w{k}" for k in range(8)] for i in range(2000)]
+    docs = [(2 * i + cut, " ".join(w[:8 - cut])) for i, w in enumerate(words) for cut in (0, 1)]
+    found = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, i - i % 2) for i, _ in docs}
+
+
+@pytest.mark.parametrize(("n", "m"), [(4, 3), (8, 6), (20, 15)])
+def test_estimates_of_few_shingles(n, m):
+    sets = np.random.default_rng(5).integers(-1 << 63, (1 << 63) - 1, (3000, n))
+    a, b = (packed_bits(minima(part.ravel(), np.arange(3001) * part.shape[1])) for part in (sets, sets[:, :m].copy()))
+    bits = np.unpackbits(np.ascontiguousarray(a ^ b).view(np.uint8), axis=1).reshape(3000, HASHES, BITS)
+    chance = 1 / (1 << BITS)
+    estimates = (1 - bits.any(axis=2).mean(axis=1) - chance) / (1 - chance)
+    assert estimates.min() >= least_estimate(75)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
