@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by inner product, with multiprobe p-stable hashing.
 
-Vectors are brought onto a sphere by one added component, so that the largest
-inner product is the smallest distance. Each table cuts a few random projections
+Vectors are cut into bands of norms, and in each brought onto a sphere by one
+added component, so that the largest inner product is the smallest distance and
+one long vector does not push all others together. Each table cuts a few random projections
 into steps; the steps are the bucket. A query visits, in every table, its own
 bucket and the neighbours reached by moving some projections one step, in order
 of the estimated chance that they hold near vectors. All vectors of the visited
 buckets are scored exactly, block by block, and only the best of each block go
 on, so no pair is ever a row. The own buckets come first; what is found there is
-the bar for all others. Buckets of any size are split into blocks.
+the bar for all others, and bands too short to reach it are left out. Queries that
+found fewer rows than there are meet all vectors. Buckets of any size are split
+into blocks.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -30,6 +34,7 @@ from pyspark.sql.types import (
 from laplake.llm.frames import binary_array, staged
 
 TABLES, PROJECTIONS, STEP, PROBES = 4, 4, 2.0, 12
+NORM_BAND = 0.25  # vectors whose norms lie within so many powers of two share a scale
 BLOCK = 1024  # vectors, or queries, of one bucket that meet at a time
 
 
@@ -80,7 +85,11 @@ def usable_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def _placed(vectors: DataFrame, hashing: tuple, longest: float, probes: int | None) -> DataFrame:
-    """(bucket, visit, id, vector) of every table: the own bucket, or all that a query visits, numbered from 0."""
+    """(bucket, band, visit, norm, id, vector) of every table.
+
+    Without ``probes`` the own bucket, of the band of the vector's norm, with the table as
+    ``visit``; else all that a query visits in any band, numbered from 0.
+    """
 
     def run(batches):
         for batch in batches:
@@ -90,11 +99,15 @@ def _placed(vectors: DataFrame, hashing: tuple, longest: float, probes: int | No
                 mine = np.flatnonzero(size == dimension)
                 part = batch.take(pa.array(mine))
                 x = part.column("vector").flatten().to_numpy().reshape(-1, dimension)
-                norm = np.linalg.norm(x, axis=1)
+                top = np.abs(x).max(axis=1)
+                norm = top * np.linalg.norm(x / top[:, None], axis=1)
+                band = np.zeros(len(x), dtype=np.int32)
                 known = Hashing(dimension, *hashing)
                 if probes is None:
-                    added = np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))
-                    points = np.column_stack([x / longest, added])
+                    band = np.maximum(0, np.floor((math.log2(longest) - np.log2(norm)) / NORM_BAND)).astype(np.int32)
+                    scale = longest * 2.0 ** (-NORM_BAND * band)
+                    added = np.sqrt(np.maximum(0, 1 - (norm / scale) ** 2))
+                    points = np.column_stack([x / scale[:, None], added])
                     buckets = bucket_key(np.floor(known.places(points)).astype(np.int64), dimension)
                 else:
                     points = np.column_stack([x / norm[:, None], np.zeros(len(x))])
@@ -105,11 +118,14 @@ def _placed(vectors: DataFrame, hashing: tuple, longest: float, probes: int | No
                     rows = again[at:at + (1 << 14)]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(buckets.reshape(-1)[at:at + (1 << 14)]),
-                        pa.array((np.arange(at, at + len(rows)) % (probes or 1)).astype(np.int32)), part.column("id").take(pa.array(rows)),
-                        binary_array(x[rows].ravel(), np.full(len(rows), dimension))], names=["bucket", "visit", "id", "vector"])
+                        pa.array(band[rows]), pa.array((np.arange(at, at + len(rows)) % (probes or each)).astype(np.int32)),
+                        pa.array(norm[rows]), part.column("id").take(pa.array(rows)),
+                        binary_array(x[rows].ravel(), np.full(len(rows), dimension))],
+                        names=["bucket", "band", "visit", "norm", "id", "vector"])
 
     return vectors.mapInArrow(run, StructType([
-        StructField("bucket", LongType()), StructField("visit", IntegerType()), vectors.schema["id"], StructField("vector", BinaryType())]))
+        StructField("bucket", LongType()), StructField("band", IntegerType()), StructField("visit", IntegerType()),
+        StructField("norm", DoubleType()), vectors.schema["id"], StructField("vector", BinaryType())]))
 
 
 def _best_of_block(k: int):
@@ -155,7 +171,7 @@ def _best_of_block(k: int):
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
             tables: int = TABLES, projections: int = PROJECTIONS, step: float = STEP, probes: int = PROBES,
             block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found for each query, itself left out.
+    """(query_id, rank, vec_id, score): the k nearest rows found for each query, itself left out, or all if there are fewer.
 
     Nearness is the inner product of the original vectors in doubles; equal scores
     go by smaller id. Vectors that are null, zero, or have null or non-finite
@@ -166,15 +182,42 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
     asked = usable_vectors(queries, vec_id, vector)
     longest = corpus.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)))).first()[0] or 1.0
     hashing = (tables, projections, step)
-    index = staged(_placed(corpus, hashing, longest * (1 + 1e-9), None), "ann-index")
+    longest *= 1 + 1e-9
+    index = staged(_placed(corpus, hashing, longest, None), "ann-index")
     visits = staged(_placed(asked, hashing, longest, probes), "ann-visits")
+    # At most as many bands as doubles have exponents, times four.
+    bands = sorted(r["band"] for r in index.select("band").distinct().collect())
+
+    def in_bands(frame: DataFrame) -> DataFrame:
+        """``bucket`` told apart by band."""
+        return frame.withColumn("bucket", F.xxhash64("bucket", "band"))
 
-    own, others = visits.where("visit = 0"), visits.where("visit > 0")
     lowest = -float(np.finfo(np.float64).max)
-    first = staged(_search(index, own.withColumn("bar", F.lit(lowest)), k, block), "ann-first")
+    visits = visits.drop("band").withColumn("band", F.explode(F.lit(bands).cast("array<int>")))
+    own, others = visits.where("visit = 0"), visits.where("visit > 0")
+    banded = in_bands(index)
+    first = staged(_search(banded, in_bands(own).withColumn("bar", F.lit(lowest)), k, block), "ann-first")
     bars = _ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bar"))
     barred = others.join(bars, "id", "left").withColumn("bar", F.coalesce("bar", F.lit(lowest)))
-    return _ranked(first.union(_search(index, barred, k, block)), k).select("query_id", "rank", "vec_id", "score")
+    # No score is above the product of the norms.
+    reach = F.col("norm") * longest * F.pow(F.lit(2.0), -NORM_BAND * F.col("band")) * (1 + 1e-6)
+    second = _search(banded, in_bands(barred.where(reach >= F.col("bar"))), k, block)
+    found = staged(_ranked(first.union(second), k).select("query_id", "rank", "vec_id", "score"), "ann-found")
+
+    # Queries with fewer rows than k and than there are vectors of their dimension meet all of these.
+    dimension = (F.octet_length("vector") / 8).cast("long").alias("bucket")
+    whole = index.where("visit = 0").select(dimension, "id", "vector")
+    there = whole.groupBy("bucket").agg(F.count_distinct("id").alias("there"))
+    counts = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    singles = asked.select(F.size("vector").cast("long").alias("bucket"), "id").join(there, "bucket")
+    short = staged(
+        singles.join(counts, "id", "left").where(F.coalesce("n", F.lit(0)) < F.least(F.lit(k), "there")).select("id").distinct(), "ann-short")
+    if short.isEmpty():
+        return found
+    again = _placed(asked.join(short, "id", "left_semi"), hashing, longest, 1)
+    again = again.select(dimension, "id", "vector", F.lit(lowest).alias("bar")).dropDuplicates(["bucket", "id", "vector"])
+    rest = _ranked(_search(whole, again, k, block), k).select("query_id", "rank", "vec_id", "score")
+    return found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").union(rest)
 
 
 def _search(index: DataFrame, visits: DataFrame, k: int, block: int) -> DataFrame:

@@ -147,3 +147,32 @@ def test_recall_and_small_tables(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.1]), (3, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
     assert {(r["query_id"], r["vec_id"], r["rank"]) for r in nearest(few, few).collect()} == {(0, 20, 1), (20, 0, 1)}
+
+
+def test_nearest_gives_all_of_few_vectors(spark):
+    draw = np.random.default_rng(12)
+    rows = {i: v.tolist() for i, v in enumerate(draw.normal(size=(20, 64)))}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest(df, df).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == {q: [i for i, _ in best] for q, best in brute_nearest(rows, rows, 20).items()}
+    assert all(len(best) == 19 for best in found.values())
+
+
+def test_recall_with_skewed_norms(spark):
+    draw = np.random.default_rng(13)
+    unit = draw.normal(size=(3000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    for norms in (np.where(np.arange(3000) == 5, 100.0, 1.0), draw.lognormal(size=3000)):
+        x = unit * norms[:, None]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        asked = range(0, 3000, 20)
+        found = {}
+        for r in nearest(df, df.where("vec_id % 20 = 0")).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        scores = x @ x.T
+        np.fill_diagonal(scores, -np.inf)
+        hit = [len(found.get(q, set()) & set(np.argsort(-scores[q])[:20].tolist())) for q in asked]
+        print("recall", sum(hit) / 3000)
+        assert sum(hit) > 0.93 * 3000 and all(len(found[q]) == 20 for q in asked)
