@@ -29,18 +29,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; others, and texts without letters, go."""
     net = train_language(docs.where(remainder("doc_id", 3) != 1))
-    found = identify_language(docs, net, predicted="_lang", score="_score")
-    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    name, score = _free(docs, "found_lang"), _free(docs, "lang_score")
+    found = identify_language(docs, net, predicted=name, score=score)
+    return found.where((F.col(name) != UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good ones."""
     labels = _table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1)
-    found = score_quality(docs, train_quality(docs, labels), score="_score")
-    return found.where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    score = _free(docs, "quality_score")
+    found = score_quality(docs, train_quality(docs, labels), score=score)
+    return found.where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +61,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return drop_contaminated(found).select(*docs.columns)
+    own = [c for c in docs.columns if c.lower() == "contamination"]
+    kept = docs.withColumnsRenamed({c: _free(docs, c) for c in own})
+    clean = drop_contaminated(find_contamination(kept, _table(spark, sf_dir, "benchmark")))
+    return clean.drop("contamination").withColumnsRenamed({_free(docs, c): c for c in own}).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

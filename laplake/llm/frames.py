@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from laplake.llm.text import give_back
 from laplake.session import new_folder
 
 
@@ -35,6 +36,7 @@ def attach(df: DataFrame, fields: Iterable[StructField], compute: Callable) -> D
             arrays = compute(batch)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), *arrays], names=[*keep, *(f.name for f in fields)])
+        give_back()
 
     return df.mapInArrow(run, StructType([*kept, *fields]))
 

@@ -35,6 +35,7 @@ from laplake.llm.frames import by_ids, staged
 from laplake.llm.text import (
     blank_class,
     flat_bytes,
+    give_back,
     lowered,
     mix,
     row_slices,
@@ -115,11 +116,12 @@ def packed_bits(lows: np.ndarray) -> np.ndarray:
     The minima are scattered first: the low bits of a product by an odd number depend on
     those of the shingle alone, and would agree by chance under all hash functions or none.
     """
-    low = np.empty(lows.shape, dtype=np.uint64)
+    out = np.empty((len(lows), LONGS), dtype=np.uint64)
+    places = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
     for at in range(0, len(lows), 256):
-        low[at:at + 256] = mix(lows[at:at + 256].astype(np.uint64)) & np.uint64((1 << BITS) - 1)
-    low = low.reshape(len(lows), LONGS, 64 // BITS)
-    return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
+        low = mix(lows[at:at + 256].astype(np.uint64)) & np.uint64((1 << BITS) - 1)
+        np.bitwise_or.reduce(low.reshape(-1, LONGS, 64 // BITS) << places, axis=2, out=out[at:at + 256])
+    return out.view(np.int64)
 
 
 def estimated(left: Column | str, right: Column | str) -> Column:
@@ -148,7 +150,7 @@ def sketches(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at, to in row_slices(batch.column(text), 2 << 20):
+            for at, to in row_slices(batch.column(text), rows=1024):
                 part = batch.slice(at, to - at)
                 sets, limits = shingle_sets(part.column(text))
                 n = np.diff(limits)
@@ -168,6 +170,7 @@ def sketches(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(doc_id), pa.array(n, pa.int64()), *halves, *lists],
                     names=["id", "n", "d1", "d2", "bands", "bits"])
+        give_back()
 
     schema = StructType([
         StructField("id", documents.schema[doc_id].dataType), *(StructField(c, LongType()) for c in ("n", "d1", "d2")),
@@ -175,19 +178,22 @@ def sketches(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return documents.select(doc_id, text).mapInArrow(run, schema)
 
 
-def _sets_of(documents: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, shingles) of the given documents."""
+def _sets_of(documents: DataFrame, nodes: DataFrame, doc_id: str, text: str, repeated: bool) -> DataFrame:
+    """(node, shingles) of the given documents, once for each; ``repeated``: some id has several rows."""
     chosen = by_ids(
         documents.select(F.col(doc_id).alias("node"), F.col(text).alias("text")), nodes.select("node"), "node", "left_semi")
+    if repeated:
+        chosen = chosen.distinct()
 
     def run(batches):
         for batch in batches:
-            for at, to in row_slices(batch.column("text"), 2 << 20):
+            for at, to in row_slices(batch.column("text"), rows=1024):
                 part = batch.slice(at, to - at)
                 sets, limits = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(sets))],
                     names=["node", "shingles"])
+        give_back()
 
     return chosen.mapInArrow(run, StructType([chosen.schema["node"], StructField("shingles", ArrayType(LongType()))]))
 
@@ -195,9 +201,10 @@ def _sets_of(documents: DataFrame, nodes: DataFrame, doc_id: str, text: str) ->
 class _Links:
     """Confirmed and refused pairs so far, and the sets that were needed for them."""
 
-    def __init__(self, documents: DataFrame, classes: DataFrame, doc_id: str, text: str, percent: int):
+    def __init__(self, documents: DataFrame, classes: DataFrame, doc_id: str, text: str, percent: int,
+                 repeated: bool):
         self.documents, self.classes, self.doc_id, self.text = documents, classes, doc_id, text
-        self.percent = percent
+        self.percent, self.repeated = percent, repeated
         self.sets: list[DataFrame] = []
         self.tested: list[DataFrame] = []
 
@@ -215,7 +222,7 @@ class _Links:
         """Compute and keep the shingle sets of those nodes whose sets are not there yet."""
         if self.sets:
             nodes = nodes.join(reduce(DataFrame.union, self.sets).select("node"), "node", "left_anti")
-        self.sets.append(staged(_sets_of(self.documents, nodes, self.doc_id, self.text), "shingles"))
+        self.sets.append(staged(_sets_of(self.documents, nodes, self.doc_id, self.text, self.repeated), "shingles"))
 
     def with_bounds(self, members: DataFrame) -> DataFrame:
         """(key, node, n, most): members that may still have a link among all given ones.
@@ -232,7 +239,7 @@ class _Links:
         bounded = sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").select(
             "node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int").alias("most"))
         likely = staged(bounded.where(F.col("most") * 100 >= F.col("n") * self.percent), "bounds")
-        return members.select("key", "node").join(likely, "node")
+        return members.select("key", "node", "size").join(likely, "node")
 
     def confirm(self, pairs: DataFrame, estimated_before: bool = False) -> DataFrame | None:
         """The pairs that are links on full sets; None if no new pair is one."""
@@ -267,9 +274,11 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"),
             F.first("bits").alias("bits")), "classes")
     placed = classes.select("node", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    members = staged(placed.join(shared.select("key", "hub"), "key"), "buckets")
-    links = _Links(documents, classes, doc_id, text, percent)
+    shared = placed.groupBy("key").agg(
+        F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("hub <> last")
+    members = staged(placed.join(shared.select("key", "hub", "size"), "key"), "buckets")
+    repeated = not rows.groupBy("id").count().where("count > 1").isEmpty()
+    links = _Links(documents, classes, doc_id, text, percent, repeated)
 
     edges = links.confirm(
         members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
@@ -316,14 +325,23 @@ def _open_buckets(members: DataFrame, components: DataFrame, salt: int) -> DataF
     bucket and round, ``main`` the component with most members.
     """
     named = components.withColumnRenamed("component", "c")
-    own = [c for c in ("key", "node", "n", "most") if c in members.columns]
+    own = [c for c in ("key", "node", "size", "n", "most") if c in members.columns]
     members = members.select(*own).join(named, "node", "left").withColumn("c", F.coalesce("c", "node"))
     order = F.xxhash64("key", "node", F.lit(salt))
-    mixed = members.groupBy("key").agg(
-        F.min("c").alias("c0"), F.max("c").alias("c1"), F.mode("c").alias("main"),
-        F.min_by("node", order).alias("hub"), F.min_by("c", order).alias("hub_c"), F.count(F.lit(1)).alias("size"),
+    # Counted by component first, so that no row holds all components of a bucket.
+    counted = members.groupBy("key", "c").agg(
+        F.min_by("node", order).alias("hub"), F.min(order).alias("place"), F.count(F.lit(1)).alias("size"),
+        F.max("size").alias("before"))
+    mixed = counted.groupBy("key").agg(
+        F.min("c").alias("c0"), F.max("c").alias("c1"), F.max_by("c", F.struct("size", "c")).alias("main"),
+        F.min_by("hub", F.col("place")).alias("hub"), F.min_by("c", F.col("place")).alias("hub_c"),
+        F.sum("size").alias("now"), F.max("before").alias("size"),
     ).where("c0 <> c1").drop("c0", "c1")
-    return staged(members.join(mixed, "key"), "open-buckets")
+    # A bucket's members are spread over one part for each block of its size before.
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    spread = mixed.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).drop("size")
+    placed = members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("size")
+    return staged(placed.join(spread, ["key", "part"]).drop("part").withColumnRenamed("now", "size"), "open-buckets")
 
 
 def _hub_pairs(members: DataFrame) -> DataFrame:
@@ -393,6 +411,7 @@ def _all_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
             rest = table.slice(cuts[-1])
         if rest is not None:
             yield from near(rest)
+        give_back()
 
     kind = members.schema["node"].dataType
     return rows.mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)])).distinct()

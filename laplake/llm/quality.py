@@ -167,8 +167,9 @@ def train_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(
         (F.avg(label) >= 0.5).cast("int").alias("_label"))
     sample, counts = class_sample(known, doc_id, "_label", per_class)
-    # At most two classes of about per_class rows: bounded whatever the input.
-    rows = documents.select(doc_id, text).join(F.broadcast(sample), doc_id)
+    # At most two classes of about per_class ids, and one text of each: bounded whatever the input.
+    rows = documents.select(doc_id, text).join(F.broadcast(sample), doc_id).groupBy(doc_id, "_label").agg(
+        F.min(text).alias(text))
 
     def cut(batches):
         for batch in batches:

@@ -13,15 +13,25 @@ SCALE = 1 << 30
 def class_sample(rows: DataFrame, key: str, label: str, per_class: int) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each label, or all where there are fewer, and all labels' counts.
 
-    A row is in or out by the hash of its key, so every run takes the same rows.
+    A row is in or out by the hash of its key, so every run takes the same rows. Of
+    rows that share key and label, the least one by its other columns is taken.
     """
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = rows.groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(key, 0.01).alias("keys")).collect()
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(SCALE))
     keep = F.lit(False)
-    for value, n in counts.items():
-        bar = SCALE if n <= per_class else math.floor(SCALE * per_class / n)
-        keep = keep | ((F.col(label) == F.lit(value)) & (place < bar))
-    return rows.where(keep), counts
+    for r in found:
+        bar = SCALE if r["keys"] <= per_class else math.floor(SCALE * per_class / r["keys"])
+        keep = keep | ((F.col(label) == F.lit(r[label])) & (place < bar))
+    sample = rows.where(keep)
+    others = [c for c in rows.columns if c not in (key, label)]
+    if others:
+        least = F.min(F.struct(*others)).alias("_least")
+        sample = sample.groupBy(key, label).agg(least).select(
+            *(F.col(c) if c in (key, label) else F.col(f"_least.{c}") for c in rows.columns))
+    else:
+        sample = sample.distinct()
+    return sample, {r[label]: r["n"] for r in found}
 
 
 class Adam:

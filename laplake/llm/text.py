@@ -7,6 +7,7 @@ bytes alone: equal words hash alike in every document, task and run.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -20,11 +21,26 @@ ROOT = 0x9E3779B97F4A7C17  # odd, so it has an inverse modulo 2**64
 
 
 def per_worker(name: str, make: Callable):
-    """A value made once per Python worker and kept from task to task."""
-    held = sys.modules.setdefault("_laplake_worker", types.ModuleType("_laplake_worker"))
-    if not hasattr(held, name):
-        setattr(held, name, make())
-    return getattr(held, name)
+    """A value made once per Python worker and kept from task to task.
+
+    Of names ``kind:which`` a worker keeps the last one of each kind.
+    """
+    held = vars(sys.modules.setdefault("_laplake_worker", types.ModuleType("_laplake_worker")))
+    if name not in held:
+        kind, colon, _ = name.partition(":")
+        for old in [k for k in held if colon and k.startswith(f"{kind}:")]:
+            del held[old]
+        held[name] = make()
+    return held[name]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers of an executor hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,14 +68,14 @@ def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[base:int(bounds[-1])], bounds - base
 
 
-def row_slices(column, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``size`` bytes of text, so that working arrays stay small."""
+def row_slices(column, size: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes of text and at most ``rows`` rows, so that working arrays stay small."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(lengths)
     at = 0
     while at < len(lengths):
         before = int(total[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(total, before + size, side="right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(total, before + size, side="right"))))
         yield at, to
         at = to
 

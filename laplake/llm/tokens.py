@@ -46,13 +46,14 @@ def _code_classes() -> np.ndarray:
     import regex
 
     classes = np.zeros(0x110000, dtype=np.uint8)
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(every)
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
-        for found in regex.finditer(pattern, text):
-            s, e = found.span()
-            classes[ord(text[s]):ord(text[e - 1]) + 1] = kind
-    classes[0xD800:0xE000] = OTHER
+    for first in range(0, 0x110000, 0x800):
+        if 0xD800 <= first < 0xE000:  # halves of pairs are no characters
+            continue
+        text = "".join(map(chr, range(first, first + 0x800)))
+        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
+            for found in regex.finditer(pattern, text):
+                s, e = found.span()
+                classes[first + s:first + e] = kind
     return classes
 
 

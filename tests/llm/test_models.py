@@ -176,3 +176,12 @@ def test_recall_with_skewed_norms(spark):
         hit = [len(found.get(q, set()) & set(np.argsort(-scores[q])[:20].tolist())) for q in asked]
         print("recall", sum(hit) / 3000)
         assert sum(hit) > 0.93 * 3000 and all(len(found[q]) == 20 for q in asked)
+
+
+def test_sample_is_bounded_with_repeated_ids(spark):
+    rows = spark.range(40000).select((F.col("id") % 20).alias("doc_id"), F.lit("a b").alias("text"), F.lit("xx").alias("lang"))
+    sample, counts = class_sample(rows, "doc_id", "lang", 1000)
+    assert counts == {"xx": 40000} and sorted(r["doc_id"] for r in sample.collect()) == list(range(20))
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("xx").alias("lang"))
+    again = class_sample(rows.union(rows), "doc_id", "lang", 500)[0].collect()
+    assert 400 < len(again) < 600 and len(set(again)) == len(again)

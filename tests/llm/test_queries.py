@@ -136,3 +136,15 @@ def test_pipeline_is_its_stages(spark, docs):
     empty = spark.createDataFrame([], rows.schema)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, TINY).count() == 0, name
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    from pyspark.sql import functions as F
+    names = ["_score", "_lang", "found_lang", "lang_score", "quality_score", "Contamination", "kept", "hub"]
+    rows = spark.read.parquet(f"{TINY}/documents.parquet").withColumns(
+        {name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, TINY)
+        assert out.columns == rows.columns
+        found = out.collect()
+        assert found and all(r[name] == f"{name}{r['doc_id']}" for r in found for name in names)
