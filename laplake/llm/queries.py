@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
 from laplake.llm.chat import (
     branches,
@@ -15,12 +19,13 @@ from laplake.llm.chat import (
     turns_as_replies,
 )
 from laplake.llm.decontaminate import find_contamination
-from laplake.llm.frames import remainder
+from laplake.llm.frames import attach, remainder
 from laplake.llm.language import identify_language, train_language
 from laplake.llm.lm_score import lm_scores
 from laplake.llm.near_dedup import near_duplicates
 from laplake.llm.nearest import nearest
 from laplake.llm.packing import pack
+from laplake.llm.periodic_runs import periodic_runs
 from laplake.llm.quality import score_quality, train_quality
 from laplake.llm.token_counts import count_tokens
 from laplake.llm.token_files import read_token_files, write_token_files
@@ -205,3 +210,38 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_scores(documents, remainder("doc_id", 7) != 2).withColumn("held_out", _held_out(7, 2))
+
+
+def repeated_tails(documents: DataFrame) -> DataFrame:
+    """One document in ten, by the crc32 of its id, ends in repeats of a few of its words."""
+
+    def changed(doc_id, text):
+        h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "") if h % 10 == 0 else []
+        if not words:
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return " ".join([*words[:a], *(words[a + k % p] for k in range(n - a))])
+
+    def compute(batch):
+        rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
+        return [pa.array([changed(*row) for row in rows], pa.string())]
+
+    return attach(documents.select("doc_id", "text"), [StructField("text", StringType())], compute)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    size, period = F.col("longest.length"), -F.col("longest.period")
+    return found.select(
+        "doc_id", "n_runs", (-F.col("longest.start")).alias("start"), size.alias("length"), period.alias("period"),
+        F.floor(1000 * size / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")

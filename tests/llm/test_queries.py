@@ -1,5 +1,7 @@
 """The registered queries on the smallest tables, against brute force."""
 
+import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -9,6 +11,7 @@ import pytest
 import corpus_pipeline
 from laplake.llm.queries import ORACLES, QUERIES
 from laplake.llm.tokens import ByteTokenizer, vocabulary_path
+from test_periodic_runs import brute_runs, collapsed
 from test_texts import blank, brute_base
 
 TINY = "/root/testdata/sf0.001"
@@ -39,7 +42,7 @@ def crc(values):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 12)]
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -148,3 +151,28 @@ def test_stages_keep_columns_of_any_name(spark, docs):
         assert out.columns == rows.columns
         found = out.collect()
         assert found and all(r[name] == f"{name}{r['doc_id']}" for r in found for name in names)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_periodic_runs(spark, docs):
+    found = {r["doc_id"]: r for r in rows_of(spark, "op11_periodic_runs")}
+    assert set(found) == set(docs)
+    changed = 0
+    for i, row in docs.items():
+        words, h = re.findall(r"[^\x20\x09-\x0D]+", row["text"] or ""), zlib.crc32(str(i).encode())
+        if h % 10 == 0 and words:
+            n, g = len(words), h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[k] if k < a else words[a + (k - a) % p] for k in range(n)]
+            changed += 1
+        runs, r = brute_runs(words), found[i]
+        best = min(runs, key=lambda v: (-v[1], v[0], v[2]), default=(None,) * 3)
+        milli = None if not runs else 1000 * best[1] // best[2]
+        assert (r["n_runs"], r["start"], r["length"], r["period"], r["exponent_milli"]) == (len(runs), *best, milli)
+        assert r["runs_sha256"] == sha("".join(f"{s},{n},{p}\n" for s, n, p in runs))
+        assert r["collapsed_sha256"] == sha(collapsed(words, runs))
+    assert changed > 10 and sum(r["n_runs"] > 0 for r in found.values()) > 5
