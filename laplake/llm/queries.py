@@ -19,6 +19,7 @@ from laplake.llm.chat import (
     turns_as_replies,
 )
 from laplake.llm.decontaminate import find_contamination
+from laplake.llm.exact_dedup import exact_duplicates
 from laplake.llm.frames import attach, remainder
 from laplake.llm.language import identify_language, train_language
 from laplake.llm.lm_score import lm_scores
@@ -245,3 +246,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_runs", (-F.col("longest.start")).alias("start"), size.alias("length"), period.alias("period"),
         F.floor(1000 * size / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op12_exact_dedup"] = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
+FROM texts JOIN firsts USING (t)
+"""
