@@ -20,7 +20,7 @@ from laplake.llm.chat import (
 )
 from laplake.llm.decontaminate import find_contamination
 from laplake.llm.exact_dedup import exact_duplicates
-from laplake.llm.frames import attach, remainder
+from laplake.llm.frames import attach, remainder, staged
 from laplake.llm.language import identify_language, train_language
 from laplake.llm.lm_score import lm_scores
 from laplake.llm.near_dedup import near_duplicates
@@ -30,6 +30,7 @@ from laplake.llm.periodic_runs import periodic_runs
 from laplake.llm.quality import score_quality, train_quality
 from laplake.llm.token_counts import count_tokens
 from laplake.llm.token_files import read_token_files, write_token_files
+from laplake.llm.va_clusters import centroid_clusters
 from laplake.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +262,43 @@ firsts AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM texts G
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
 FROM texts JOIN firsts USING (t)
 """
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = staged(centroid_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), "clusters")
+    sums = placed.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    total = sums.agg(F.sum("cluster_inertia")).first()[0] or 0
+    found = placed.join(F.broadcast(sums), "cluster")  # a row per cluster
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", F.lit(total).cast("long").alias("inertia"),
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+_DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+_ROUND = """
+near_{0} AS MATERIALIZED (
+    SELECT r, arg_min(c, d) AS c FROM (SELECT v.r, c.c, {2} * 1000 + c.c AS d FROM v, c_{0} c) GROUP BY r),
+sums_{0} AS (
+    SELECT c, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n
+    FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(x) AS y FROM near_{0} JOIN v USING (r)) GROUP BY c, i),
+means_{0} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM sums_{0} GROUP BY c),
+c_{1} AS MATERIALIZED (SELECT c, coalesce(m.x, o.x) AS x FROM c_{0} o LEFT JOIN means_{0} m USING (c)),"""
+
+ORACLES["op13_centroid_clusters"] = """
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id,
+        list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c_0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h) - 1 AS c, x
+    FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 16)),""" + "".join(
+    _ROUND.format(i, i + 1, _DISTANCE) for i in range(3)) + f"""
+last AS MATERIALIZED (
+    SELECT r, min(d) AS d FROM (SELECT v.r, {_DISTANCE} * 1000 + c.c AS d FROM v, c_3 c) GROUP BY r),
+named AS (SELECT vec_id, CAST(d % 1000 AS INTEGER) AS cluster, d // 1000 AS distance FROM last JOIN v USING (r)),
+inner_sums AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM named GROUP BY cluster)
+SELECT vec_id, cluster, distance, cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM named) AS inertia,
+    sha256(array_to_string(c_3.x, ',')) AS centroid_sha256
+FROM named JOIN inner_sums USING (cluster) JOIN c_3 ON c_3.c = named.cluster
+"""
