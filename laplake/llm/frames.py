@@ -36,7 +36,7 @@ def attach(df: DataFrame, fields: Iterable[StructField], compute: Callable) -> D
             arrays = compute(batch)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), *arrays], names=[*keep, *(f.name for f in fields)])
-        give_back()
+            give_back()
 
     return df.mapInArrow(run, StructType([*kept, *fields]))
 

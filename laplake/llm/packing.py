@@ -165,7 +165,7 @@ def pack(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", end_i
                 for start in range(0, size - capacity + 1, capacity):
                     full.append([(capacity, (row, start, ids[a + start:a + start + capacity]))])
                 if left := size % capacity:
-                    pool.put(left, (row, size - left, ids[b - left:b]))
+                    pool.put(left, (row, size - left, ids[b - left:b].copy()))
             sequence = yield from rows(full, sequence)
             if pool.total > pool_windows * capacity:
                 sequence = yield from rows(pool.windows(pool_windows * capacity // 4), sequence)

@@ -11,11 +11,10 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from laplake.llm.text import flat_bytes, per_worker, row_slices, span_hashes
+from laplake.llm.text import flat_bytes, give_back, per_worker, row_slices, span_hashes
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -172,7 +171,8 @@ class ByteTokenizer:
     def _words(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Row of the word table for each pre-token."""
         ends = np.append(starts[1:], len(data))
-        codes, keys = pd.factorize(span_hashes(data, starts, ends))
+        distinct = pa.array(span_hashes(data, starts, ends)).dictionary_encode()
+        codes, keys = distinct.indices.to_numpy(), distinct.dictionary.to_numpy()
         if len(self.table.keys) + len(keys) > CACHE_WORDS:
             self.table.clear()
         place, held = self.table.find(keys)
@@ -242,6 +242,7 @@ def token_slices(batches, text: str, path: str | None):
             part = batch.slice(at, to - at)
             ids, bounds = tokenizer(path).column(part.column(text))
             yield part, ids, bounds
+        give_back()
 
 
 def append_id(ids: np.ndarray, bounds: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
