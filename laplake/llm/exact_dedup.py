@@ -29,6 +29,7 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition takes megabytes of disk
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
@@ -117,12 +118,21 @@ def _met(rows: DataFrame, entries: DataFrame, bar: int) -> DataFrame:
 
 
 def _unlike(rows: DataFrame, entries: DataFrame, bar: int) -> DataFrame:
-    """Digests of which some row's text is not the text at the entry's place."""
-    met = _met(rows, entries.where("n > 1"), bar)
-    hits = met.where("NOT kept").groupBy("digest", "part", "text").agg(F.count(F.lit(1)).alias("rows"))
-    held = met.where("kept").select(
-        "digest", F.col("text").alias("held"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return hits.join(held, ["digest", "part"]).where(F.col("text") != F.col("held")).select("digest").distinct()
+    """Digests of which some row's text is not the text at the entry's place.
+
+    Rows of digests with at least ``bar`` rows are combined in their tasks, the others meet by
+    digest. As the entry names one of the rows, all texts are its text if the least and the
+    greatest of them are.
+    """
+    columns = ["digest", F.col("file").alias("keep_file"), F.col("row").alias("keep_row")]
+    hot, cold = (entries.where(where).select(*columns) for where in (F.col("n") >= bar, (F.col("n") > 1) & (F.col("n") < bar)))
+    held = F.max(F.when((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row")), F.col("text")))
+    checked = []
+    for met in (rows.join(F.broadcast(hot), "digest"),
+                rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest")):
+        texts = met.groupBy("digest").agg(held.alias("held"), F.min("text").alias("least"), F.max("text").alias("most"))
+        checked.append(texts.where("NOT (least <=> held AND most <=> held)").select("digest"))
+    return checked[0].union(checked[1])
 
 
 def exact_duplicates(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text",
