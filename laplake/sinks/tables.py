@@ -92,6 +92,23 @@ class VersionedTable:
             if version < before:
                 fs.delete(self._path(f"version={version}"), True)
 
+    def remove(self, files: Sequence[str]) -> None:
+        """Delete those of the files that are in this table, and the versions that are empty then."""
+        path, fs = self._folder()
+        root, path_of = f"{fs.makeQualified(path).toString()}/", self.spark._jvm.org.apache.hadoop.fs.Path
+        changed = set()
+        for name in files:
+            file = path_of(self.spark._jvm.java.net.URI(name))
+            if file.toString().startswith(root):
+                fs.delete(file, False)
+                changed.add(file.toString()[len(root):].split("/")[0])
+        for name in changed:
+            rest, empty = fs.listFiles(self._path(name), True), True
+            while empty and rest.hasNext():
+                empty = rest.next().getPath().getName().startswith(("_", "."))
+            if empty:
+                fs.delete(self._path(name), True)
+
     def merge(self, version: int) -> None:
         """Write the newest rows as ``version``, which must be above all others, and drop the rest."""
         self.write(self.latest(), version)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from laplake.operators.features import LAPS, LapColumns, lap_features
 from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup
+from laplake.session import cut_lineage
 from laplake.sinks.tables import VersionedTable
 
 
@@ -22,9 +23,12 @@ class FeatureStream:
     and repeated laps give the result a batch job would give. Without order
     columns in the stream the message with the largest values counts.
 
-    Tables are versioned by batch: a batch that is run again after a failure
-    replaces what it wrote before. After every ``merge_every`` batches the versions
-    are merged into one, so a batch reads and keeps a bounded number of them.
+    Every batch is a version of its own under a fresh number. A list of live versions
+    names for every driver the one that holds its features, so a batch counts once its
+    entries are there; one that is run again after a failure adds a version with the
+    same rows. A session with ``merge_every`` versions of one level has these merged
+    into one of the next level, and only such sessions are rewritten: a row is
+    written again once per level, so as often as the logarithm of the number of batches.
     """
 
     def __init__(self, spark: SparkSession, path: str, cols: LapColumns = LAPS, limits: Limits = LIMITS,
@@ -35,43 +39,79 @@ class FeatureStream:
         self.order = list(order)
         self.merge_every = merge_every
         self.lap_keys = [*cols.keys, cols.order]
-        partitions = [cols.keys[0]]
-        self.raw = VersionedTable(spark, f"{path}/laps", self.lap_keys, partitions, self.order)
-        self.features = VersionedTable(spark, f"{path}/features", self.lap_keys, partitions)
-        self.touched = VersionedTable(spark, f"{path}/touched", cols.keys)
+        self.session = cols.keys[0]
+        self.raw = VersionedTable(spark, f"{path}/laps", self.lap_keys, [self.session], self.order)
+        self.features = VersionedTable(spark, f"{path}/features", self.lap_keys, [self.session])
+        self.live = VersionedTable(spark, f"{path}/live", cols.keys, [self.session])
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Take in one batch. Even versions are batches, odd ones merges."""
-        version = 2 * batch_id
+        """Take in one batch."""
         batch = batch.persist()
         try:
             if batch.isEmpty():
                 return
+            version = self._fresh()
             touched = batch.select(*self.cols.keys).distinct()
             self.raw.write(self.raw.latest(batch), version)
-            self.touched.write(touched, version)
             # The touched sessions prune the folders of the raw table as the query runs.
-            history = lookup(self.raw.all().where(F.col("version") <= version), touched, self.cols.keys, "left_semi")
+            history = lookup(self.raw.all(), touched, self.cols.keys, "left_semi")
             hot = HotGroups.measure(history, self.cols.keys, self.limits)
             mine = self.raw.latest(history).drop(*self.order)
             self.features.write(lap_features(mine, self.cols, hot=hot, limits=self.limits), version)
-            if (batch_id + 1) % self.merge_every == 0:
-                self.merge(version + 1)
+            # Named last: until then readers take the rows of the versions before.
+            self.live.write(touched.select("*", F.lit(version).alias("since"), F.lit(0).alias("level")), version)
         finally:
             batch.unpersist()
+        self.compact()
 
-    def merge(self, version: int) -> None:
-        """One version instead of many. Old ones go last, so a failure in between loses nothing."""
-        self.raw.write(self.raw.latest(), version)
-        self.features.write(self.table(), version)
-        self.touched.write(self.touched.all().select(*self.cols.keys).distinct(), version)
-        for table in (self.touched, self.features, self.raw):
-            table.expire(version)
+    def _fresh(self) -> int:
+        """A number above all that were ever begun."""
+        return 1 + max((n for t in (self.raw, self.features, self.live) for n in t.versions()), default=-1)
+
+    def compact(self) -> None:
+        """Merge the versions of one level of every session that has ``merge_every`` of them."""
+        while len(self.live.versions()) >= self.merge_every:
+            versions = self.live.all().select(self.session, "version", "level").distinct()
+            full = versions.groupBy(self.session, "level").agg(F.count(F.lit(1)).alias("n")).where(
+                F.col("n") >= self.merge_every).groupBy(self.session).agg(F.min("level").alias("level"))
+            due = cut_lineage(lookup(versions, full, [self.session, "level"], "left_semi"))
+            if due.isEmpty():
+                return
+            self._merge(due)
+
+    def _merge(self, due: DataFrame) -> None:
+        """One version instead of the given ones (session, version, level).
+
+        The list of live versions changes last, and old files go after that, so a failure
+        in between loses nothing and leaves at most copies.
+        """
+        pairs, number = [self.session, "version"], self._fresh()
+        due = due.select(*pairs)
+        tables = [t.all() for t in (self.live, self.features, self.raw)]
+        old = [lookup(rows, due, pairs, "left_semi") for rows in tables]
+        places = [lookup(rows.select(*pairs, "_metadata.file_path"), due, pairs, "left_semi") for rows in tables]
+        files = [row[0] for rows in places for row in rows.select("file_path").distinct().toLocalIterator()]
+        newest = self._newest(old[0], F.max("level").alias("level"))
+        self.raw.write(self.raw.latest(old[2]), number)
+        self.features.write(self._held(old[1], newest), number)
+        # Every session has versions of one level here.
+        self.live.write(newest.select(*self.cols.keys, "since", (F.col("level") + 1).alias("level")), number)
+        for table in (self.live, self.features, self.raw):
+            table.remove(files)
+
+    def _newest(self, entries: DataFrame, *more) -> DataFrame:
+        """Per driver the version with its features; ``since`` is the batch that gave them."""
+        place = F.struct("since", "version")
+        return entries.groupBy(*self.cols.keys).agg(
+            F.max("since").alias("since"), F.max_by("version", place).alias("version"), *more)
+
+    def _held(self, features: DataFrame, newest: DataFrame) -> DataFrame:
+        keys = [*self.cols.keys, "version"]
+        return lookup(features, newest.select(*keys), keys, "left_semi").drop("version")
 
     def table(self) -> DataFrame:
         """Current features: for every driver the rows of the last batch that touched it."""
-        newest = self.touched.all().groupBy(*self.cols.keys).agg(F.max("version").alias("version"))
-        return lookup(self.features.all(), newest, [*self.cols.keys, "version"], "left_semi").drop("version")
+        return self._held(self.features.all(), self._newest(self.live.all()))
 
     def start(self, laps: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Follow a stream of decoded laps; by default every five seconds."""

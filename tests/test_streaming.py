@@ -4,6 +4,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from laplake.operators.features import lap_features
 from laplake.operators.groups import Limits
 from laplake.plans.fixtures import RaceData
 from laplake.sinks.tables import VersionedTable
@@ -36,7 +37,7 @@ def test_shuffled_and_repeated_laps_equal_batch(spark, data, rows, tmp_path):
     stream = messages.landed_stream(spark, path, data.laps.select(*LAP).schema, files_per_trigger=1)
     job = FeatureStream(spark, str(tmp_path / "out"))
     run_available(stream, str(tmp_path / "progress"), job.process)
-    assert job.touched.versions() == [0, 2, 4, 6]
+    assert job.live.versions() == [0, 1, 2, 3]
     assert rows(job.table(), *NAMES) == rows(data.features, *NAMES)
 
 
@@ -61,16 +62,90 @@ def test_the_size_of_batches_does_not_matter(spark, data, rows, tmp_path, order)
         assert results[0] == rows(data.features.where("driver_number < 12"), *NAMES)
 
 
+def _counted(job, table):
+    """Rows written so far to a table of the job, by version."""
+    written, write = {}, table.write
+
+    def counting(frame, version):
+        write(frame, version)
+        written[version] = table.all().where(F.col("version") == version).count()
+
+    table.write = counting
+    return written
+
+
 def test_many_batches_keep_few_versions(spark, data, rows, tmp_path):
     job = FeatureStream(spark, str(tmp_path / "out"), merge_every=4)
     laps = data.laps.select(*LAP).where("driver_number < 6")
-    for batch in range(13):
-        job.process(laps.where(f"lap_number % 13 = {batch}"), batch)
-        for table in (job.raw, job.features, job.touched):
-            assert len(table.versions()) <= 5
+    written = _counted(job, job.raw)
+    for batch in range(20):
+        job.process(laps.where(f"lap_number % 20 = {batch}"), batch)
+        for table in (job.raw, job.features, job.live):
+            assert len(table.versions()) <= 3 * 2 + 1
+    # Twenty batches in levels of four: every row once as it came, and at most twice in merges.
+    assert laps.count() < sum(written.values()) <= 3 * laps.count()
+    assert job.raw.all().count() == laps.count()
     assert rows(job.table(), *NAMES) == rows(data.features.where("driver_number < 6"), *NAMES)
 
 
+def test_only_sessions_with_many_versions_are_rewritten(spark, data, rows, tmp_path):
+    """A hundred sessions, of which ten come in six parts and the others in one."""
+    job = FeatureStream(spark, str(tmp_path / "out"), merge_every=3)
+    some = data.laps.select(*LAP).where("session_key = 1 AND driver_number = 1 AND lap_number <= 6")
+    laps = some.drop("session_key").crossJoin(spark.range(100).select(F.col("id").cast("int").alias("session_key")))
+    laps = laps.select(*LAP).persist()
+    written = _counted(job, job.raw)
+    batch = F.when(F.col("session_key") % 10 == 0, F.col("lap_number") % 6).otherwise(F.floor(F.col("session_key") / 17))
+    for at in range(6):
+        job.process(laps.where(batch == at), at)
+    # Both threes of parts are merged, the two results and the other sessions are not.
+    assert sum(written.values()) - laps.count() == laps.where("session_key % 10 = 0").count()
+    versions = job.live.all().groupBy("session_key").agg(F.countDistinct("version").alias("n"))
+    assert versions.agg(F.max("n")).first()[0] == 2
+    assert rows(job.table(), *NAMES) == rows(lap_features(laps), *NAMES)
+
+
+@pytest.mark.parametrize("step", ["raw", "features", "live", "remove"])
+def test_a_merge_that_fails_anywhere_loses_nothing(spark, data, rows, tmp_path, step):
+    laps = data.laps.select(*LAP).where("driver_number < 4")
+    job = FeatureStream(spark, str(tmp_path / "out"), merge_every=3)
+    for batch in range(2):
+        job.process(laps.where(f"lap_number % 4 = {batch}"), batch)
+    calls = []
+
+    class Stop(Exception):
+        pass
+
+    def failing(*args):
+        calls.append(args)
+        raise Stop
+
+    if step == "remove":
+        job.features.remove = failing
+    else:
+        table, write = getattr(job, step), getattr(job, step).write
+        table.write = lambda frame, version: failing() if version == 3 else write(frame, version)
+    with pytest.raises(Stop):
+        job.process(laps.where("lap_number % 4 = 2"), 2)
+    again = FeatureStream(spark, str(tmp_path / "out"), merge_every=3)
+    assert rows(again.table(), *NAMES) == rows(lap_features(laps.where("lap_number % 4 < 3")), *NAMES)
+    again.process(laps.where("lap_number % 4 = 2"), 2)
+    again.process(laps.where("lap_number % 4 = 3"), 3)
+    assert rows(again.table(), *NAMES) == rows(lap_features(laps), *NAMES)
+    assert calls and len(again.live.versions()) <= 4
+
+
+def test_a_retry_after_a_merge_reads_live_versions_only(spark, data, rows, tmp_path):
+    laps = data.laps.select(*LAP).where("driver_number < 4")
+    job = FeatureStream(spark, str(tmp_path / "out"), merge_every=2)
+    job.process(laps.where("lap_number % 2 = 0"), 0)
+    job.process(laps.where("lap_number % 2 = 1"), 1)
+    assert job.raw.versions() == job.features.versions() == job.live.versions() == [2]
+    job.process(laps.where("lap_number % 2 = 1"), 1)
+    assert job.raw.versions() == [2, 3] and job.raw.all().where("version < 2").count() == 0
+    assert rows(job.table(), *NAMES) == rows(data.features.where("driver_number < 4"), *NAMES)
+
+
 def test_a_version_is_replaced_as_a_whole(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"), ["id"], ["part"])
     schema = "id int, name string, part int"
