@@ -23,7 +23,7 @@ from laplake.llm.frames import staged
 from laplake.session import new_folder
 
 BATCH_BYTES = 1 << 38  # of files read into one micro-batch
-HOT_ROWS = 10_000  # of one digest, below which it is never spread
+HOT_ROWS = 1_000  # of one digest, below which it is never spread
 HOT_DIGESTS = 1_000  # so many at most have a thousandth of all rows or more
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
