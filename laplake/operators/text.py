@@ -63,6 +63,14 @@ def pit_note(laps_to_pit: Column, flagged: Column) -> Column:
     )
 
 
+def search_text(circuit: Column | None = None) -> Column:
+    """What a lap asks of the lap documents."""
+    rate = F.coalesce(F.col("tyre_degradation_rate"), F.lit(0.0))
+    return F.format_string(
+        "%s tyres %d laps degradation rate %.4f circuit %s lap %d", _known("tyre_compound", "UNKNOWN"),
+        _known("tyre_age_laps", 0), fixed(rate, 4), F.lit("Unknown") if circuit is None else circuit, "lap_number")
+
+
 def strategy_inputs(laps: DataFrame) -> DataFrame:
     """One row of strategy prompt inputs per lap.
 
@@ -77,8 +85,7 @@ def strategy_inputs(laps: DataFrame) -> DataFrame:
     gap = zero_to_null("gap_to_leader")
     return laps.select(
         "session_key", "driver_number", "lap_number", "total_race_laps", "circuit_name",
-        F.format_string("%s tyres %d laps degradation rate %.4f circuit %s lap %d",
-                        compound, age, fixed(rate, 4), "circuit_name", "lap_number").alias("search_text"),
+        search_text(F.col("circuit_name")).alias("search_text"),
         F.format_string("Lap time: %.3fs, rolling avg: %.3fs, delta to best: +%.3fs",
                         fixed("lap_duration", 3), fixed(pace, 3), fixed(delta, 3)).alias("pace_line"),
         F.format_string("Tyres: %s, %d laps old, degrading at %.4fs/lap",

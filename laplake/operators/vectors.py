@@ -62,7 +62,7 @@ def filter_vectors(corpus: DataFrame, year: int | None = None, driver: int | Non
 def _matrices(column: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(dimension, row numbers, unit vectors) of the usable rows, by length of the vector.
 
-    Null vectors and vectors with a null component are left out.
+    Null vectors and vectors with a null or non-finite component are left out.
     """
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -70,10 +70,10 @@ def _matrices(column: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.nda
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     values = lists.flatten()
     ends = np.cumsum(sizes)
+    flat = values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null as NaN
     gaps = np.zeros(len(values) + 1, dtype=np.int64)
-    np.cumsum(values.is_null().to_numpy(zero_copy_only=False), out=gaps[1:])
+    np.cumsum(~np.isfinite(flat), out=gaps[1:])
     whole = gaps[ends] == gaps[ends - sizes]
-    flat = values.to_numpy(zero_copy_only=False).astype(np.float64)
     for size in np.unique(sizes[whole & (sizes > 0)]).tolist():
         rows = np.flatnonzero(whole & (sizes == size))
         yield size, rows, _unit(flat[(ends[rows] - size)[:, None] + np.arange(size)])
@@ -84,13 +84,16 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+
+
 def _by_blocks(corpus: DataFrame, queries: DataFrame, meet: Callable, schema: StructType, block: int,
                part: int) -> DataFrame:
     """Every part of the corpus meets every block of queries in a task of its own.
 
     The corpus is counted once and read once, whatever the number of queries.
     """
-    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
     blocks = max(1, math.ceil(queries.count() / block))
     parts = max(1, math.ceil(corpus.count() / part))
 
@@ -104,49 +107,106 @@ def _by_blocks(corpus: DataFrame, queries: DataFrame, meet: Callable, schema: St
     return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(meet, schema)
 
 
+def _few(queries: DataFrame, block: int) -> pa.Table | None:
+    """The queries, if they are at most ``block``."""
+    rows = queries.limit(block + 1).toArrow()
+    return rows if len(rows) <= block else None
+
+
 def _cosines(vectors: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Cosine of every query with every vector, to six digits."""
     return np.round(asked @ vectors.T, 6) + 0.0
 
 
+def _best_rows(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """(query_id, score, id): of every query the k nearest of some vectors, ties by id."""
+    left = left.select(["id", "embedding"]).sort_by("id")
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    asked = {size: (rows, unit) for size, rows, unit in _matrices(right.column("embedding"))}
+    for size, rows, vectors in _matrices(left.column("embedding")):
+        names, unit = asked.get(size, (None, None))
+        for at in range(0, 0 if unit is None else len(unit), 256):
+            scores = _cosines(vectors, unit[at:at + 256])
+            # One whole number per pair, so that no two are equal: score, then place by id.
+            ranks = (np.rint(scores * 1e6).astype(np.int64) << 32) - np.arange(len(rows))
+            best = np.argpartition(ranks, -k, axis=1)[:, -k:] if len(rows) > k else np.broadcast_to(
+                np.arange(len(rows)), ranks.shape)
+            found.append((np.repeat(names[at:at + 256], best.shape[1]), rows[best].ravel(),
+                          np.take_along_axis(scores, best, axis=1).ravel()))
+    asker, row, score = (
+        np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+    return pa.table([
+        right.column("query_id").take(pa.array(asker)), pa.array(score, pa.float64()), left.column("id").take(pa.array(row))],
+        names=["query_id", "score", "id"])
+
+
+def _kept(hits: pa.Table, k: int) -> pa.Table:
+    """At most k of the hits of every query."""
+    hits = hits.sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")]).combine_chunks()
+    if not len(hits):
+        return hits
+    codes = hits.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+    return hits.take(pa.array(np.flatnonzero(place < k)))
+
+
+def _hit_schema(corpus: DataFrame) -> StructType:
+    return StructType([
+        StructField("query_id", StringType()), StructField("score", DoubleType()), corpus.schema["id"]])
+
+
+def _hits(corpus: DataFrame, queries: DataFrame, k: int, block: int, part: int) -> DataFrame:
+    """(query_id, score, id): at most k rows per query and task, the k nearest of all among them."""
+    corpus, queries = corpus.select("id", "embedding"), _asked(queries)
+    few = _few(queries, block)
+    if few is None:
+        return _by_blocks(corpus, queries, lambda left, right: _best_rows(left, right, k), _hit_schema(corpus), block, part)
+
+    def scan(batches):
+        held = None
+        for batch in batches:
+            found = _best_rows(pa.Table.from_batches([batch]), few, k)
+            held = found if held is None else _kept(pa.concat_tables([held, found]), k)
+        if held is not None:
+            yield from held.to_batches()
+
+    return corpus.mapInArrow(scan, _hit_schema(corpus))
+
+
+def _ranked(hits: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The k best hits of every query, with the other columns of the corpus."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    others = [c for c in corpus.columns if c not in ("id", "embedding")]
+    if not others:
+        return best
+    return corpus.select("id", *others).join(best, "id").select("query_id", "score", "id", *others, "rank")
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK,
           part: int = CORPUS_PART) -> DataFrame:
     """The k most similar vectors of every query by cosine, exact.
 
-    ``corpus`` has ``id``, ``embedding`` and metadata, ``queries`` has ``query_id``
-    and ``embedding``. Each task scores a part of the corpus against a block of
-    queries and keeps k rows per query, so at most k rows per part and query are
-    shuffled. Scores are rounded to six digits; equal scores are ordered by id.
-    Vectors with null components, or of another length than the query's, are no
-    candidates.
+    ``corpus`` has ``id``, which names a row, ``embedding`` and metadata, ``queries`` has
+    ``query_id`` and ``embedding``. Up to ``block`` queries travel to the corpus, which is not
+    shuffled; more of them meet it in blocks. Only ids and vectors are scored, and at most k rows
+    per part and query are shuffled; metadata is joined to the k best. Scores are rounded to six
+    digits; equal scores are ordered by id. Vectors with null or non-finite components, or of
+    another length than the query's, are no candidates.
     """
-    keep = [field for field in corpus.schema.fields if field.name != "embedding"]
-    schema = StructType([StructField("query_id", StringType()), StructField("score", DoubleType()), *keep])
-    columns = [field.name for field in keep]
+    return _ranked(_hits(corpus, queries, k, block, part), corpus, k)
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("id")
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        asked = {size: (rows, unit) for size, rows, unit in _matrices(right.column("embedding"))}
-        for size, rows, vectors in _matrices(left.column("embedding")):
-            names, unit = asked.get(size, (None, None))
-            for at in range(0, 0 if unit is None else len(unit), 256):
-                scores = _cosines(vectors, unit[at:at + 256])
-                # One whole number per pair, so that no two are equal: score, then place by id.
-                ranks = (np.rint(scores * 1e6).astype(np.int64) << 32) - np.arange(len(rows))
-                best = np.argpartition(ranks, -k, axis=1)[:, -k:] if len(rows) > k else np.broadcast_to(
-                    np.arange(len(rows)), ranks.shape)
-                found.append((np.repeat(names[at:at + 256], best.shape[1]), rows[best].ravel(),
-                              np.take_along_axis(scores, best, axis=1).ravel()))
-        asker, row, score = (
-            np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
-        hits = left.select(columns).take(pa.array(row))
-        hits = hits.add_column(0, "score", pa.array(score, pa.float64()))
-        return hits.add_column(0, "query_id", right.column("query_id").take(pa.array(asker)))
-
-    found = _by_blocks(corpus, queries, meet, schema, block, part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+def search_texts(corpus: DataFrame, questions: DataFrame, encoder: Encoder, k: int = 3, year: int | None = None,
+                 driver: int | None = None, compound: str | None = None, batch: int = C.EMBEDDING_BATCH) -> DataFrame:
+    """The k most similar documents of every question (``query_id``, ``question``), by its encoded text.
+
+    Questions are encoded in the plan of the search; the metadata filter reaches the scan of the
+    corpus. Null and empty questions find nothing.
+    """
+    asked = embed_documents(questions.where(F.length("question") > 0), encoder, batch, "question", "embedding")
+    return top_k(filter_vectors(corpus, year, driver, compound), asked, k)
 
 
 def score_range(corpus: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK,
@@ -170,7 +230,17 @@ def score_range(corpus: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK,
         return pa.table({name: pa.array(out[name], kind) for name, kind in zip(
             schema.names, (pa.string(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
 
-    return _by_blocks(corpus.select("id", "embedding"), queries, meet, schema, block, part).groupBy("query_id").agg(
+    queries = _asked(queries)
+    few = _few(queries, block)
+    if few is None:
+        found = _by_blocks(corpus.select("id", "embedding"), queries, meet, schema, block, part)
+    else:
+        def scan(batches):
+            for batch in batches:
+                yield from meet(pa.Table.from_batches([batch]), few).to_batches()
+
+        found = corpus.select("id", "embedding").mapInArrow(scan, schema)
+    return found.groupBy("query_id").agg(
         F.sum("vectors").alias("vectors"), F.min("worst").alias("worst"), F.max("best").alias("best"))
 
 

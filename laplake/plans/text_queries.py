@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from laplake.operators import catalogue, race, text, vectors
 from laplake.operators.groups import lookup
+from laplake.operators.vector_index import VectorIndex
 from laplake.plans import jobs
 from laplake.plans.fixtures import RaceData
 from laplake.plans.oracle import r1, r3, r4
@@ -44,10 +45,20 @@ def _scored(source: str = "norms") -> str:
 
 @query("vector_topk", f"""SELECT query_id, id, score, CAST(place AS INT) AS rank FROM {_scored()} WHERE place <= 5""")
 def _topk(d: RaceData):
-    found = vectors.top_k(d.vectors, vectors.mean_vectors(d.vectors, "driver_number"), 5)
+    corpus = d.vectors.select("id", "embedding")
+    found = vectors.top_k(corpus, vectors.mean_vectors(d.vectors, "driver_number"), 5)
     return found.select("query_id", "id", "score", "rank")
 
 
+@query("vector_index", f"""SELECT query_id, id, year, document, score, CAST(place AS INT) AS rank
+       FROM {_scored()} WHERE place <= 5""")
+def _indexed(d: RaceData):
+    """Exact search through inverted lists; lists that cannot hold a better vector are not read."""
+    index = VectorIndex.build(d.vectors.select("id", "year", "document", "embedding"), new_folder(d.spark, "lists"))
+    found = index.search(vectors.mean_vectors(d.vectors, "driver_number"), 5, exact=True)
+    return found.select("query_id", "id", "year", "document", "score", "rank")
+
+
 @query("vector_topk_filtered", f"""SELECT query_id, id, score, CAST(place AS INT) AS rank
        FROM {_scored("(SELECT * FROM norms WHERE year = 2024 AND tyre_compound = 'SOFT')")} WHERE place <= 3""")
 def _topk_filtered(d: RaceData):
@@ -114,6 +125,38 @@ def _index(d: RaceData):
     return found.select("id", "year", "tyre_compound", "document", *counts)
 
 
+COUNTS = ", ".join(f"CAST(length(t) - length(replace(t, '{c}', '')) AS DOUBLE)" for c in INDEXED)
+
+
+@query("text_search", f"""
+    SELECT query_id, concat('Relevant historical F1 situations:', chr(10), chr(10), string_agg(
+               concat(place, '. [similarity: ', printf('%.3f', {r3('score')}), '] ', document), chr(10) ORDER BY place))
+           AS context
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place
+          FROM (SELECT query_id, id, document, round(list_inner_product(q, v) / (sqrt(list_inner_product(q, q))
+                       * sqrt(list_inner_product(v, v))), 6) + 0.0 AS score
+                FROM (SELECT query_id, [{COUNTS}] AS q FROM (
+                    SELECT printf('%d-%d', session_key, driver_number) AS query_id,
+                           printf('%s tyres %d laps degradation rate %.4f circuit %s lap %d', coalesce(tyre_compound, 'UNKNOWN'),
+                                  coalesce(tyre_age_laps, 0), {r4('tyre_degradation_rate')}, 'Unknown', lap_number) AS t,
+                           row_number() OVER (PARTITION BY session_key, driver_number ORDER BY lap_number DESC) AS back
+                    FROM features) WHERE back = 1)
+                CROSS JOIN (SELECT id, t AS document, [{COUNTS}] AS v FROM (
+                    SELECT printf('2024_r%d_d%d_l%d', session_key, driver_number, lap_number) AS id, {DOCUMENT} AS t
+                    FROM features WHERE tyre_compound = 'SOFT'))))
+    WHERE place <= 3 GROUP BY query_id""")
+def _text_search(d: RaceData):
+    """The last lap of every driver as a question to the laps on soft tyres."""
+    last = F.max_by(F.struct("*"), "lap_number").alias("lap")
+    laps = d.race_features.groupBy("session_key", "driver_number").agg(last).select("lap.*")
+    questions = laps.select(
+        F.format_string("%d-%d", "session_key", "driver_number").alias("query_id"), text.search_text().alias("question"))
+    path = new_folder(d.spark, "documents")
+    vectors.embed_documents(text.lap_documents(d.race_features), letter_counts).write.parquet(path)
+    hits = vectors.search_texts(d.spark.read.parquet(path), questions, letter_counts, compound="SOFT")
+    return vectors.retrieval_context(hits, questions)
+
+
 @query("strategy_prompt", f"""
     SELECT session_key, driver_number, lap_number, last_lap AS total_race_laps, circuit AS circuit_name,
            printf('%s tyres %d laps degradation rate %.4f circuit %s lap %d', c, a, {r4('rate')}, circuit, lap_number)

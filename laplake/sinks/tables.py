@@ -48,7 +48,7 @@ class VersionedTable:
 
     def write(self, rows: DataFrame, version: int) -> None:
         """Write one version; rows of equal keys must not contradict each other in ``order``."""
-        self._learn(rows)
+        self.learn(rows)
         writer = (rows.hint("rebalance", *self.partitions) if self.partitions else rows).write
         (
             writer.mode("overwrite")
@@ -57,7 +57,8 @@ class VersionedTable:
             .parquet(f"{self.path}/version={version}")
         )
 
-    def _learn(self, rows: DataFrame) -> None:
+    def learn(self, rows: DataFrame) -> None:
+        """Take the schema of rows to be written as that of the table."""
         inner = [f for f in rows.schema.fields if f.name not in self.partitions]
         outer = [rows.schema[name] for name in self.partitions]
         self.schema = StructType([*inner, StructField("version", LongType()), *outer])

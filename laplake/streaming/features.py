@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from laplake.operators.features import LAPS, LapColumns, lap_features
 from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup
-from laplake.session import cut_lineage
 from laplake.sinks.tables import VersionedTable
 
 
@@ -52,12 +53,19 @@ class FeatureStream:
                 return
             version = self._fresh()
             touched = batch.select(*self.cols.keys).distinct()
-            self.raw.write(self.raw.latest(batch), version)
-            # The touched sessions prune the folders of the raw table as the query runs.
-            history = lookup(self.raw.all(), touched, self.cols.keys, "left_semi")
-            hot = HotGroups.measure(history, self.cols.keys, self.limits)
-            mine = self.raw.latest(history).drop(*self.order)
-            self.features.write(lap_features(mine, self.cols, hot=hot, limits=self.limits), version)
+            history = batch
+            self.raw.learn(batch)
+            if self.raw.versions():
+                # The touched sessions prune the folders of the raw table as the query runs.
+                before = lookup(self.raw.all().drop("version"), touched, self.cols.keys, "left_semi")
+                history = before.unionByName(batch)
+
+            def enrich():
+                hot = HotGroups.measure(history, self.cols.keys, self.limits)
+                mine = self.raw.latest(history).drop(*self.order)
+                self.features.write(lap_features(mine, self.cols, hot=hot, limits=self.limits), version)
+
+            side_by_side(lambda: self.raw.write(self.raw.latest(batch), version), enrich)
             # Named last: until then readers take the rows of the versions before.
             self.live.write(touched.select("*", F.lit(version).alias("since"), F.lit(0).alias("level")), version)
         finally:
@@ -74,10 +82,13 @@ class FeatureStream:
             versions = self.live.all().select(self.session, "version", "level").distinct()
             full = versions.groupBy(self.session, "level").agg(F.count(F.lit(1)).alias("n")).where(
                 F.col("n") >= self.merge_every).groupBy(self.session).agg(F.min("level").alias("level"))
-            due = cut_lineage(lookup(versions, full, [self.session, "level"], "left_semi"))
-            if due.isEmpty():
-                return
-            self._merge(due)
+            due = lookup(versions, full, [self.session, "level"], "left_semi").persist()
+            try:
+                if due.isEmpty():
+                    return
+                self._merge(due)
+            finally:
+                due.unpersist()
 
     def _merge(self, due: DataFrame) -> None:
         """One version instead of the given ones (session, version, level).
@@ -89,11 +100,11 @@ class FeatureStream:
         due = due.select(*pairs)
         tables = [t.all() for t in (self.live, self.features, self.raw)]
         old = [lookup(rows, due, pairs, "left_semi") for rows in tables]
-        places = [lookup(rows.select(*pairs, "_metadata.file_path"), due, pairs, "left_semi") for rows in tables]
-        files = [row[0] for rows in places for row in rows.select("file_path").distinct().toLocalIterator()]
+        places = reduce(DataFrame.union, [rows.select(*pairs, "_metadata.file_path") for rows in tables])
+        files = [row[0] for row in lookup(places, due, pairs, "left_semi").select("file_path").distinct().toLocalIterator()]
         newest = self._newest(old[0], F.max("level").alias("level"))
-        self.raw.write(self.raw.latest(old[2]), number)
-        self.features.write(self._held(old[1], newest), number)
+        side_by_side(lambda: self.raw.write(self.raw.latest(old[2]), number),
+                     lambda: self.features.write(self._held(old[1], newest), number))
         # Every session has versions of one level here.
         self.live.write(newest.select(*self.cols.keys, "since", (F.col("level") + 1).alias("level")), number)
         for table in (self.live, self.features, self.raw):
@@ -123,6 +134,14 @@ class FeatureStream:
         )
 
 
+def side_by_side(*jobs: Callable[[], None]) -> None:
+    """Run jobs that don't depend on each other at the same time; wait for all, then raise what failed."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(job) for job in jobs]
+    for job in running:
+        job.result()
+
+
 def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None],
                   mode: str = "append") -> None:
     """Process what is there, in order, and stop."""

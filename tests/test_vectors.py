@@ -4,6 +4,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from laplake.operators import vectors
+from laplake.operators.vector_index import VectorIndex
 from laplake.plans.fixtures import RaceData
 from laplake.plans.jobs import index_races
 from laplake.sinks.tables import VersionedTable
@@ -109,3 +110,75 @@ def test_copies_of_one_vector_cost_k_rows(spark):
     queries = spark.range(300).select(F.col("id").alias("query_id"), F.array(F.lit(2.0), F.lit(1.0)).alias("embedding"))
     found = vectors.top_k(corpus, queries, 2, block=70, part=500).select("query_id", "rank", "id").collect()
     assert {(r["rank"], r["id"]) for r in found} == {(1, "v00000"), (2, "v00001")} and len(found) == 600
+
+
+def test_components_that_are_no_numbers_are_no_candidates(spark):
+    nan, inf = float("nan"), float("inf")
+    corpus = spark.createDataFrame([("a", [nan, 1.0]), ("b", [inf, 1.0]), ("c", [1.0, 1.0])], "id string, embedding array<float>")
+    queries = spark.createDataFrame([("q", [2.0, 0.0]), ("r", [nan, 0.0])], "query_id string, embedding array<double>")
+    for block in (1, 10):
+        assert [(r["query_id"], r["id"]) for r in vectors.top_k(corpus, queries, 3, block=block).collect()] == [("q", "c")]
+        assert [tuple(r)[:2] for r in vectors.score_range(corpus, queries, block=block).collect()] == [("q", 1)]
+
+
+def test_few_queries_leave_the_corpus_where_it_is(spark):
+    corpus = spark.range(1000).select(
+        F.format_string("v%05d", "id").alias("id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"),
+        F.col("id").alias("place")).repartition(7)
+    queries = corpus.where("place < 20").select(F.col("id").alias("query_id"), "embedding")
+    few, many = vectors.top_k(corpus, queries, 4), vectors.top_k(corpus, queries, 4, block=3, part=100)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert "FlatMapCoGroups" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def _clustered(spark, number=3000, dimension=16):
+    draw = np.random.default_rng(4)
+    middles = draw.normal(size=(40, dimension))
+    rows = [(f"v{i:05d}", (middles[i % 40] + draw.normal(size=dimension) * 0.25).tolist(), i) for i in range(number)]
+    rows += [("null", None, -1), ("short", [1.0, 2.0], -2), ("nan", [float("nan")] * dimension, -3), ("zero", [0.0] * dimension, -4)]
+    return spark.createDataFrame(rows, "id string, embedding array<double>, place long").repartition(4)
+
+
+def _files_read(df):
+    plan = df.select("id")._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaves = plan.collectLeaves()
+    return leaves.head().metrics().get("numFiles").get().value()
+
+
+def test_inverted_lists(spark, tmp_path):
+    corpus = _clustered(spark)
+    index = VectorIndex.build(corpus, str(tmp_path / "index"), lists=40, sample=1500)
+    assert sorted(map(str, index.rows().drop("list").collect())) == sorted(map(str, corpus.collect()))
+    queries = corpus.where("place % 50 = 0 OR place = -2").select(F.col("id").alias("query_id"), "embedding")
+    want = {tuple(r) for r in vectors.top_k(corpus, queries, 10).collect()}
+    exact = {tuple(r) for r in index.search(queries, 10, probes=2, exact=True).collect()}
+    assert exact == want
+    routed = {(r["query_id"], r["id"]) for r in index.search(queries, 10, probes=4).collect()}
+    assert len(routed & {(r[0], r[2]) for r in want}) >= 0.9 * len(want)
+    # Files of other lists are not opened.
+    assert _files_read(index.lists_of(index.numbers[:4])) <= 4 * _files_read(index.rows()) / len(index.numbers) + 4
+    again = VectorIndex(spark, index.path)
+    assert {tuple(r) for r in again.search(queries, 10, probes=3, exact=True, part=20).collect()} == want
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    corpus = _clustered(spark, 10)
+    queries = corpus.select(F.col("id").alias("query_id"), "embedding")
+    index = VectorIndex.build(corpus.limit(0), str(tmp_path / "none"))
+    assert index.search(queries, 3, exact=True).count() == 0
+    index = VectorIndex.build(corpus.where("place = -2"), str(tmp_path / "one"))
+    assert [r["id"] for r in index.search(queries, 3, exact=True).collect()] == ["short"]
+    assert index.search(queries.limit(0), 3).count() == 0
+
+
+def test_questions_as_text(spark):
+    corpus = vectors.embed_documents(spark.createDataFrame(
+        [("a", 2023, "aab", 1), ("b", 2024, "zz", 2), ("c", 2024, "ab", 3)], "id string, year int, document string, other int"), letters)
+    asked = spark.createDataFrame([("1", "zzz"), ("2", ""), ("3", None), ("4", "baa")], "query_id string, question string")
+    found = vectors.search_texts(corpus, asked, letters, k=1)
+    assert sorted((r["query_id"], r["id"], r["document"]) for r in found.collect()) == [("1", "b", "zz"), ("4", "a", "aab")]
+    found = vectors.search_texts(corpus, asked, letters, k=1, year=2024)
+    context = {r["query_id"]: r["context"] for r in vectors.retrieval_context(found, asked).collect()}
+    assert context["4"].endswith("1. [similarity: 0.949] ab") and context["2"] == context["3"] == (
+        "No similar historical situations found.")
