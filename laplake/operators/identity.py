@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from laplake.constants import DISPLAY_TEAM_COLORS
+from laplake.functions.automaton import WordAutomaton
 from laplake.functions.labels import team_color
 from laplake.functions.names import first_word, fold_name, last_word, without
 from laplake.operators.groups import lookup
 
 RACE = "session_key"
+SLUG_BLOCK = 100_000  # slugs, or last names, of one race that meet in a task
 
 
 def _aliases(entries: DataFrame) -> DataFrame:
@@ -125,46 +130,80 @@ def results_with_driver(results: DataFrame, dimension: DataFrame) -> DataFrame:
     return joined.withColumn("driver", F.coalesce("_by_code", "_by_number")).drop("_by_code", "_by_number")
 
 
-def _slug_matches(asked: DataFrame, names: DataFrame) -> DataFrame:
+def _surnames_in(asked: DataFrame, names: DataFrame, block: int) -> DataFrame:
+    """(race, driver_id, kind, rank, code): the first driver and result whose last name the slug contains.
+
+    The last names of a race make an automaton, which reads each slug once; a slug gives at
+    most one row per kind and task. Races with more than ``block`` slugs or names are cut
+    into blocks, and every block of slugs meets every block of names in a task of its own.
+    """
+    surnames = names.select(RACE, "kind", "rank", "code", F.lower(last_word(F.col("full_name"))).alias("word")).where(
+        F.length("word") > 0)
+    asked = asked.select(RACE, "driver_id", "slug")
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    sizes = asked.select(RACE, one.alias("slugs"), none.alias("names")).union(
+        surnames.select(RACE, none, one)).groupBy(RACE).agg(
+        *[F.ceil(F.sum(n) / block).cast("int").alias(f"{n}_blocks") for n in ("slugs", "names")])
+    keys = [RACE, "_slugs", "_names"]
+
+    def dealt(frame, value, own, other):
+        each = F.col(f"{own}_blocks"), F.col(f"{other}_blocks")
+        return lookup(frame, sizes, [RACE]).select(
+            *frame.columns, F.pmod(F.xxhash64(value), each[0]).cast("int").alias(f"_{own}"),
+            F.explode(F.sequence(F.lit(0), F.greatest(each[1], F.lit(1)) - 1)).alias(f"_{other}"))
+
+    kind = StructType([
+        asked.schema[RACE], asked.schema["driver_id"], names.schema["kind"], names.schema["rank"], names.schema["code"]])
+    columns = kind.names
+
+    def match(slugs: pa.Table, words: pa.Table) -> pa.Table:
+        found = {name: [] for name in columns}
+        rows = list(zip(*(words.column(c).to_pylist() for c in ("kind", "word", "rank", "code")), strict=True))
+        texts = list(zip(*(slugs.column(c).to_pylist() for c in (RACE, "driver_id", "slug")), strict=True))
+        for which in sorted({row[0] for row in rows}):
+            # Null codes come first, as in Spark's order.
+            automaton = WordAutomaton((word, (rank, code is not None, code or "")) for k, word, rank, code in rows if k == which)
+            for race, name, slug in texts:
+                if (best := automaton.least(slug)) is not None:
+                    row = (race, name, which, best[0], best[2] if best[1] else None)
+                    for column, value in zip(columns, row, strict=True):
+                        found[column].append(value)
+        return pa.table(found, to_arrow_schema(kind))
+
+    left, right = dealt(asked, "driver_id", "slugs", "names"), dealt(surnames, "word", "names", "slugs")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(match, kind)
+
+
+def _slug_matches(asked: DataFrame, names: DataFrame, block: int = SLUG_BLOCK) -> DataFrame:
     """First driver and first result whose name matches a slug, per (race, driver_id).
 
     Rules: the slug equals the full name, first plus last name, or the code; or
-    it contains the last name. The containment rule becomes an equi-join on the
-    substrings of the slug that are as long as some last name of the race. Names
-    are reduced to one per alias before the join.
+    it contains the last name. The first three are one equi-join on aliases, to
+    which names are reduced before; the last is an automaton of a race's last names.
     """
-    slug = F.col("slug")
-    asked = asked.where(F.length(slug) > 0)
-    sizes = names.select(RACE, F.length(F.lower(last_word(F.col("full_name")))).alias("n")).where("n > 0")
-    sizes = sizes.groupBy(RACE).agg(F.collect_set("n").alias("sizes"))
-    pieces = F.flatten(F.transform(F.coalesce("sizes", F.array().cast("array<int>")), lambda n: F.when(
-        n <= F.length(slug), F.transform(
-            F.sequence(F.lit(1), F.length(slug) - n + 1), lambda s: F.substring(slug, s, n))).otherwise(F.array().cast("array<string>"))))
-    whole = F.array(F.struct(F.lit("whole").alias("form"), slug.alias("alias")),
+    asked = asked.where(F.length("slug") > 0)
+    forms = F.array(F.struct(F.lit("whole").alias("form"), F.col("slug").alias("alias")),
                     F.struct(F.lit("code").alias("form"), F.col("raw").alias("alias")))
-    parts = F.transform(F.array_distinct(pieces), lambda p: F.struct(F.lit("part").alias("form"), p.alias("alias")))
-    questions = lookup(asked, sizes, [RACE]).select(
-        RACE, "driver_id", F.explode(F.concat(whole, parts)).alias("q")
-    ).select(RACE, "driver_id", "q.form", "q.alias")
-
+    questions = asked.select(RACE, "driver_id", F.explode(forms).alias("q")).select(RACE, "driver_id", "q.form", "q.alias")
     lowered = F.lower("full_name")
     last, first = F.lower(last_word(F.col("full_name"))), F.lower(first_word(F.col("full_name")))
     options = F.array(*[
         F.struct(F.lit(form).alias("form"), value.alias("alias"))
         for form, value in (
-            ("whole", F.regexp_replace(lowered, r"\s", "")), ("whole", F.concat(first, last)),
-            ("part", last), ("code", F.lower("code")))
+            ("whole", F.regexp_replace(lowered, r"\s", "")), ("whole", F.concat(first, last)), ("code", F.lower("code")))
     ])
-    aliases = names.select(RACE, "kind", "rank", "code", F.explode(options).alias("o")).where(
-        F.length("o.alias") > 0)
-
-    def first_of(kind):
-        return F.min(F.when(F.col("kind") == kind, F.struct("rank", "code"))).alias(kind)
-
-    answers = aliases.groupBy(RACE, "o.form", "o.alias").agg(first_of("driver"), first_of("result"))
-    found = lookup(questions, answers, [RACE, "form", "alias"], "inner")
-    return found.groupBy(RACE, "driver_id").agg(
-        F.min("driver").alias("driver"), F.min("result").alias("result"))
+    entry = F.struct("rank", "code")
+
+    def firsts(rows, *keys):
+        return rows.groupBy(*keys).agg(*[
+            F.min(F.when(F.col("kind") == kind, entry)).alias(kind) for kind in ("driver", "result")])
+
+    aliases = names.select(RACE, "kind", "rank", "code", F.explode(options).alias("o")).select(
+        "*", "o.form", "o.alias").where(F.length("alias") > 0)
+    equal = lookup(questions, firsts(aliases, RACE, "form", "alias"), [RACE, "form", "alias"], "inner")
+    inside = firsts(_surnames_in(asked, names, block), RACE, "driver_id")
+    both = equal.select(RACE, "driver_id", "driver", "result").union(inside)
+    return both.groupBy(RACE, "driver_id").agg(F.min("driver").alias("driver"), F.min("result").alias("result"))
 
 
 def identity_cascade(stops: DataFrame, dimension: DataFrame, results: DataFrame) -> DataFrame:

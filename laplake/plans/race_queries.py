@@ -198,10 +198,8 @@ def _identity(d: RaceData):
          ON p.session_key = s.session_key AND p.driver_id = s.driver_id
     LEFT JOIN dimension z ON z.session_key = s.session_key AND z.race_number = 0""")
 def _cascade(d: RaceData):
-    # Both tables feed several rules; each is computed once.
-    drivers = cut_lineage(_drivers(d))
-    stops = cut_lineage(identity.identify_stops(pits.clean_stops(d.raw_pits), d.race_status))
-    out = identity.identity_cascade(stops, drivers, d.race_status)
+    stops = identity.identify_stops(pits.clean_stops(d.raw_pits), d.race_status)
+    out = identity.identity_cascade(stops, _drivers(d), d.race_status)
     return out.select(*STOP, "race_number")
 
 

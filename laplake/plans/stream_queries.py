@@ -14,6 +14,7 @@ from laplake.sinks.messages import lap_messages
 from laplake.sinks.tables import VersionedTable
 from laplake.sources import messages
 from laplake.streaming import live
+from laplake.streaming import polls as polls_module
 from laplake.streaming.features import FeatureStream, run_available
 
 LAP_SQL = "session_key, driver_number, lap_number"
@@ -84,6 +85,49 @@ def _dedup(d: RaceData):
     return rows.select(*LAP, "tyre_compound")
 
 
+def polled_feed(d: RaceData):
+    """(poll, message): laps sent once, pit stops again with every poll, end markers, and a poll after them.
+
+    One pit stop in seven is missing in all polls but the last.
+    """
+    laps = d.laps.select(*LAP, "event_id", "is_pit_in_lap", (F.col("lap_number") % 3 + 1).alias("begin"))
+    pits = laps.where("is_pit_in_lap")
+    polls = F.when(F.col("event_id") % 7 == 0, F.array(F.lit(4))).otherwise(F.sequence("begin", F.lit(4)))
+    sent = laps.select(F.lit("lap").alias("kind"), *LAP, "event_id", F.col("begin").alias("poll")).unionByName(
+        pits.select(F.lit("pit").alias("kind"), *LAP, "event_id", F.explode(polls).alias("poll"))).select(
+        "kind", *LAP, "poll", (F.col("poll") * 10_000_000_000 + F.col("event_id")).alias("offset"))
+    ends = d.sessions.select(
+        F.lit(polls_module.END).alias("kind"), "session_key", *[F.lit(None).cast("int").alias(c) for c in LAP[1:]],
+        F.lit(3).alias("poll"), F.lit(39_999_999_999).alias("offset"))
+    return sent.unionByName(ends)
+
+
+@query("stream_pits", """
+    SELECT session_key, driver_number, 'lap' AS kind, count(*) AS rows, CAST(0 AS BIGINT) AS repeats, CAST(0 AS BIGINT) AS late
+    FROM laps GROUP BY session_key, driver_number
+    UNION ALL
+    SELECT session_key, driver_number, 'pit', count(*) FILTER (event_id % 7 <> 0),
+           CAST(coalesce(sum(2 - lap_number % 3) FILTER (event_id % 7 <> 0), 0) AS BIGINT), count(*)
+    FROM laps WHERE is_pit_in_lap GROUP BY session_key, driver_number""")
+def _pits(d: RaceData):
+    """Laps and pit stops of several polls, followed until the end markers of all sessions came, then on."""
+    feed, path = polled_feed(d), new_folder(d.spark, "polls")
+    progress = new_folder(d.spark, "progress")
+    job = polls_module.PolledFeed(d.spark, new_folder(d.spark, "polled"))
+    for poll in (1, 2, 3):
+        feed.where(F.col("poll") == poll).drop("poll").write.mode("append").parquet(path)
+    stream = messages.landed_stream(d.spark, path, feed.drop("poll").schema, files_per_trigger=100)
+    polls_module.run_to_marker(stream, progress, job.process, markers=d.sessions.count())
+    feed.where("poll = 4").drop("poll").write.mode("append").parquet(path)
+    run_available(stream, progress, job.process)
+
+    def number(outcome):
+        return F.count_if(F.col("outcome") == outcome)
+
+    return job.outcomes().groupBy("session_key", "driver_number", "kind").agg(
+        number("row").alias("rows"), number("repeat").alias("repeats"), number("late").alias("late"))
+
+
 @query("stream_latest_position", """
     SELECT session_key, driver_number, coalesce(position, 99) AS position
     FROM (SELECT *, row_number() OVER (PARTITION BY session_key, driver_number ORDER BY ts DESC, event_id) AS place

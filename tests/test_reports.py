@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from laplake.functions.automaton import WordAutomaton
 from laplake.functions.names import fold_name
 from laplake.operators import catalogue, identity, pits, race, results, text
 from laplake.plans.fixtures import RaceData
@@ -148,6 +151,37 @@ def test_identity_cascade(spark):
     assert found == {"x": 1, "kevin_magnussen_jr": 20, "zzz": 27, "bearman": 27, "nobody": 77}
 
 
+def test_automaton_equals_search(spark):
+    draw = random.Random(5)
+    for _ in range(200):
+        words = [("".join(draw.choice("ab") for _ in range(draw.randint(0, 4))), (draw.randint(0, 9),)) for _ in range(6)]
+        text = "".join(draw.choice("abc") for _ in range(draw.randint(0, 12)))
+        want = min((key for word, key in words if word and word in text), default=None)
+        assert WordAutomaton(words).least(text) == want
+
+
+@pytest.mark.parametrize("block", [2, 100000])
+def test_slugs_with_last_names_inside(spark, block):
+    draw = random.Random(6)
+    names = [(draw.randint(1, 2), draw.choice(["driver", "result"]), rank, draw.choice([None, f"C{rank}"]),
+              "Max " + "".join(draw.choice("abÄ") for _ in range(draw.randint(0, 3)))) for rank in range(40)]
+    asked = [(race, f"{race}_{n}", "".join(draw.choice("abä") for _ in range(draw.randint(0, 8))), "")
+             for race in (1, 2, 3) for n in range(25)]
+    found = identity._slug_matches(
+        spark.createDataFrame(asked, "session_key int, driver_id string, slug string, raw string"),
+        spark.createDataFrame(names, "session_key int, kind string, rank int, code string, full_name string"), block)
+    want = set()
+    for race, driver, slug, _ in asked:
+        def first(kind):
+            return min(((rank, code) for r, k, rank, code, name in names if r == race and k == kind and slug and (
+                name.split()[-1].lower() in slug or name.lower().replace(" ", "") == slug)), default=None)
+        if first("driver") or first("result"):
+            want.add((race, driver, first("driver"), first("result")))
+    got = {(r["session_key"], r["driver_id"], r["driver"] and (r["driver"]["rank"], r["driver"]["code"]),
+            r["result"] and (r["result"]["rank"], r["result"]["code"])) for r in found.collect()}
+    assert got == want
+
+
 def test_driver_dimension_precedence(spark, rows):
     entries = spark.createDataFrame(
         [(1, 1, "VER", "Max Verstappen", "Red Bull", 1), (1, 2, "OLD", "Old Name", "Haas", 2),
