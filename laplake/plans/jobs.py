@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from laplake.operators.features import LAPS, LapColumns, lap_features, valid_laps
 from laplake.operators.groups import LIMITS, HotGroups, Limits, lookup, without_matches
 from laplake.operators.text import lap_documents
 from laplake.operators.vectors import Encoder, embed_documents
+from laplake.session import cut_lineage
 from laplake.sinks.tables import VersionedTable, write_races
 
 RACE = ("season", "round_number")
@@ -36,15 +38,23 @@ def process_races(laps: DataFrame, races: DataFrame, path: str, cols: LapColumns
 
     A race that now has no valid lap loses the rows of earlier runs.
     """
-    spark = laps.sparkSession
     todo = races.select(*RACE).distinct()
+    schema, _, _ = _run(laps, todo, path, cols, hot, limits)
+    return lookup(laps.sparkSession.read.schema(schema).parquet(path), todo, list(RACE), how="left_semi")
+
+
+def _run(laps: DataFrame, todo: DataFrame, path: str, cols: LapColumns, hot: HotGroups | None,
+         limits: Limits) -> tuple[StructType, DataFrame, int]:
+    """Process races; gives the schema of the rows, the rows that each race should have, and the rows written."""
+    spark = laps.sparkSession
     chosen = lookup(laps, todo, list(RACE), how="inner")
+    expected = cut_lineage(expected_laps(chosen, cols))  # a row per race
     features = lap_features(chosen, cols, hot=hot, limits=limits)
-    write_races(features, path)
-    for season, number in without_matches(todo, expected_laps(chosen, cols), list(RACE)).collect():
+    written = write_races(features, path)
+    for season, number in without_matches(todo, expected, list(RACE)).toLocalIterator():
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/season={season}/round_number={number}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return lookup(spark.read.schema(features.schema).parquet(path), todo, list(RACE), how="left_semi")
+    return features.schema, expected, written
 
 
 def expected_laps(laps: DataFrame, cols: LapColumns = LAPS) -> DataFrame:
@@ -54,7 +64,15 @@ def expected_laps(laps: DataFrame, cols: LapColumns = LAPS) -> DataFrame:
 
 def backfill_audit(plan: DataFrame, written: DataFrame, expected: DataFrame) -> DataFrame:
     """Outcome of every planned race: skipped, succeeded, partial, or failed (no rows)."""
-    rows = written.groupBy(*RACE).agg(F.count(F.lit(1)).alias("rows"))
+    return audit_counts(plan, _rows_by_race(written), expected)
+
+
+def _rows_by_race(written: DataFrame) -> DataFrame:
+    return written.groupBy(*RACE).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def audit_counts(plan: DataFrame, rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """The audit from the rows written and expected per race."""
     joined = lookup(lookup(plan, rows, list(RACE)), expected, list(RACE))
     none = F.lit(0).cast("long")
     joined = joined.withColumns({
@@ -76,10 +94,18 @@ def backfill(spark: SparkSession, laps: DataFrame, rounds: DataFrame, path: str,
              processed: DataFrame, seasons: Sequence[int] | None = None,
              only_rounds: Sequence[int] | None = None, force: bool = False,
              limits: Limits = LIMITS) -> DataFrame:
-    """Plan, process what is missing, and return the audit."""
+    """Plan, process what is missing, and return the audit.
+
+    A race never has more rows than valid laps. So if as many rows were written in all as there
+    should be, every race has its rows, and nothing is read back; else each race's rows are counted.
+    """
     plan = backfill_plan(rounds, processed, seasons, only_rounds, force)
-    written = process_races(laps, plan.where(~F.col("skip")), path, limits=limits)
-    return backfill_audit(plan, written, expected_laps(laps))
+    todo = plan.where(~F.col("skip")).select(*RACE).distinct()
+    schema, expected, written = _run(laps, todo, path, LAPS, None, limits)
+    if written == (expected.agg(F.sum("expected")).first()[0] or 0):
+        return audit_counts(plan, expected.withColumnRenamed("expected", "rows"), expected)
+    found = lookup(spark.read.schema(schema).parquet(path), todo, list(RACE), how="left_semi")
+    return backfill_audit(plan, found, expected)
 
 
 def index_races(features: DataFrame, encoder: Encoder, table: VersionedTable, version: int,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -12,20 +12,24 @@ PARTITIONS = ("season", "round_number")
 
 
 def write_races(features: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS,
-                rows_per_file: int = 5_000_000) -> None:
-    """Replace the races that occur in ``features`` and leave the others alone.
+                rows_per_file: int = 5_000_000) -> int:
+    """Replace the races that occur in ``features``, leave the others alone, and return the rows written.
 
     Rebalancing by race gives one file for a normal race and, under adaptive
-    execution, several tasks for an outsized one.
+    execution, several tasks for an outsized one. Rows are counted on their way to the
+    files, not read again.
     """
+    written = Observation()
     (
         features.hint("rebalance", *partitions)
+        .observe(written, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*partitions)
         .parquet(path)
     )
+    return written.get["rows"]
 
 
 class VersionedTable:

@@ -54,6 +54,24 @@ def test_a_partly_written_race_is_seen(spark, laps, rows):
     assert rows(jobs.backfill_audit(plan, written, expected), "outcome", "rows") == [("partial", 3)]
 
 
+def test_rows_are_counted_while_they_are_written(spark, laps, rows, tmp_path, monkeypatch):
+    path, none = str(tmp_path / "out"), spark.createDataFrame([], "season int, round_number int")
+    features = RaceData(spark, SMALL).race_features
+    assert write_races(features, path) == features.count()
+    assert write_races(features.limit(0), path) == 0
+    rounds = _rounds(spark, (2024, 1, "A GP"), (2024, 2, "B GP"))
+    monkeypatch.setattr(jobs, "_rows_by_race", None)  # nothing is read back
+    whole = jobs.backfill(spark, laps, rounds, path, none)
+    assert {r["outcome"] for r in whole.collect()} == {"succeeded"}
+    assert sum(r["rows"] for r in whole.collect()) == features.count()
+    monkeypatch.undo()
+    # A job that loses laps of one race on the way.
+    monkeypatch.setattr(jobs, "lap_features", lambda *args, **more: lap_features(*args, **more).where(
+        "round_number = 2 OR lap_number > 3"))
+    broken = jobs.backfill(spark, laps, rounds, path, none)
+    assert rows(broken, "round_number", "outcome") == [(1, "partial"), (2, "succeeded")]
+
+
 def test_writing_a_race_again_leaves_the_others(spark, laps, tmp_path):
     path = str(tmp_path / "races")
     features = RaceData(spark, SMALL).race_features
