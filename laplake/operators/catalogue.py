@@ -14,11 +14,12 @@ from laplake.operators.groups import lookup
 RACE = ("season", "round_number")
 
 
-def season_list(current: DataFrame, first: int = FIRST_SEASON) -> DataFrame:
-    """Seasons from the newest in ``current.season`` down to ``first``."""
-    newest = current.agg(F.max("season").alias("newest"))
-    return newest.where(F.col("newest") >= first).select(
-        F.explode(F.sequence("newest", F.lit(first), F.lit(-1))).alias("season"))
+def season_list(current: DataFrame, first: int | None = FIRST_SEASON) -> DataFrame:
+    """Seasons from the newest in ``current.season`` down to ``first``, or to the oldest there."""
+    oldest = F.min("season") if first is None else F.lit(first)
+    bounds = current.agg(F.max("season").alias("newest"), oldest.alias("oldest"))
+    return bounds.where(F.col("newest") >= F.col("oldest")).select(
+        F.explode(F.sequence("newest", "oldest", F.lit(-1))).alias("season"))
 
 
 def season_list_until(spark: SparkSession, year: Column | None = None, first: int = FIRST_SEASON) -> DataFrame:

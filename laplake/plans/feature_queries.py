@@ -8,6 +8,7 @@ from laplake.constants import DRIVER_SURNAMES
 from laplake.functions.labels import driver_surname
 from laplake.functions.numbers import fixed
 from laplake.operators import catalogue, features, pits, race
+from laplake.operators.groups import lookup
 from laplake.plans.fixtures import RaceData
 from laplake.plans.oracle import lap_time, r3, r4, r6
 from laplake.plans.registry import query
@@ -169,15 +170,21 @@ def _lap_positions(d: RaceData):
     return race.with_codes(ranked.select(*LAP, "position"), d.roster)
 
 
-@query("lap_positions_exact", """SELECT session_key, driver_number, lap_number, position, 'exact' AS source
-       FROM positions WHERE position IS NOT NULL AND session_key = 1
-       UNION ALL SELECT session_key, driver_number, lap_number, position, 'derived'
-       FROM ranked_positions WHERE session_key <> 1""")
+@query("lap_positions_exact", """
+    SELECT session_key, driver_number, lap_number, position, 'exact' AS source
+    FROM positions JOIN (SELECT session_key, driver_number FROM positions GROUP BY ALL HAVING count(*) = count(position))
+         USING (session_key, driver_number)
+    UNION ALL
+    SELECT session_key, driver_number, lap_number, position, 'derived'
+    FROM ranked_positions JOIN (SELECT session_key, driver_number FROM positions GROUP BY ALL
+                                HAVING count(*) > count(position)) USING (session_key, driver_number)""")
 def _exact(d: RaceData):
-    # Telemetry exists for the first session; the second takes derived positions.
-    exact = race.exact_positions(d.positions.where("session_key = 1"))
+    # Drivers whose telemetry has a gap take derived positions.
+    driver = ["session_key", "driver_number"]
+    whole = d.positions.groupBy(*driver).agg(F.count_if(F.col("position").isNull()).alias("gaps")).where("gaps = 0")
+    exact = race.exact_positions(lookup(d.positions, whole.select(*driver), driver, "left_semi"))
     derived = race.lap_positions(d.valid, d.hot_drivers, d.hot_sessions)
-    return race.first_available(exact, derived, ["session_key"], ("exact", "derived"))
+    return race.first_available(exact, derived, driver, ("exact", "derived"))
 
 
 @query("tyre_stints", """SELECT session_key, driver_number, stint_number, CAST(stint_number + 1 AS INT) AS stint,
@@ -279,12 +286,12 @@ def _incidents(d: RaceData):
 
 @query("laps_since", """SELECT session_key, count(*) AS new_laps, min(lap_number) AS first_lap,
        max(lap_number) AS last_lap
-       FROM laps LEFT JOIN (SELECT session_key, driver_number, CAST(max(lap_number) // 2 AS INT) AS after_lap
-                            FROM laps WHERE session_key = 1 GROUP BY session_key, driver_number) c
+       FROM laps LEFT JOIN (SELECT session_key, driver_number, max(lap_number) AS after_lap
+                            FROM laps WHERE is_pit_in_lap GROUP BY session_key, driver_number) c
             USING (session_key, driver_number)
        WHERE lap_number > coalesce(after_lap, 0) GROUP BY session_key""")
 def _laps_since(d: RaceData):
-    # The second session is new: its drivers have no cursor yet.
-    cursors = d.laps.where("session_key = 1").groupBy("session_key", "driver_number").agg(
-        F.floor(F.max("lap_number") / 2).cast("int").alias("after_lap"))
+    # Laps were read up to the last pit stop; drivers without one have no cursor yet.
+    cursors = d.laps.where("is_pit_in_lap").groupBy("session_key", "driver_number").agg(
+        F.max("lap_number").alias("after_lap"))
     return catalogue.new_lap_range(catalogue.laps_since(d.laps, cursors))

@@ -195,14 +195,25 @@ TABLES = {
         SELECT *, sqrt(list_inner_product(e, e)) AS norm
         FROM (SELECT *, CAST(embedding AS DOUBLE[]) AS e FROM vectors)""",
     "dimension": """
-        SELECT session_key, driver_number AS race_number,
-               coalesce(v.code, r.code, CAST(driver_number AS VARCHAR)) AS code,
-               coalesce(r.full_name, v.full_name, CAST(driver_number AS VARCHAR)) AS full_name,
-               coalesce(r.team, v.team, '') AS team
-        FROM (SELECT DISTINCT session_key, driver_number FROM valid) d
-        FULL JOIN (SELECT session_key, driver_number, code, full_name, team FROM race_status) r
-             USING (session_key, driver_number)
-        LEFT JOIN roster v USING (driver_number)""",
+        SELECT session_key, race_number, final_code AS code,
+               CASE WHEN pair_code IS NULL THEN by_number ELSE coalesce(c.full_name, v.full_name, by_number, final_code) END
+                   AS full_name,
+               CASE WHEN pair_code IS NULL THEN team_by_number
+                    ELSE coalesce(c.team, v.team, team_by_number, '') END AS team
+        FROM (SELECT session_key, driver_number AS race_number, pair_code, coalesce(pair_code, n.code) AS final_code,
+                     n.full_name AS by_number, n.team AS team_by_number
+              FROM (SELECT session_key, driver_number,
+                           CASE WHEN bool_or(rank = 0) THEN coalesce(any_value(r.code), CAST(driver_number AS VARCHAR))
+                                WHEN bool_or(rank = 1) THEN concat('P', driver_number)
+                                ELSE concat('S', driver_number) END AS pair_code
+                    FROM (SELECT DISTINCT session_key, driver_number, 0 AS rank FROM valid WHERE tyre_compound = 'SOFT'
+                          UNION ALL SELECT DISTINCT session_key, driver_number, 1 FROM positions WHERE position IS NOT NULL
+                          UNION ALL SELECT DISTINCT session_key, driver_number, 2 FROM valid)
+                    LEFT JOIN roster r USING (driver_number) GROUP BY session_key, driver_number)
+              FULL JOIN (SELECT session_key, driver_number, code, full_name, team FROM race_status) n
+                   USING (session_key, driver_number))
+        LEFT JOIN (SELECT session_key, code AS final_code, full_name, team FROM race_status) c USING (session_key, final_code)
+        LEFT JOIN (SELECT code AS final_code, full_name, team FROM roster) v USING (final_code)""",
 }
 
 

@@ -13,7 +13,7 @@ from laplake.plans import jobs
 from laplake.plans.fixtures import RaceData
 from laplake.plans.oracle import r3, r6
 from laplake.plans.registry import query
-from laplake.session import cut_lineage, new_folder
+from laplake.session import new_folder
 from laplake.sources import pages, tables
 from laplake.sources.feeds import season_session_key
 
@@ -118,13 +118,15 @@ def _circuit(d: RaceData):
 
 @query("results_fallback", """
     SELECT season, round_number, driver_number, finish_position, grid_position, status, points,
-           CASE WHEN season >= 1975 THEN laps_completed
+           CASE WHEN country <> 'Atlantis' THEN laps_completed
                 WHEN laps_completed % 5 = 0 THEN 0 ELSE laps_completed END AS laps_completed,
-           CASE WHEN season >= 1975 THEN 'jolpica' ELSE 'fastf1' END AS source
+           CASE WHEN country <> 'Atlantis' THEN 'jolpica' ELSE 'fastf1' END AS source
     FROM results""")
 def _fallback(d: RaceData):
-    # The first provider starts in 1975; the second types all as text.
-    first = pages.classification(pages.parse_pages(d.race_pages)).where("season >= 1975")
+    # The first provider lacks the races of one country; the second types all as text.
+    known = d.races.where("country <> 'Atlantis'").select("season", "round_number")
+    first = race.lookup(
+        pages.classification(pages.parse_pages(d.race_pages)), known, ["season", "round_number"], "left_semi")
     raw = d.results.select(
         "season", "round_number", F.col("driver_number").cast("string").alias("driver_number"),
         F.lit("nan").alias("abbreviation"), F.lit("").alias("full_name"), F.lit("<NA>").alias("team"),
@@ -146,14 +148,23 @@ def _dimension(d: RaceData):
 
 
 def _drivers(d: RaceData):
-    timed = race.with_codes(d.valid.select("session_key", "driver_number").distinct(), d.roster)
-    seen = race.with_codes(d.valid.select("session_key", "driver_number").distinct(), d.roster)
-    return identity.driver_dimension(d.race_status, timed, seen, timed, d.roster)
+    """Three sources that cover different drivers and name them differently: soft laps, positions, valid laps."""
+    def drivers(rows):
+        return rows.select("session_key", "driver_number").distinct()
+
+    def named(rows, letter):
+        return drivers(rows).withColumn("driver_code", F.concat(F.lit(letter), F.col("driver_number").cast("string")))
+
+    timed = race.with_codes(drivers(d.valid.where("tyre_compound = 'SOFT'")), d.roster)
+    seen = named(d.positions.where("position IS NOT NULL"), "P")
+    return identity.driver_dimension(d.race_status, timed, seen, named(d.valid, "S"), d.roster)
 
 
 @query("results_drivers", """
-    SELECT s.session_key, s.driver_number, s.code, d.race_number AS matched_number, d.full_name
-    FROM race_status s LEFT JOIN dimension d ON s.session_key = d.session_key AND s.code = d.code""")
+    SELECT s.session_key, s.driver_number, s.code, coalesce(d.race_number, n.race_number) AS matched_number,
+           CASE WHEN d.race_number IS NULL THEN n.full_name ELSE d.full_name END AS full_name
+    FROM race_status s LEFT JOIN dimension d ON s.session_key = d.session_key AND s.code = d.code
+    LEFT JOIN dimension n ON s.session_key = n.session_key AND s.driver_number = n.race_number""")
 def _results_drivers(d: RaceData):
     joined = identity.results_with_driver(d.race_status, _drivers(d))
     return joined.select("session_key", "driver_number", "code",
@@ -187,8 +198,9 @@ def _identity(d: RaceData):
 
 @query("identity_cascade", """
     SELECT s.session_key, s.driver_id, s.stop_number, s.lap_number,
-           coalesce(c.race_number, p.race_number, z.race_number) AS race_number
-    FROM (SELECT s.*, CASE WHEN s.driver_number % 5 < 3 THEN r.code END AS code
+           coalesce(c.race_number, p.race_number, z.race_number, s.matched) AS race_number
+    FROM (SELECT s.*, CASE WHEN s.driver_number % 5 < 3 THEN r.code END AS code,
+                 CASE WHEN s.driver_number % 5 < 3 AND r.code IS NOT NULL THEN s.driver_number ELSE 0 END AS matched
           FROM stops s LEFT JOIN roster r ON s.driver_number = r.driver_number) s
     LEFT JOIN dimension c ON c.session_key = s.session_key AND c.code = s.code
     LEFT JOIN (SELECT session_key, driver_id, min(race_number) AS race_number
@@ -196,7 +208,7 @@ def _identity(d: RaceData):
                WHERE contains(replace(lower(i.driver_id), '_', ''), lower(split_part(n.full_name, ' ', -1)))
                GROUP BY session_key, driver_id) p
          ON p.session_key = s.session_key AND p.driver_id = s.driver_id
-    LEFT JOIN dimension z ON z.session_key = s.session_key AND z.race_number = 0""")
+    LEFT JOIN dimension z ON z.session_key = s.session_key AND z.race_number = s.matched""")
 def _cascade(d: RaceData):
     stops = identity.identify_stops(pits.clean_stops(d.raw_pits), d.race_status)
     out = identity.identity_cascade(stops, _drivers(d), d.race_status)
@@ -312,10 +324,10 @@ def _calendar_status(d: RaceData):
     return out.select("season", "round", "flag", "short_date", "is_past", "is_processed")
 
 
-@query("season_list", """SELECT CAST(unnest(range(CAST(max(season) AS BIGINT), 1957, -1)) AS INT) AS season
-       FROM results""")
+@query("season_list", """SELECT CAST(unnest(range(CAST(max(season) AS BIGINT), CAST(min(season) AS BIGINT) - 1, -1)) AS INT)
+       AS season FROM results""")
 def _seasons(d: RaceData):
-    return catalogue.season_list(d.results, first=1958)
+    return catalogue.season_list(d.results, first=None)
 
 
 @query("available_races", """SELECT season, round_number, CAST(count(*) OVER (PARTITION BY season) AS BIGINT) AS races
@@ -381,10 +393,10 @@ def _probe(d: RaceData):
 
 @query("circuit_names", """
     SELECT r.season, r.round_number, r.driver_number, r.finish_position,
-           CASE WHEN season < 1960 THEN 'Unknown' ELSE replace(race_name, ' Grand Prix', '') END AS circuit_name
+           CASE WHEN country = 'Atlantis' THEN 'Unknown' ELSE replace(race_name, ' Grand Prix', '') END AS circuit_name
     FROM results r""")
 def _circuit_names(d: RaceData):
-    calendar = d.races.where("season >= 1960").select(
+    calendar = d.races.where("country <> 'Atlantis'").select(
         "season", F.col("round_number").alias("round"),
         F.replace("race_name", F.lit(" Grand Prix"), F.lit("")).alias("name"))
     rows = d.results.select("season", "round_number", "driver_number", "finish_position")
