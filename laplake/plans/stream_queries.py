@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from laplake import constants as C
 from laplake.functions.numbers import fixed
 from laplake.plans.feed_queries import lap_feed, lap_rows
 from laplake.plans.fixtures import RaceData
 from laplake.plans.oracle import r6
 from laplake.plans.registry import query
 from laplake.session import new_folder
-from laplake.sinks.messages import lap_messages
+from laplake.sinks.messages import lap_messages, publish
 from laplake.sinks.tables import VersionedTable
 from laplake.sources import messages
 from laplake.streaming import live
@@ -44,6 +45,25 @@ def _source(d: RaceData):
     return rows.select(*LAP, fixed("lap_duration", 6).alias("lap_duration"), "tyre_compound")
 
 
+@query("message_roundtrip", f"""SELECT {LAP_SQL}, {r6('lap_duration')} AS lap_duration, tyre_compound,
+       'f1.lap.data' AS topic, TRUE AS in_order FROM laps WHERE event_id % 89 <> 0""")
+def _roundtrip(d: RaceData):
+    """Published in two parts and followed by a stream that is started anew for the second."""
+    servers, progress = f"log:{new_folder(d.spark, 'log')}", new_folder(d.spark, "progress")
+    table = VersionedTable(d.spark, new_folder(d.spark, "followed"), LAP)
+    feed = lap_feed(d)
+    for part in (feed.where("offset % 2 = 0"), feed.where("offset % 2 = 1")):
+        publish(part, servers)
+        raw = messages.message_stream(d.spark, servers)
+        run_available(messages.decode_messages(raw, origin=True), progress, table.write)
+    ends = messages.message_batch(d.spark, servers, C.LAP_TOPIC).groupBy("topic", "partition").agg(
+        F.countDistinct("offset").alias("n"), F.max("offset").alias("last"))
+    gapless = ends.agg(F.bool_and(F.col("n") == F.col("last") + 1)).first()[0]
+    return table.all().select(
+        *LAP, fixed("lap_duration", 6).alias("lap_duration"), "tyre_compound", F.col("_kafka_topic").alias("topic"),
+        F.lit(gapless).alias("in_order"))
+
+
 def repeated_feed(d: RaceData):
     """Lap messages of which every fifth is sent twice."""
     feed = lap_feed(d)

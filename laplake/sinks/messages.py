@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laplake import constants as C
+from laplake.sources.message_log import PREFIX, append_messages
 
 
 def _message(df: DataFrame, topic: str, key: Column, body: Column, *beside: Column) -> DataFrame:
@@ -44,5 +45,8 @@ def driver_messages(drivers: DataFrame, topic: str = C.DRIVER_TOPIC) -> DataFram
 
 
 def publish(messages: DataFrame, servers: str) -> None:
-    """Write messages; the topic column routes each row."""
+    """Write messages; the topic column routes each row. ``log:`` and a path name a log of files."""
+    if servers.startswith(PREFIX):
+        append_messages(messages, servers.removeprefix(PREFIX))
+        return
     messages.write.format("kafka").option("kafka.bootstrap.servers", servers).save()

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, FloatType, StructType
 from laplake import constants as C
 from laplake import schemas
 from laplake.functions.numbers import nan_to_null
+from laplake.sources.message_log import PREFIX, log_batch, log_stream
 
 
 def message_stream(spark: SparkSession, servers: str, topics: str = C.LAP_TOPIC,
@@ -18,8 +19,10 @@ def message_stream(spark: SparkSession, servers: str, topics: str = C.LAP_TOPIC,
     """Topic rows from the earliest offset; lost segments do not stop the query.
 
     ``max_offsets`` bounds a micro-batch, and with it the state and the rewrite
-    that one batch can cause.
+    that one batch can cause. ``log:`` and a path name a log of files instead of servers.
     """
+    if servers.startswith(PREFIX):
+        return log_stream(spark, servers.removeprefix(PREFIX), topics)
     return (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -33,7 +36,9 @@ def message_stream(spark: SparkSession, servers: str, topics: str = C.LAP_TOPIC,
 
 def message_batch(spark: SparkSession, servers: str, topics: str,
                   starting: str = "earliest", ending: str = "latest") -> DataFrame:
-    """A bounded read of topics; offsets are JSON maps or earliest / latest."""
+    """A bounded read of topics; offsets are JSON maps or earliest / latest. A log of files is read whole."""
+    if servers.startswith(PREFIX):
+        return log_batch(spark, servers.removeprefix(PREFIX), topics)
     return (
         spark.read.format("kafka")
         .option("kafka.bootstrap.servers", servers)
