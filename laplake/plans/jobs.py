@@ -108,8 +108,14 @@ def backfill(spark: SparkSession, laps: DataFrame, rounds: DataFrame, path: str,
     return backfill_audit(plan, found, expected)
 
 
-def index_races(features: DataFrame, encoder: Encoder, table: VersionedTable, version: int,
-                circuit=None) -> DataFrame:
-    """Describe, embed and upsert every lap of the given races."""
-    table.write(embed_documents(lap_documents(features, circuit), encoder), version)
+def index_races(features: DataFrame, encoder: Encoder, table: VersionedTable, version: int | None = None,
+                circuit=None, merge_every: int = 10) -> DataFrame:
+    """Describe, embed and upsert every lap of the given races.
+
+    Without a ``version`` the next number is taken, and ``merge_every`` versions are merged into one.
+    """
+    number = 1 + max(table.versions(), default=-1) if version is None else version
+    table.write(embed_documents(lap_documents(features, circuit), encoder), number)
+    if version is None and len(table.versions()) >= merge_every:
+        table.merge(number + 1)
     return table.latest()

@@ -309,6 +309,16 @@ def _calendar(d: RaceData):
     return pages.calendar(pages.parse_pages(d.race_pages))
 
 
+@query("cached_calendar", CALENDAR_SQL)
+def _cached_calendar(d: RaceData):
+    """The calendar as it is kept between runs: a JSON array per season, in a file of its own."""
+    rows = pages.calendar(pages.parse_pages(d.race_pages))
+    path = new_folder(d.spark, "calendar")
+    rows.groupBy(F.col("season").alias("year")).agg(
+        F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.partitionBy("year").text(path)
+    return pages.cached_json(d.spark, path).withColumnRenamed("year", "season").select(*rows.columns)
+
+
 _FLAGS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.COUNTRY_CODES.items())
 
 

@@ -118,9 +118,9 @@ def letter_counts(texts: list[str]) -> list[list[float]]:
 def _index(d: RaceData):
     """Describe, embed and upsert all laps; then half of the drivers again with another compound."""
     table = VersionedTable(d.spark, new_folder(d.spark, "index"), ["id"])
-    jobs.index_races(d.race_features, letter_counts, table, 0)
+    jobs.index_races(d.race_features, letter_counts, table)
     corrected = d.race_features.where("driver_number % 2 = 0").withColumn("tyre_compound", F.lit("WET"))
-    found = jobs.index_races(corrected, letter_counts, table, 1)
+    found = jobs.index_races(corrected, letter_counts, table, merge_every=2)
     counts = [F.col("embedding")[i].cast("double").alias(f"count_{c}") for i, c in enumerate(INDEXED)]
     return found.select("id", "year", "tyre_compound", "document", *counts)
 

@@ -96,6 +96,15 @@ def test_index_keeps_the_last_version(spark, tmp_path):
     assert table.versions() == [3] and table.all().count() == features.count()
 
 
+def test_index_runs_merge_their_versions(spark, tmp_path):
+    features = RaceData(spark, SMALL).race_features.where("driver_number < 3")
+    table = VersionedTable(spark, str(tmp_path / "index"), ["id"])
+    for name, versions in (("SOFT", [0]), ("HARD", [0, 1]), ("WET", [3]), ("SOFT", [3, 4])):
+        found = index_races(features.withColumn("tyre_compound", F.lit(name)), letters, table, merge_every=3)
+        assert table.versions() == versions and found.count() == features.count()
+        assert {r[0] for r in found.select("tyre_compound").distinct().collect()} == {name}
+
+
 def test_ragged_vectors_and_null_components_are_no_candidates(spark):
     rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [None, 1.0]), ("d", [1.0, 0.0, 0.0, 1.0, 0.0]), ("e", []), ("f", None)]
     corpus = spark.createDataFrame(rows, "id string, embedding array<float>").coalesce(1)
