@@ -7,6 +7,8 @@ between stages, to the shared folder.
 Nulls: a null text has no language, so the first stage rejects it; rows without
 an id pass all stages. Rows that share an id stay or go together. Empty tables
 give empty results. Columns beyond those of ``documents`` are handed on.
+
+Running a stage sets the session's limit on the bytes of a batch for Python workers.
 """
 
 from __future__ import annotations
@@ -21,10 +23,20 @@ from laplake.llm.near_dedup import near_duplicates
 from laplake.llm.packing import pack
 from laplake.llm.quality import score_quality, train_quality
 
+ARROW_BYTES = 4 << 20  # of rows that a stage hands to a Python worker at a time
 LEAST_LANGUAGE = 0.4  # probability of the language found
 LEAST_QUALITY = 0.5
 
 
+def _in_small_batches(stage):
+    """Let the session hand rows to Python in batches of few bytes: workers of all stages share an executor."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,13 +84,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES = [
+STAGES = [(name, _in_small_batches(stage)) for name, stage in (
     ("language", language),
     ("quality", quality),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
     ("packing", packing),
-]
+)]
 
 ORACLE_SQL = None  # trained models, MinHash and tokenizing have no SQL counterpart
 

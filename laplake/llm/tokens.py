@@ -156,7 +156,7 @@ class ByteTokenizer:
             cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
             and spec.get("normalizer") is None and spec["model"].get("type") == "BPE")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.spec = spec
+        self.spec = spec if word_values else None  # tens of megabytes
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.table = WordTable()
         self.word_values = word_values or self._ids
