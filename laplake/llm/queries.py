@@ -296,7 +296,7 @@ c_0 AS MATERIALIZED (
     _ROUND.format(i, i + 1, _DISTANCE) for i in range(3)) + f"""
 last AS MATERIALIZED (
     SELECT r, min(d) AS d FROM (SELECT v.r, {_DISTANCE} * 1000 + c.c AS d FROM v, c_3 c) GROUP BY r),
-named AS (SELECT vec_id, CAST(d % 1000 AS INTEGER) AS cluster, d // 1000 AS distance FROM last JOIN v USING (r)),
+named AS (SELECT vec_id, CAST(d % 1000 AS INTEGER) AS cluster, CAST(d // 1000 AS BIGINT) AS distance FROM last JOIN v USING (r)),
 inner_sums AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM named GROUP BY cluster)
 SELECT vec_id, cluster, distance, cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM named) AS inertia,
     sha256(array_to_string(c_3.x, ',')) AS centroid_sha256
