@@ -172,6 +172,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert found == brute_duplicates(docs)
 
 
+def test_buckets_in_parts_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr("laplake.llm.near_dedup.BLOCK", 3)
+    docs = near_copies()
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs for _ in range(1 + d[0] % 4)], DOCS).repartition(3)
+    found = sorted(tuple(r) for r in near_duplicates(df).collect())
+    assert found == sorted(r for r in brute_duplicates(docs) for _ in range(1 + r[0] % 4))
+
+
 def test_links_of_few_shingles(spark):
     # Four against three shingles: 0.75 exactly.
     words = [[f"p{i}w{k}" for k in range(8)] for i in range(2000)]
