@@ -3,22 +3,24 @@
 A text is its lower-cased words and an end mark; each is spelled as bytes, each
 byte as the bits of a fixed prefix code. Several predictors give every bit a log
 odds: from hashed tables of bit counts by the last two and four bytes of the
-word, and by the whole beginning of the word for the most frequent words.
-Weights, chosen by how often the two longest contexts were seen, mix the log
-odds; corrections of the weights are refined after every bit, from the bits
-already seen.
+word, and by the whole beginning of the word. Weights, chosen by how often the
+two longest contexts were seen, mix the log odds; corrections of the weights are
+refined after every bit, from the bits already seen.
 
 All counts come from all training texts. Words are counted per block of texts,
 summed per hash shard, and sent back to their blocks, so no task holds more than
 a block or a shard and frequent words cost one entry per block. The predictors'
 tables are sums over all distinct training words; their size is a parameter, so
-they can be sent to all tasks.
+they can be sent to all tasks. A bit depends on its own word only, so the first
+weights, too, are fitted on every bit of every training text by going through the
+distinct training words with their counts.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -56,9 +58,8 @@ from laplake.operators.groups import join_on
 WORD_END, TEXT_END = 0x20, 0x0A
 TABLE_BITS = (19, 21)  # slots of the tables for two and four bytes
 REACH = (2, 4)
-START_BITS = 22  # slots of the table for word beginnings
-FREQUENT_WORDS = 200_000  # words that the table of beginnings knows at most
-RANGE_BITS = 16
+START_BITS = 24  # slots of the table for word beginnings
+RANGE_BITS = 14  # slots of a table that one group sums
 INPUTS = len(REACH) + 2  # and a constant
 START_LEVELS, REACH_LEVELS = 8, 4
 GATES = START_LEVELS * REACH_LEVELS
@@ -69,9 +70,12 @@ STEPS = 16  # bits of every lane that are fetched at a time
 RATE = 0.002
 LIMIT = 14.0  # no bit is thought surer than this log odds
 PRIOR_BITS = 50.0  # strength of the first weights against those that are fitted
+FIT_STEPS = 2
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 8 << 20
-WEIGHT_SHARE = 16  # the first weights are fitted on one training text in so many
+PIECE = 1 << 15  # letters that are spelled at a time, so that working arrays stay in the cache
+HELD_BITS = 2 << 20  # bits of word beginnings after which a shard's counts are put out
+ROW = 8  # numbers set aside for a bit; with fewer, look-ups take longer
 
 
 def byte_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,6 +95,10 @@ def byte_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, bits, nodes
 
 
+#: A hash of each node of the code's tree; nodes have fewer than 2**16 numbers.
+NODE_HASH = (mix(np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+
+
 class Spelling:
     """Words as bits: for every bit of every word its value and its slot in each table."""
 
@@ -109,12 +117,12 @@ class Spelling:
             place = np.append(place, 0)
             self.first = np.append(self.first, total)
             size = np.append(size, 1)
-        lengths, bits, nodes = byte_code()
+        lengths, bits, nodes = per_worker("byte_code", byte_code)
         number = lengths[letters]
         step = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
         letter = np.repeat(letters, number)
         self.bits = bits[letter, step]
-        node = mix(nodes[letter, step].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        node = NODE_HASH.take(nodes[letter, step])
         # Bits of each word.
         ends_of = np.cumsum(number)
         last = ends_of[self.first + size - 1]
@@ -130,13 +138,17 @@ class Spelling:
                 before[place < back] = 0
                 context = context * np.uint64(257) + before
             key = mix(context + np.uint64(reach << 56))
-            self.slots.append(self._slot(np.repeat(key, number) + node, width))
+            self.slots.append(self._slot(np.repeat(self._upper(key), number) + node, width))
         beginning = self._beginnings(letters, self.first, size)
-        self.slots.append(self._slot(np.repeat(beginning, number) + node, START_BITS))
+        self.slots.append(self._slot(np.repeat(self._upper(beginning), number) + node, START_BITS))
 
     @staticmethod
     def _slot(key: np.ndarray, width: int) -> np.ndarray:
-        return ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - width)).astype(np.int64)
+        return ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - width)).astype(np.int64)
+
+    @staticmethod
+    def _upper(key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(32)).astype(np.uint32)
 
     @staticmethod
     def _beginnings(letters: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -157,6 +169,17 @@ class Spelling:
         return mix(out)
 
 
+def pieces(size: np.ndarray):
+    """Ranges of words of about ``PIECE`` letters together."""
+    total = np.cumsum(size + 1)
+    at = 0
+    while at < len(size):
+        before = int(total[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + PIECE, side="right")))
+        yield at, to
+        at = to
+
+
 def stored(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale of one byte; small ones can be told apart."""
     return np.minimum(255, np.rint(np.log2(counts + 1.0) * SCALE)).astype(np.uint8)
@@ -167,43 +190,50 @@ def counted() -> np.ndarray:
     return np.exp2(np.arange(256) / SCALE) - 1
 
 
-def add_end_marks(tables: list[tuple[np.ndarray, np.ndarray]], texts: int) -> None:
-    """Count the end mark of ``texts`` texts in the stored counts."""
-    none = np.zeros(0, dtype=np.int64)
-    mark = Spelling(np.zeros(0, dtype=np.uint8), none, none, end_mark=True)
+def paired(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Stored counts of zeros and of ones side by side, so that one look-up gives both."""
+    return zeros.astype(np.uint16) << 8 | ones
+
+
+def add_end_marks(tables: list[np.ndarray], texts: int) -> None:
+    """Count the end mark of ``texts`` texts in the paired counts."""
+    mark = end_mark()
     for table, slots in zip(tables, mark.slots, strict=True):
-        for value, side in enumerate(table):
-            mine = slots[mark.bits == value]
+        sides = [table[slots] >> 8, table[slots] & 255]
+        for value, side in enumerate(sides):
+            mine = mark.bits == value
             side[mine] = stored(counted()[side[mine]] + texts)
+        table[slots] = paired(*sides)
 
 
-def beginnings_table(letters: bytes, size: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stored counts of zeros and ones by the beginning of a word, from words in a row and their counts."""
-    tables = np.zeros(1 << START_BITS, dtype=np.float32), np.zeros(1 << START_BITS, dtype=np.float32)
-    data = np.frombuffer(letters, dtype=np.uint8)
-    ends = np.cumsum(size)
-    for at in range(0, len(size), 10_000):
-        part = slice(at, at + 10_000)
-        spelled = Spelling(data, ends[part] - size[part], ends[part])
-        each = np.repeat(counts[part].astype(np.float32), np.diff(spelled.bounds))
-        for value, table in enumerate(tables):
-            mine = spelled.bits == value
-            np.add.at(table, spelled.slots[-1][mine], each[mine])
-    return stored(tables[0]), stored(tables[1])
-
-
-def _pair_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Log odds, and power of two of the sum, for every pair of stored counts (zeros, then ones)."""
+def end_mark() -> Spelling:
+    none = np.zeros(0, dtype=np.int64)
+    return Spelling(np.zeros(0, dtype=np.uint8), none, none, end_mark=True)
+
+
+def _pair_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every pair of stored counts (zeros, then ones) the log odds, and what the sum
+    adds to the number of the gate for the longest reach and for the beginning."""
     count = counted()
     zeros, ones = np.repeat(count, 256), np.tile(count, 256)
-    return (np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32), np.log2(zeros + ones + 1.01).astype(np.int8))
+    level = np.log2(zeros + ones + 1.01).astype(np.int64)
+    return (np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32), np.minimum(REACH_LEVELS - 1, level // 2),
+            np.minimum(START_LEVELS - 1, level) * REACH_LEVELS)
+
+
+def _less_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of stored counts with one zero taken off, and with one one taken off."""
+    all_counts = np.arange(256, dtype=np.uint8)
+    less = stored(np.maximum(0, counted() - 1))
+    return (paired(np.repeat(less, 256), np.tile(all_counts, 256)), paired(np.repeat(all_counts, 256), np.tile(less, 256)))
 
 
 class Mixer:
     """Tables, first weights, and the scoring of texts."""
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray | None = None):
-        self.tables = tables
+    def __init__(self, tables: list, weights: np.ndarray | None = None):
+        # Each table is one array of paired counts, or two arrays of stored counts.
+        self.tables = [t if isinstance(t, np.ndarray) else paired(*t) for t in tables]
         self.weights = np.tile(np.array(FIRST_WEIGHTS, dtype=np.float32), (GATES, 1)) if weights is None else weights
 
     def inputs(self, spelled: Spelling, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -211,30 +241,29 @@ class Mixer:
 
         ``leave_out`` takes the bit itself off the counts, for texts that were counted.
         """
-        odds, level = per_worker("pair_tables", _pair_tables)
+        odds, *levels = per_worker("pair_tables", _pair_tables)
         x = np.ones((INPUTS, len(spelled.bits)), dtype=np.float32)
-        levels = []
-        for i, ((zeros, ones), slots) in enumerate(zip(self.tables, spelled.slots, strict=True)):
-            n0, n1 = zeros[slots], ones[slots]
+        gate = 0
+        for i, (table, slots) in enumerate(zip(self.tables, spelled.slots, strict=True)):
+            pair = table.take(slots)
             if leave_out:
-                count = counted()
-                n0 = stored(np.maximum(0, count[n0] - (spelled.bits == 0)))
-                n1 = stored(np.maximum(0, count[n1] - (spelled.bits == 1)))
-            pair = (n0.astype(np.uint16) << 8) | n1
-            x[i] = odds[pair]
+                without_zero, without_one = per_worker("less_tables", _less_tables)
+                pair = np.where(spelled.bits == 0, without_zero.take(pair), without_one.take(pair))
+            pair = pair.astype(np.int64)
+            x[i] = odds.take(pair)
             if i >= len(REACH) - 1:
-                levels.append(level[pair])
-        start, reach = np.minimum(START_LEVELS - 1, levels[1]), np.minimum(REACH_LEVELS - 1, levels[0] // 2)
-        return x, start * REACH_LEVELS + reach
+                gate = gate + levels[i - len(REACH) + 1].take(pair)
+        return x, gate
 
-    def _distinct(self, column: pa.Array):
+    @staticmethod
+    def _distinct(column: pa.Array):
+        """Lowered bytes, where each distinct word starts and ends there, and the texts as numbers of words."""
         data, bounds = flat_bytes(column)
         data = lowered(data)
         starts, ends, owner = word_bounds(data, bounds, blank_class())
         codes, keys = pd.factorize(span_hashes(data, starts, ends))
         first = np.empty(len(keys), dtype=np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        spelled = Spelling(data, starts[first], ends[first], end_mark=True)
         # Each text's words, then the end mark, which is the last distinct word.
         texts = len(bounds) - 1
         words = np.diff(np.searchsorted(owner, np.arange(texts + 1)))
@@ -244,71 +273,112 @@ class Mixer:
         own = np.ones(len(sequence), dtype=bool)
         own[cuts[1:] - 1] = False
         sequence[own] = codes
-        return spelled, sequence, cuts
+        return data, starts[first], ends[first], sequence, cuts
+
+    def slopes(self, spelled: Spelling, mass: np.ndarray) -> np.ndarray:
+        """By gate: slope of the log likelihood in each weight, and its curvature in each pair of weights.
 
-    def fit(self, column: pa.Array, steps: int = 5) -> list[tuple[int, list[float], float]]:
-        """Weights of each gate that suit these texts best, by Newton steps: (gate, weights, bits)."""
-        spelled, sequence, _ = self._distinct(column)
+        ``mass`` says how often each bit occurs.
+        """
         x, gate = self.inputs(spelled, leave_out=True)
-        times = np.bincount(sequence, minlength=len(spelled.bounds) - 1)
-        mass = np.repeat(times, np.diff(spelled.bounds)).astype(np.float64)
-        out = []
-        for g in range(GATES):
-            mine = np.flatnonzero(gate == g)
-            if len(mine) < 50:
-                continue
-            xs, y, m, w = x[:, mine].T.astype(np.float64), spelled.bits[mine], mass[mine], self.weights[g].astype(np.float64)
-            for _ in range(steps):
-                p = 1 / (1 + np.exp(-np.clip(xs @ w, -20, 20)))
-                slope = xs.T @ (m * (y - p)) - PRIOR_BITS * (w - FIRST_WEIGHTS)
-                curve = (xs * (m * p * (1 - p))[:, None]).T @ xs + PRIOR_BITS * np.eye(INPUTS)
-                w = w + np.linalg.solve(curve, slope)
-            out.append((g, np.clip(w, -3, 3).tolist(), float(m.sum())))
-        return out
+        z = sum(self.weights[:, i].astype(np.float32).take(gate) * x[i] for i in range(INPUTS))
+        p = 1 / (1 + np.exp(-np.clip(z, -20, 20).astype(np.float64)))
+        miss, curve = mass * (spelled.bits - p), mass * p * (1 - p)
+        sums = [np.bincount(gate, miss * x[i], GATES) for i in range(INPUTS)]
+        for i in range(INPUTS):
+            own = curve * x[i]
+            sums += [np.bincount(gate, own * x[j], GATES) for j in range(i, INPUTS)]
+        return np.stack(sums, axis=1)
+
+    def moved(self, slopes: np.ndarray) -> np.ndarray:
+        """The weights after a Newton step."""
+        weights = self.weights.astype(np.float64)
+        for w, sums in zip(weights, slopes, strict=True):
+            curve = np.zeros((INPUTS, INPUTS))
+            curve[np.triu_indices(INPUTS)] = sums[INPUTS:]
+            curve += np.triu(curve, 1).T + PRIOR_BITS * np.eye(INPUTS)
+            w += np.linalg.solve(curve, sums[:INPUTS] - PRIOR_BITS * (w - FIRST_WEIGHTS))
+        return np.clip(weights, -3, 3)
+
+    def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What scoring needs of every bit of the words and the end mark, and where each one's bits begin.
+
+        With the sign of the bit that did not come: the inputs times the root of the
+        rate, and their sum under the first weights.
+        """
+        mark = end_mark()
+        length = per_worker("byte_code", byte_code)[0]
+        spent = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum(length[data], out=spent[1:])
+        bounds = np.zeros(len(starts) + 2, dtype=np.int64)
+        np.cumsum(np.append(spent[ends] - spent[starts] + length[WORD_END], len(mark.bits)), out=bounds[1:])
+        rows = np.zeros((max(int(bounds[-1]), STEPS), ROW), dtype=np.float32)
+
+        def fill(at: int, to: int, spelled: Spelling) -> None:
+            x, gate = self.inputs(spelled)
+            sign = (1 - 2 * spelled.bits).astype(np.float32)
+            own = rows[bounds[at]:bounds[to]]
+            own[:, INPUTS] = sum(self.weights[:, i].take(gate) * x[i] for i in range(INPUTS)) * sign
+            x *= sign * np.float32(math.sqrt(RATE))
+            own[:, :INPUTS] = x.T
+
+        for at, to in pieces(ends - starts):
+            fill(at, to, Spelling(data, starts[at:to], ends[at:to]))
+        fill(len(starts), len(starts) + 1, mark)
+        return rows, bounds
 
     def score(self, column: pa.Array) -> np.ndarray:
         """log10 of each text's probability."""
-        spelled, sequence, cuts = self._distinct(column)
-        x, gate = self.inputs(spelled)
-        # Of every bit: the inputs, their sum under the first weights, and one with the bit's sign.
-        rows = np.empty((len(gate), INPUTS + 2), dtype=np.float32)
-        rows[:, :INPUTS] = x.T
-        rows[:, INPUTS] = sum(self.weights[:, i][gate] * x[i] for i in range(INPUTS))
-        rows[:, INPUTS + 1] = 2 * spelled.bits - 1
-        size = np.diff(spelled.bounds)[sequence]
+        data, starts, ends, sequence, cuts = self._distinct(column)
+        rows, bounds = self._rows(data, starts, ends)
+        size = np.diff(bounds)[sequence]
         total = np.zeros(len(sequence) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])
-        # The distinct word's bit behind every bit of the texts.
-        bit = np.arange(total[-1], dtype=np.int32)
-        bit += np.repeat((spelled.bounds[sequence] - total[:-1]).astype(np.int32), size)
-        text_bounds = total[cuts]
-        lengths = np.diff(text_bounds)
+        lengths = np.diff(total[cuts])
+        # The distinct word's bit behind every bit of the texts, each of which is filled up to whole steps.
+        filling = -lengths % STEPS
+        size = np.insert(size, cuts[1:], filling)
+        shift = np.insert(bounds[sequence], cuts[1:], 0) - (np.cumsum(size) - size)
+        bit = np.arange(int(size.sum()), dtype=np.int32)
+        bit += np.repeat(shift.astype(np.int32), size)
+        bit = bit.reshape(-1, STEPS)
+        text_starts = (np.cumsum(lengths + filling) - lengths - filling) // STEPS
         lanes = -(-lengths // LANE)
         owner = np.repeat(np.arange(len(lengths)), lanes)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        begin = text_bounds[owner] + number * LANE
-        left = np.minimum(LANE, text_bounds[owner + 1] - begin)
+        begin = text_starts[owner] + number * (LANE // STEPS)
+        left = np.minimum(LANE, lengths[owner] - number * LANE)
         order = np.argsort(-left, kind="stable")
         begin, left = begin[order], left[order]
         alive = np.searchsorted(-left, -np.arange(LANE), side="left")
-        change = np.zeros((INPUTS, len(begin)), dtype=np.float32)
+        # Corrections over the root of the rate; the last row adds the sum under the first weights.
+        change = np.zeros((INPUTS + 1, len(begin)), dtype=np.float32)
+        change[INPUTS] = 1
+        product = np.empty_like(change)
         cost = np.zeros(len(begin), dtype=np.float64)
+        low, high, one = np.float32(-LIMIT), np.float32(LIMIT), np.float32(1)
         for first in range(0, int(left[0]) if len(left) else 0, STEPS):
             n = int(alive[first])
-            at = np.minimum(begin[:n, None] + np.arange(first, first + STEPS), len(bit) - 1)
-            ahead = np.ascontiguousarray(rows.take(bit.take(at), axis=0).transpose(1, 2, 0))
+            at = np.ascontiguousarray(bit.take(begin[:n] + first // STEPS, axis=0).T)
+            ahead = np.ascontiguousarray(rows.take(at, axis=0, mode="clip")[:, :, :INPUTS + 1].transpose(0, 2, 1))
             wrongness = np.ones(n)
             for step in range(STEPS):
                 n = int(alive[first + step]) if first + step < LANE else 0
                 if not n:
                     break
-                inputs, known, sign = ahead[step, :INPUTS, :n], ahead[step, INPUTS, :n], ahead[step, INPUTS + 1, :n]
-                own = change[:, :n]
-                z = known + (inputs * own).sum(axis=0)
-                odds = np.exp(np.clip(-z * sign, -LIMIT, LIMIT))
-                wrongness[:n] *= 1.0 + odds
+                inputs, own, part = ahead[step, :, :n], change[:, :n], product[:, :n]
+                np.multiply(inputs, own, out=part)
+                odds = part.sum(axis=0)
+                np.minimum(odds, high, out=odds)
+                np.maximum(odds, low, out=odds)
+                np.exp(odds, out=odds)
+                either = odds + one
+                wrongness[:n] *= either
                 # Chance of the bit that did not come.
-                own += inputs * (odds / (1 + odds) * sign * np.float32(RATE))
+                odds /= either
+                own, part = own[:INPUTS], part[:INPUTS]
+                np.multiply(inputs[:INPUTS], odds, out=part)
+                own -= part
             cost[:len(wrongness)] -= np.log(wrongness)
         out = np.zeros(len(lengths))
         np.add.at(out, owner[order], cost)
@@ -390,14 +460,24 @@ def _blocks(documents: DataFrame, doc_id: str, text: str, trained: Column, shard
 
 SUMMED = StructType([
     StructField("kind", StringType()), StructField("block", LongType()), StructField("shard", IntegerType()),
-    StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("c", BinaryType()), StructField("n", LongType())])
+    StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("c", BinaryType()), StructField("n", LongType()),
+    StructField("slots", BinaryType()), StructField("sums", BinaryType())])
+
+
+def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+    return keys[first], np.add.reduceat(values[order], first) if len(first) else values
 
 
 def _sum_shard(rows: pa.Table) -> pa.Table:
     """All blocks' words of one shard, summed.
 
     ``counts`` rows answer each block in its own order; ``words`` rows have the
-    distinct training words; ``bits`` rows have the tables' counts by slot range.
+    distinct training words; ``bits`` rows have the tables' counts by slot range,
+    of slots times two, plus one for ones, as steps from one to the next.
     """
     shard = rows.column("shard")[0].as_py()
     held = [[np.frombuffer(v, dtype=kind) for v in rows.column(c).to_pylist()]
@@ -407,7 +487,7 @@ def _sum_shard(rows: pa.Table) -> pa.Table:
     out = []
     at = 0
     for block, own in zip(rows.column("block").to_pylist(), held[0], strict=True):
-        out.append(("counts", block, shard, counts[codes[at:at + len(own)]].tobytes(), None, None, None))
+        out.append(("counts", block, shard, counts[codes[at:at + len(own)]].tobytes(), None, None, None, None, None))
         at += len(own)
     size = np.concatenate(held[2]).astype(np.int64)
     ends = np.cumsum(size)
@@ -416,78 +496,98 @@ def _sum_shard(rows: pa.Table) -> pa.Table:
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
     first = first[counts > 0]
     counts = counts[counts > 0]
-    zeros = [np.zeros(1 << w, dtype=np.int64) for w in TABLE_BITS]
-    ones = [np.zeros(1 << w, dtype=np.int64) for w in TABLE_BITS]
-    for begin in range(0, len(first), 20_000):
-        part = first[begin:begin + 20_000]
+    sums = [np.zeros(2 << w, dtype=np.int64) for w in TABLE_BITS]
+    begun, bits = [], 0
+
+    def put_out(i: int, width: int, used: np.ndarray, each: np.ndarray) -> None:
+        cuts = np.searchsorted(used, np.arange(0, (2 << width) + 1, 2 << RANGE_BITS))
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            part, values = used[cuts[r]:cuts[r + 1]], each[cuts[r]:cuts[r + 1]]
+            steps = np.diff(part, prepend=r * (2 << RANGE_BITS))
+            out.append(("bits", None, i << 16 | r, None, None, None, len(part),
+                        *(v.astype(np.min_scalar_type(v.max())).tobytes() for v in (steps, values))))
+
+    def put_out_begun() -> None:
+        put_out(len(TABLE_BITS), START_BITS, *_added(*(np.concatenate(v) for v in zip(*begun, strict=True))))
+        begun.clear()
+
+    for at, to in pieces(size[first]):
+        part = first[at:to]
         starts = ends[part] - size[part]
         joined = np.cumsum(size[part])
         letters = data[np.arange(joined[-1]) + np.repeat(starts - (joined - size[part]), size[part])]
-        number = counts[begin:begin + 20_000]
-        out.append(("words", None, shard, letters.tobytes(), size[part].astype("<u4").tobytes(), number.tobytes(), len(part)))
+        number = counts[at:to]
+        out.append(("words", None, shard, letters.tobytes(), size[part].astype("<u4").tobytes(), number.tobytes(), len(part), None, None))
         spelled = Spelling(letters, joined - size[part], joined)
-        each = np.repeat(number, np.diff(spelled.bounds)).astype(np.float64)
-        for slots, table0, table1, width in zip(spelled.slots, zeros, ones, TABLE_BITS, strict=False):
-            for value, table in ((0, table0), (1, table1)):
-                mine = spelled.bits == value
-                table += np.bincount(slots[mine], each[mine], minlength=1 << width).astype(np.int64)
-    for i, (table0, table1) in enumerate(zip(zeros, ones, strict=True)):
-        used = np.flatnonzero(table0 + table1)
-        cuts = np.searchsorted(used, np.arange(0, len(table0) + 1, 1 << RANGE_BITS))
-        for r in np.flatnonzero(np.diff(cuts)).tolist():
-            mine = used[cuts[r]:cuts[r + 1]]
-            out.append(("bits", None, i << 16 | r, (mine & ((1 << RANGE_BITS) - 1)).astype("<u2").tobytes(),
-                        table0[mine].astype("<i8").tobytes(), table1[mine].astype("<i8").tobytes(), None))
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        each = np.repeat(number, np.diff(spelled.bounds))
+        keys = [slots << 1 | spelled.bits for slots in spelled.slots]
+        for table, slots in zip(sums, keys, strict=False):
+            np.add.at(table, slots, each)
+        begun.append((keys[-1].astype(np.uint32), each))
+        bits += len(each)
+        if bits >= HELD_BITS:
+            put_out_begun()
+            bits = 0
+    if begun:
+        put_out_begun()
+    for i, (table, width) in enumerate(zip(sums, TABLE_BITS, strict=True)):
+        used = np.flatnonzero(table)
+        put_out(i, width, used, table[used])
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
     return pa.table([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=SUMMED.names)
 
 
 def _sum_range(rows: pa.Table) -> pa.Table:
-    """One range of a table, summed over the shards, as stored counts."""
-    zeros, ones = np.zeros(1 << RANGE_BITS), np.zeros(1 << RANGE_BITS)
-    for slots, n0, n1 in zip(*(rows.column(c).to_pylist() for c in ("a", "b", "c")), strict=True):
-        at = np.frombuffer(slots, dtype="<u2")
-        zeros[at] += np.frombuffer(n0, dtype="<i8")
-        ones[at] += np.frombuffer(n1, dtype="<i8")
-    return pa.table({"shard": rows.column("shard").slice(0, 1), "zeros": [stored(zeros).tobytes()], "ones": [stored(ones).tobytes()]})
+    """One range of a table, summed over the shards, as paired counts."""
+    table = np.zeros(2 << RANGE_BITS, dtype=np.int64)
+    for number, steps, sums in zip(*(rows.column(c).to_pylist() for c in ("n", "slots", "sums")), strict=True):
+        steps, sums = (np.frombuffer(v, dtype=f"<u{len(v) // number}").astype(np.int64) for v in (steps, sums))
+        table[np.cumsum(steps)] += sums
+    return pa.table({"shard": rows.column("shard").slice(0, 1), "pairs": [paired(stored(table[::2]), stored(table[1::2])).tobytes()]})
+
+
+def context_tables(summed: DataFrame, texts: int) -> list[np.ndarray]:
+    """The predictors' tables of paired counts, over all distinct training words and the end marks."""
+    tables = [np.zeros(1 << w, dtype=np.uint16) for w in (*TABLE_BITS, START_BITS)]
+    ranges = summed.where("kind = 'bits'").select("shard", "n", "slots", "sums").groupBy("shard").applyInArrow(
+        _sum_range, "shard int, pairs binary")
+    for r in ranges.collect():
+        number = r["shard"] & 0xFFFF
+        tables[r["shard"] >> 16][number << RANGE_BITS:(number + 1) << RANGE_BITS] = np.frombuffer(r["pairs"], dtype=np.uint16)
+    add_end_marks(tables, texts)
+    return tables
 
 
-def _frequent_words(words: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The most frequent training words in a row, their sizes and counts.
+def first_weights(summed: DataFrame, texts: int, mixer: Callable) -> np.ndarray:
+    """Weights of every gate that suit all training texts best, by Newton steps from ``FIRST_WEIGHTS``.
 
-    At most ``FREQUENT_WORDS``; words of a count that does not fit whole stay out.
+    Slopes and curvatures are summed over all distinct training words, each as often
+    as it occurs, and the end marks. ``mixer(weights)`` makes the model.
     """
+    known = summed.where("kind = 'words'").select("a", "b", "c")
+    number = INPUTS + INPUTS * (INPUTS + 1) // 2
+    sums = [F.sum(F.col("v")[i]) for i in range(number)]
+    mark = end_mark()
+    weights = None
+    for _ in range(FIT_STEPS):
+
+        def slopes(batches, weights=weights):
+            total = np.zeros((GATES, number))
+            for batch in batches:
+                for letters, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "c")), strict=True):
+                    ends = np.cumsum(np.frombuffer(sizes, dtype="<u4").astype(np.int64))
+                    spelled = Spelling(np.frombuffer(letters, dtype=np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+                    each = np.repeat(np.frombuffer(counts, dtype="<i8").astype(np.float64), np.diff(spelled.bounds))
+                    total += mixer(weights).slopes(spelled, each)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(GATES), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["gate", "v"])
 
-    def sizes(batches):
-        total = np.zeros(1 << 20, dtype=np.int64)
-        for batch in batches:
-            for counts in batch.column("c").to_pylist():
-                total += np.bincount(np.minimum(np.frombuffer(counts, dtype="<i8"), len(total) - 1), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["count", "n"])
-
-    # At most 2**20 different counts.
-    found = words.select("c").mapInArrow(sizes, "count long, n long").groupBy("count").agg(F.sum("n").alias("n")).collect()
-    least, held = 1 << 62, 0
-    for r in sorted(found, key=lambda r: -r["count"]):
-        held += r["n"]
-        if held > FREQUENT_WORDS:
-            break
-        least = r["count"]
-
-    def pick(batches):
-        for batch in batches:
-            for letters, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "c")), strict=True):
-                size, n = np.frombuffer(sizes, dtype="<u4").astype(np.int64), np.frombuffer(counts, dtype="<i8")
-                mine = np.repeat(n >= least, size)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([v], pa.binary()) for v in (
-                        np.frombuffer(letters, dtype=np.uint8)[mine].tobytes(), size[n >= least].astype("<u4").tobytes(), n[n >= least].tobytes())],
-                    names=["a", "b", "c"])
-
-    rows = sorted(words.select("a", "b", "c").mapInArrow(pick, "a binary, b binary, c binary").collect())
-    return (b"".join(r["a"] for r in rows), np.frombuffer(b"".join(r["b"] for r in rows), dtype="<u4").astype(np.int64),
-            np.frombuffer(b"".join(r["c"] for r in rows), dtype="<i8"))
+        model = mixer(weights)
+        total = model.slopes(mark, np.full(len(mark.bits), float(texts)))
+        for r in known.mapInArrow(slopes, "gate int, v array<double>").groupBy("gate").agg(F.array(*sums).alias("v")).collect():
+            total[r["gate"]] += r["v"]
+        weights = model.moved(total)
+    return weights.astype(np.float32)
 
 
 def _base_scores(blocks: DataFrame, counts: DataFrame, doc_id: str, base: tuple[int, int, int]) -> DataFrame:
@@ -515,6 +615,16 @@ def _base_scores(blocks: DataFrame, counts: DataFrame, doc_id: str, base: tuple[
     return own.groupBy("block").cogroup(counts.select("block", "shard", "a").groupBy("block")).applyInArrow(run, schema)
 
 
+def word_sums(documents: DataFrame, trained: Column, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, int]:
+    """Word counts by block, their sums by shard, and the number of training texts."""
+    trained = F.coalesce(trained, F.lit(False))
+    size, texts = documents.agg(F.sum(F.octet_length(text)), F.count_if(trained)).first()
+    shards = max(16, math.ceil((size or 0) / SHARD_BYTES))
+    blocks = _blocks(documents, doc_id, text, trained, shards)
+    words = blocks.where(F.col("shard").isNotNull()).select("block", "shard", "a", "b", "c", "d")
+    return blocks, staged(words.groupBy("shard").applyInArrow(_sum_shard, SUMMED), "word-sums"), texts
+
+
 def lm_scores(documents: DataFrame, trained: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every text.
 
@@ -523,49 +633,20 @@ def lm_scores(documents: DataFrame, trained: Column, doc_id: str = "doc_id", tex
     model. A null or empty text is its end mark alone. Repeated rows give equal rows.
     """
     spark = documents.sparkSession
-    trained = F.coalesce(trained, F.lit(False))
-    size, texts = documents.agg(F.sum(F.octet_length(text)), F.count_if(trained)).first()
-    shards = max(16, math.ceil((size or 0) / SHARD_BYTES))
-    blocks = _blocks(documents, doc_id, text, trained, shards)
-    words = blocks.where(F.col("shard").isNotNull()).select("block", "shard", "a", "b", "c", "d")
-    summed = staged(words.groupBy("shard").applyInArrow(_sum_shard, SUMMED), "word-sums")
+    blocks, summed, texts = word_sums(documents, trained, doc_id, text)
 
     known = summed.where("kind = 'words'")
     tokens, distinct = known.select(
         "n", "c").mapInArrow(_totals, "tokens long, distinct long").agg(F.sum("tokens"), F.sum("distinct")).first()
     tokens, distinct = (tokens or 0) + texts, (distinct or 0) + (texts > 0)
 
-    tables = [tuple(np.zeros(1 << w, dtype=np.uint8) for _ in range(2)) for w in TABLE_BITS]
-    ranges = summed.where("kind = 'bits'").select("shard", "a", "b", "c").groupBy("shard").applyInArrow(
-        _sum_range, "shard int, zeros binary, ones binary")
-    for r in ranges.collect():
-        table, number = tables[r["shard"] >> 16], r["shard"] & 0xFFFF
-        for side, name in zip(table, ("zeros", "ones"), strict=True):
-            side[number << RANGE_BITS:(number + 1) << RANGE_BITS] = np.frombuffer(r[name], dtype=np.uint8)
-    tables.append(beginnings_table(*_frequent_words(known)))
-    add_end_marks(tables, texts)
-    held = spark.sparkContext.broadcast([side.tobytes() for pair in tables for side in pair])
+    held = spark.sparkContext.broadcast([t.tobytes() for t in context_tables(summed, texts)])
     name = f"mixer:{uuid.uuid4().hex}"
 
     def mixer(weights=None) -> Mixer:
-        own = per_worker(name, lambda: [np.frombuffer(t, dtype=np.uint8) for t in held.value])
-        return Mixer(list(zip(own[::2], own[1::2], strict=True)), weights)
+        return Mixer(per_worker(name, lambda: [np.frombuffer(t, dtype=np.uint16) for t in held.value]), weights)
 
-    def fit(batches):
-        for batch in batches:
-            for at, to in row_slices(batch.column(text), 1 << 20):
-                found = mixer().fit(batch.column(text).slice(at, to - at))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([g for g, _, _ in found], pa.int32()), pa.array([w for _, w, _ in found], pa.list_(pa.float64())),
-                    pa.array([m for _, _, m in found], pa.float64())], names=["gate", "weights", "bits"])
-
-    weights = np.tile(np.array(FIRST_WEIGHTS), (GATES, 1))
-    sample = documents.where(trained & (F.pmod(F.xxhash64(doc_id), F.lit(WEIGHT_SHARE)) == 0)).select(text)
-    fitted = sample.mapInArrow(fit, "gate int, weights array<double>, bits double")
-    means = [F.sum(F.col("weights")[i] * F.col("bits")) / F.sum("bits") for i in range(INPUTS)]
-    for r in fitted.groupBy("gate").agg(F.array(*means).alias("w")).collect():
-        weights[r["gate"]] = r["w"]
-    weights = weights.astype(np.float32)
+    weights = first_weights(summed, texts, mixer)
 
     def score(batch):
         model = mixer(weights)

@@ -315,3 +315,61 @@ def test_language_model_gives_probabilities():
     for text, s in zip(["", *letters, *(a + b for a in letters for b in letters)], scores, strict=True):
         distinct[lower(text)] = s
     assert 0 < sum(10 ** s for s in distinct.values()) < 1
+
+
+def test_language_model_learns_from_all_words(spark):
+    """Tables and first weights cover every training word, rare ones and those of any text alike."""
+    from laplake.llm import lm_score
+    draw = random.Random(4)
+    # More distinct words, each of them once, than the table of beginnings took before.
+    rare = sorted({"".join(draw.choice("abcdefgh") for _ in range(8)) for _ in range(212_000)})
+    assert len(rare) > 200_000
+    docs = [(i, " ".join(rare[i * 500:i * 500 + 500]) + " the the" * (i % 3)) for i in range(-(-len(rare) // 500))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    _, summed, texts = lm_score.word_sums(df, F.lit(True), "doc_id", "text")
+    tables = lm_score.context_tables(summed, texts)
+    counts = Counter(w.encode() for _, t in docs for w in t.split())
+    words, each = list(counts), np.array(list(counts.values()))
+    size = np.array([len(w) for w in words])
+    ends = np.cumsum(size)
+    spelled = lm_score.Spelling(np.frombuffer(b"".join(words), dtype=np.uint8), ends - size, ends)
+    mass = np.repeat(each, np.diff(spelled.bounds))
+    want = []
+    for slots, width in zip(spelled.slots, (*lm_score.TABLE_BITS, lm_score.START_BITS), strict=True):
+        sides = [lm_score.stored(np.bincount(slots, mass * (spelled.bits == v), 1 << width)) for v in (0, 1)]
+        want.append(lm_score.paired(*sides))
+    lm_score.add_end_marks(want, len(docs))
+    assert all((a == b).all() for a, b in zip(tables, want, strict=True))
+
+    weights = lm_score.first_weights(summed, texts, lambda w=None: lm_score.Mixer(tables, w))
+    model = lm_score.Mixer(want)
+    mark = lm_score.end_mark()
+    for _ in range(lm_score.FIT_STEPS):
+        slopes = model.slopes(spelled, mass.astype(float)) + model.slopes(mark, np.full(len(mark.bits), float(len(docs))))
+        model = lm_score.Mixer(want, model.moved(slopes))
+    assert np.allclose(weights, model.weights, atol=1e-5)
+
+
+def test_language_model_bit_by_bit():
+    """The vectorised scores agree with corrections made one bit at a time."""
+    from laplake.llm import lm_score
+    draw = np.random.default_rng(6)
+    tables = [draw.integers(0, 90, (2, 1 << w)).astype(np.uint8) for w in (*lm_score.TABLE_BITS, lm_score.START_BITS)]
+    weights = draw.normal(0.3, 0.1, (lm_score.GATES, lm_score.INPUTS)).astype(np.float32)
+    model = lm_score.Mixer([tuple(t) for t in tables], weights)
+    texts = ["", None, "One two three two", "x" * 3000, " ".join(str(i * i) for i in range(900))]
+    for text, found in zip(texts, model.score(pa.array(texts)), strict=True):
+        words = [w.encode() for w in (text or "").lower().split()]
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        ends = np.cumsum(size)
+        spelled = lm_score.Spelling(np.frombuffer(b"".join(words), dtype=np.uint8), ends - size, ends, end_mark=True)
+        x, gate = model.inputs(spelled)
+        total = 0.0
+        for i, bit in enumerate(spelled.bits):
+            if i % lm_score.LANE == 0:
+                change = np.zeros(lm_score.INPUTS)
+            z = float(np.clip(x[:, i] @ (weights[gate[i]] + change), -lm_score.LIMIT, lm_score.LIMIT))
+            p = 1 / (1 + np.exp(-z))
+            total += np.log10(p if bit else 1 - p)
+            change += lm_score.RATE * (bit - p) * x[:, i]
+        assert abs(found - total) < 1e-4 * max(1, abs(total))
