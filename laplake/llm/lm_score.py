@@ -13,7 +13,8 @@ a block or a shard and frequent words cost one entry per block. The predictors'
 tables are sums over all distinct training words; their size is a parameter, so
 they can be sent to all tasks. A bit depends on its own word only, so the first
 weights, too, are fitted on every bit of every training text by going through the
-distinct training words with their counts.
+distinct training words with their counts. Words share the bits of a common
+beginning, which are worked out once for all of them.
 """
 
 from __future__ import annotations
@@ -97,76 +98,114 @@ def byte_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 #: A hash of each node of the code's tree; nodes have fewer than 2**16 numbers.
 NODE_HASH = (mix(np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+SCATTER = np.uint32(0x9E3779B1)
 
 
-class Spelling:
-    """Words as bits: for every bit of every word its value and its slot in each table."""
+def letter_codes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code length of each byte, where its bits begin among all bytes' bits, these bits, and the hashed nodes before them."""
+    lengths, bits, nodes = byte_code()
+    used = np.arange(bits.shape[1]) < lengths[:, None]
+    return lengths, np.cumsum(lengths) - lengths, bits[used], NODE_HASH[nodes[used]] * SCATTER
+
+
+class Letters:
+    """Words as letters, each word with its end, and hashes of the words' beginnings."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, end_mark: bool = False):
         size = ends - starts + 1
-        self.first = np.cumsum(size) - size
+        first = np.cumsum(size) - size
         total = int(size.sum())
-        letters = np.full(total + end_mark, WORD_END, dtype=np.uint8)
-        place = np.arange(total) - np.repeat(self.first, size)
-        inside = place < np.repeat(size - 1, size)
-        at = (np.repeat(starts, size) + place)[inside]
-        letters[:total][inside] = data[at]
+        letters = data.take(np.repeat(starts - first, size) + np.arange(total), mode="clip")
+        letters[first + size - 1] = WORD_END
         if end_mark:
             # The end of a text is one more word, of the end mark alone.
-            letters[total] = TEXT_END
-            place = np.append(place, 0)
-            self.first = np.append(self.first, total)
-            size = np.append(size, 1)
-        lengths, bits, nodes = per_worker("byte_code", byte_code)
-        number = lengths[letters]
-        step = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
-        letter = np.repeat(letters, number)
-        self.bits = bits[letter, step]
-        node = NODE_HASH.take(nodes[letter, step])
+            letters = np.append(letters, np.uint8(TEXT_END))
+            first, size = np.append(first, total), np.append(size, 1)
+        self.letters, self.first, self.size = letters, first, size
+        self.place = np.arange(len(letters)) - np.repeat(first, size)
+        self.begun = self._begun()
+
+    def _begun(self) -> np.ndarray:
+        """Hash of the letters of its word up to each letter."""
+        letters, first, size = self.letters, self.first, self.size
+        out = np.empty(len(letters), dtype=np.uint64)
+        ends = first + size
+        at = 0
+        while at < len(first):
+            begin = int(first[at])
+            to = max(at + 1, int(np.searchsorted(ends, begin + SPAN, side="right")))
+            stop = int(ends[to - 1])
+            up, down, table = _powers(stop - begin + 1)
+            sums = np.zeros(stop - begin + 1, dtype=np.uint64)
+            np.cumsum(table[letters[begin:stop]] * up[:stop - begin], out=sums[1:])
+            own = first[at:to] - begin
+            np.subtract(sums[1:], np.repeat(sums[own], size[at:to]), out=out[begin:stop])
+            out[begin:stop] *= np.repeat(down[own], size[at:to])
+            at = to
+        return out
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every letter the number of the beginning that ends with it, and a place of each distinct beginning."""
+        codes, keys = pd.factorize(self.begun)
+        at = np.empty(len(keys), dtype=np.int64)
+        at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        return codes, at
+
+
+class Spelling:
+    """Letters of words as bits: for every bit its value and its slot in each table."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, end_mark: bool = False):
+        known = Letters(data, starts, ends, end_mark)
+        self._spell(known, np.arange(len(known.letters)))
         # Bits of each word.
-        ends_of = np.cumsum(number)
-        last = ends_of[self.first + size - 1]
-        self.bounds = np.concatenate([[0], last])
+        self.bounds = self.bounds[np.append(known.first, len(known.letters))]
+
+    @classmethod
+    def of(cls, known: Letters, at: np.ndarray) -> Spelling:
+        """The letters at some places; ``bounds`` are those of the letters."""
+        out = cls.__new__(cls)
+        out._spell(known, at)
+        return out
+
+    def _spell(self, known: Letters, at: np.ndarray) -> None:
+        letters, place = known.letters.take(at), known.place.take(at)
+        lengths, code_starts, code_bits, code_nodes = per_worker("letter_codes", letter_codes)
+        number = lengths.take(letters)
+        self.bounds = np.zeros(len(at) + 1, dtype=np.int64)
+        np.cumsum(number, out=self.bounds[1:])
+        step = np.repeat(code_starts.take(letters) - self.bounds[:-1], number)
+        step += np.arange(len(step))
+        self.bits = code_bits.take(step)
+        node = code_nodes.take(step)
         self.slots = []
-        context = np.zeros(len(letters), dtype=np.uint64)
+        context = np.zeros(len(at), dtype=np.uint64)
         back = 0
         for reach, width in zip(REACH, TABLE_BITS, strict=True):
             while back < reach:
                 back += 1
-                before = np.zeros(len(letters), dtype=np.uint64)
-                before[back:] = letters[:-back]
+                before = known.letters.take(at - back, mode="clip")
                 before[place < back] = 0
                 context = context * np.uint64(257) + before
-            key = mix(context + np.uint64(reach << 56))
-            self.slots.append(self._slot(np.repeat(self._upper(key), number) + node, width))
-        beginning = self._beginnings(letters, self.first, size)
-        self.slots.append(self._slot(np.repeat(self._upper(beginning), number) + node, START_BITS))
+            self.slots.append(self._slot(mix(context + np.uint64(reach << 56)), number, node, width))
+        begun = known.begun.take(at - 1, mode="clip")
+        begun[place == 0] = 0
+        self.slots.append(self._slot(mix(begun), number, node, START_BITS))
 
     @staticmethod
-    def _slot(key: np.ndarray, width: int) -> np.ndarray:
-        return ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - width)).astype(np.int64)
+    def _slot(key: np.ndarray, number: np.ndarray, node: np.ndarray, width: int) -> np.ndarray:
+        slot = np.repeat((key >> np.uint64(32)).astype(np.uint32) * SCATTER, number)
+        slot += node
+        slot >>= np.uint32(32 - width)
+        return slot
 
-    @staticmethod
-    def _upper(key: np.ndarray) -> np.ndarray:
-        return (key >> np.uint64(32)).astype(np.uint32)
 
-    @staticmethod
-    def _beginnings(letters: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Hash of the letters before each letter in its word."""
-        out = np.empty(len(letters), dtype=np.uint64)
-        ends = first + size
-        at = 0
-        while at < len(first):
-            begin = int(first[at])
-            to = max(at + 1, int(np.searchsorted(ends, begin + SPAN, side="right")))
-            stop = int(ends[to - 1])
-            up, down, table = _powers(stop - begin + 1)
-            sums = np.zeros(stop - begin + 1, dtype=np.uint64)
-            np.cumsum(table[letters[begin:stop]] * up[:stop - begin], out=sums[1:])
-            own = np.repeat(first[at:to] - begin, size[at:to])
-            out[begin:stop] = (sums[:-1] - sums[own]) * down[own]
-            at = to
-        return mix(out)
+def spelled_once(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, times: np.ndarray) -> tuple[Spelling, np.ndarray]:
+    """Each distinct beginning's last letter as bits, and how often each bit occurs in words that occur ``times`` times."""
+    known = Letters(data, starts, ends)
+    codes, at = known.distinct()
+    spelled = Spelling.of(known, at)
+    return spelled, np.repeat(np.bincount(codes, np.repeat(times, known.size), len(at)), np.diff(spelled.bounds))
 
 
 def pieces(size: np.ndarray):
@@ -180,6 +219,14 @@ def pieces(size: np.ndarray):
         at = to
 
 
+def counted_on(values: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Whole numbers that go up by one, but for given values at given places, of which the first is 0."""
+    out = np.ones(size, dtype=np.int32 if size < 1 << 30 else np.int64)
+    out[places[:1]] = values[:1]
+    out[places[1:]] = 1 + np.diff(values) - np.diff(places)
+    return np.cumsum(out, dtype=out.dtype, out=out)
+
+
 def stored(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale of one byte; small ones can be told apart."""
     return np.minimum(255, np.rint(np.log2(counts + 1.0) * SCALE)).astype(np.uint8)
@@ -216,16 +263,16 @@ def _pair_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     adds to the number of the gate for the longest reach and for the beginning."""
     count = counted()
     zeros, ones = np.repeat(count, 256), np.tile(count, 256)
-    level = np.log2(zeros + ones + 1.01).astype(np.int64)
+    level = np.log2(zeros + ones + 1.01).astype(np.uint8)
     return (np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32), np.minimum(REACH_LEVELS - 1, level // 2),
-            np.minimum(START_LEVELS - 1, level) * REACH_LEVELS)
+            np.minimum(START_LEVELS - 1, level) * np.uint8(REACH_LEVELS))
 
 
-def _less_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Every pair of stored counts with one zero taken off, and with one one taken off."""
+def _less_table() -> np.ndarray:
+    """Every pair of stored counts with one zero taken off, then every pair with one one taken off."""
     all_counts = np.arange(256, dtype=np.uint8)
     less = stored(np.maximum(0, counted() - 1))
-    return (paired(np.repeat(less, 256), np.tile(all_counts, 256)), paired(np.repeat(all_counts, 256), np.tile(less, 256)))
+    return np.append(paired(np.repeat(less, 256), np.tile(all_counts, 256)), paired(np.repeat(all_counts, 256), np.tile(less, 256)))
 
 
 class Mixer:
@@ -243,16 +290,15 @@ class Mixer:
         """
         odds, *levels = per_worker("pair_tables", _pair_tables)
         x = np.ones((INPUTS, len(spelled.bits)), dtype=np.float32)
-        gate = 0
+        gate = np.zeros(len(spelled.bits), dtype=np.uint8)
         for i, (table, slots) in enumerate(zip(self.tables, spelled.slots, strict=True)):
             pair = table.take(slots)
             if leave_out:
-                without_zero, without_one = per_worker("less_tables", _less_tables)
-                pair = np.where(spelled.bits == 0, without_zero.take(pair), without_one.take(pair))
+                pair = per_worker("less_table", _less_table).take(pair + (spelled.bits.astype(np.int64) << 16))
             pair = pair.astype(np.int64)
             x[i] = odds.take(pair)
             if i >= len(REACH) - 1:
-                gate = gate + levels[i - len(REACH) + 1].take(pair)
+                gate += levels[i - len(REACH) + 1].take(pair)
         return x, gate
 
     @staticmethod
@@ -281,14 +327,23 @@ class Mixer:
         ``mass`` says how often each bit occurs.
         """
         x, gate = self.inputs(spelled, leave_out=True)
-        z = sum(self.weights[:, i].astype(np.float32).take(gate) * x[i] for i in range(INPUTS))
+        # Bits of one gate side by side.
+        order = np.argsort(gate, kind="stable")
+        x, mass, bits = x.take(order, axis=1), mass.take(order), spelled.bits.take(order)
+        number = np.bincount(gate, minlength=GATES)
+        used = np.flatnonzero(number)
+        first = (np.cumsum(number) - number)[used]
+        z = sum(np.repeat(self.weights[:, i].astype(np.float32), number) * x[i] for i in range(INPUTS))
         p = 1 / (1 + np.exp(-np.clip(z, -20, 20).astype(np.float64)))
-        miss, curve = mass * (spelled.bits - p), mass * p * (1 - p)
-        sums = [np.bincount(gate, miss * x[i], GATES) for i in range(INPUTS)]
+        miss, curve = mass * (bits - p), mass * p * (1 - p)
+        sums = [miss * x[i] for i in range(INPUTS)]
         for i in range(INPUTS):
             own = curve * x[i]
-            sums += [np.bincount(gate, own * x[j], GATES) for j in range(i, INPUTS)]
-        return np.stack(sums, axis=1)
+            sums += [own * x[j] for j in range(i, INPUTS)]
+        out = np.zeros((GATES, len(sums)))
+        if len(used):
+            out[used] = np.stack([np.add.reduceat(v, first) for v in sums], axis=1)
+        return out
 
     def moved(self, slopes: np.ndarray) -> np.ndarray:
         """The weights after a Newton step."""
@@ -300,49 +355,46 @@ class Mixer:
             w += np.linalg.solve(curve, sums[:INPUTS] - PRIOR_BITS * (w - FIRST_WEIGHTS))
         return np.clip(weights, -3, 3)
 
-    def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What scoring needs of every bit of the words and the end mark, and where each one's bits begin.
+    def _rows(self, known: Letters, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What scoring needs of every bit of the letters at some places, and where each one's bits begin.
 
         With the sign of the bit that did not come: the inputs times the root of the
         rate, and their sum under the first weights.
         """
-        mark = end_mark()
-        length = per_worker("byte_code", byte_code)[0]
-        spent = np.zeros(len(data) + 1, dtype=np.int64)
-        np.cumsum(length[data], out=spent[1:])
-        bounds = np.zeros(len(starts) + 2, dtype=np.int64)
-        np.cumsum(np.append(spent[ends] - spent[starts] + length[WORD_END], len(mark.bits)), out=bounds[1:])
+        bounds = np.zeros(len(at) + 1, dtype=np.int64)
+        np.cumsum(per_worker("letter_codes", letter_codes)[0].take(known.letters.take(at)), out=bounds[1:])
         rows = np.zeros((max(int(bounds[-1]), STEPS), ROW), dtype=np.float32)
-
-        def fill(at: int, to: int, spelled: Spelling) -> None:
+        for first in range(0, len(at), PIECE):
+            spelled = Spelling.of(known, at[first:first + PIECE])
             x, gate = self.inputs(spelled)
+            gate = gate.astype(np.int64)
             sign = (1 - 2 * spelled.bits).astype(np.float32)
-            own = rows[bounds[at]:bounds[to]]
+            own = rows[bounds[first]:bounds[min(first + PIECE, len(at))]]
             own[:, INPUTS] = sum(self.weights[:, i].take(gate) * x[i] for i in range(INPUTS)) * sign
             x *= sign * np.float32(math.sqrt(RATE))
             own[:, :INPUTS] = x.T
-
-        for at, to in pieces(ends - starts):
-            fill(at, to, Spelling(data, starts[at:to], ends[at:to]))
-        fill(len(starts), len(starts) + 1, mark)
         return rows, bounds
 
     def score(self, column: pa.Array) -> np.ndarray:
         """log10 of each text's probability."""
         data, starts, ends, sequence, cuts = self._distinct(column)
-        rows, bounds = self._rows(data, starts, ends)
-        size = np.diff(bounds)[sequence]
+        known = Letters(data, starts, ends, end_mark=True)
+        codes, at = known.distinct()
+        rows, bounds = self._rows(known, at)
+        # Rows of the distinct words' bits, and where each word's bits begin.
+        size = np.diff(bounds).take(codes)
+        place = np.cumsum(size) - size
+        row = counted_on(bounds.take(codes), place, int(size.sum()))
+        bounds = np.append(place[known.first], len(row))
+        # The texts' bits as bits of distinct words; each text is filled up to whole steps by others that don't count.
+        size = np.diff(bounds).take(sequence)
         total = np.zeros(len(sequence) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])
         lengths = np.diff(total[cuts])
-        # The distinct word's bit behind every bit of the texts, each of which is filled up to whole steps.
-        filling = -lengths % STEPS
-        size = np.insert(size, cuts[1:], filling)
-        shift = np.insert(bounds[sequence], cuts[1:], 0) - (np.cumsum(size) - size)
-        bit = np.arange(int(size.sum()), dtype=np.int32)
-        bit += np.repeat(shift.astype(np.int32), size)
-        bit = bit.reshape(-1, STEPS)
-        text_starts = (np.cumsum(lengths + filling) - lengths - filling) // STEPS
+        whole = -(-lengths // STEPS)
+        text_starts = np.cumsum(whole) - whole
+        place = total[:-1] + np.repeat(text_starts * STEPS - total[cuts[:-1]], np.diff(cuts))
+        bit = counted_on(bounds.take(sequence), place, int(whole.sum()) * STEPS).reshape(-1, STEPS)
         lanes = -(-lengths // LANE)
         owner = np.repeat(np.arange(len(lengths)), lanes)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -355,31 +407,38 @@ class Mixer:
         change = np.zeros((INPUTS + 1, len(begin)), dtype=np.float32)
         change[INPUTS] = 1
         product = np.empty_like(change)
+        chance = np.empty(len(begin), dtype=np.float32)
+        found = np.empty((STEPS, len(begin), ROW), dtype=np.float32)
+        turned = np.empty((STEPS, INPUTS + 1, len(begin)), dtype=np.float32)
+        factors = np.empty((STEPS, len(begin)), dtype=np.float32)
         cost = np.zeros(len(begin), dtype=np.float64)
         low, high, one = np.float32(-LIMIT), np.float32(LIMIT), np.float32(1)
         for first in range(0, int(left[0]) if len(left) else 0, STEPS):
             n = int(alive[first])
-            at = np.ascontiguousarray(bit.take(begin[:n] + first // STEPS, axis=0).T)
-            ahead = np.ascontiguousarray(rows.take(at, axis=0, mode="clip")[:, :, :INPUTS + 1].transpose(0, 2, 1))
-            wrongness = np.ones(n)
+            at = row.take(bit.take(begin[:n] + first // STEPS, axis=0), mode="clip")
             for step in range(STEPS):
-                n = int(alive[first + step]) if first + step < LANE else 0
-                if not n:
-                    break
-                inputs, own, part = ahead[step, :, :n], change[:, :n], product[:, :n]
+                rows.take(at[:, step], axis=0, mode="clip", out=found[step, :n])
+            ahead, either = turned[:, :, :n], factors[:, :n]
+            ahead[:] = found[:, :n, :INPUTS + 1].transpose(0, 2, 1)
+            own, part, odds = change[:, :n], product[:, :n], chance[:n]
+            weights, parts = own[:INPUTS], part[:INPUTS]
+            for inputs, both in zip(ahead, either, strict=True):
                 np.multiply(inputs, own, out=part)
-                odds = part.sum(axis=0)
+                np.add.reduce(part, axis=0, out=odds)
                 np.minimum(odds, high, out=odds)
                 np.maximum(odds, low, out=odds)
                 np.exp(odds, out=odds)
-                either = odds + one
-                wrongness[:n] *= either
+                np.add(odds, one, out=both)
                 # Chance of the bit that did not come.
-                odds /= either
-                own, part = own[:INPUTS], part[:INPUTS]
-                np.multiply(inputs[:INPUTS], odds, out=part)
-                own -= part
-            cost[:len(wrongness)] -= np.log(wrongness)
+                np.divide(odds, both, out=odds)
+                np.multiply(inputs[:INPUTS], odds, out=parts)
+                np.subtract(weights, parts, out=weights)
+            # Steps after the end of a lane.
+            for step, on in enumerate(alive[first:first + STEPS].tolist()):
+                either[step, on:] = 1
+            # Four factors are below e ** 57, which fits.
+            fours = np.multiply.reduce(factors.reshape(-1, 4, len(begin))[:, :, :n], axis=1)
+            cost[:n] -= np.log(np.multiply.reduce(fours, axis=0, dtype=np.float64))
         out = np.zeros(len(lengths))
         np.add.at(out, owner[order], cost)
         return out / math.log(10)
@@ -496,6 +555,13 @@ def _sum_shard(rows: pa.Table) -> pa.Table:
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
     first = first[counts > 0]
     counts = counts[counts > 0]
+    # Words with one beginning side by side, so that a piece spells it once.
+    padded = np.append(data, np.zeros(8, dtype=np.uint8))
+    starts, letters = (ends - size)[first], np.zeros((len(first), 8), dtype=np.uint8)
+    for i in range(8):
+        letters[:, i] = np.where(size[first] > i, padded[starts + i], 0)
+    order = np.argsort(letters.view(">u8")[:, 0], kind="stable")
+    first, counts = first[order], counts[order]
     sums = [np.zeros(2 << w, dtype=np.int64) for w in TABLE_BITS]
     begun, bits = [], 0
 
@@ -518,12 +584,12 @@ def _sum_shard(rows: pa.Table) -> pa.Table:
         letters = data[np.arange(joined[-1]) + np.repeat(starts - (joined - size[part]), size[part])]
         number = counts[at:to]
         out.append(("words", None, shard, letters.tobytes(), size[part].astype("<u4").tobytes(), number.tobytes(), len(part), None, None))
-        spelled = Spelling(letters, joined - size[part], joined)
-        each = np.repeat(number, np.diff(spelled.bounds))
-        keys = [slots << 1 | spelled.bits for slots in spelled.slots]
+        spelled, each = spelled_once(letters, joined - size[part], joined, number)
+        each = each.astype(np.int64)
+        keys = [slots << np.uint32(1) | spelled.bits.view(np.uint8) for slots in spelled.slots]
         for table, slots in zip(sums, keys, strict=False):
             np.add.at(table, slots, each)
-        begun.append((keys[-1].astype(np.uint32), each))
+        begun.append((keys[-1], each))
         bits += len(each)
         if bits >= HELD_BITS:
             put_out_begun()
@@ -576,9 +642,8 @@ def first_weights(summed: DataFrame, texts: int, mixer: Callable) -> np.ndarray:
             for batch in batches:
                 for letters, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "c")), strict=True):
                     ends = np.cumsum(np.frombuffer(sizes, dtype="<u4").astype(np.int64))
-                    spelled = Spelling(np.frombuffer(letters, dtype=np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-                    each = np.repeat(np.frombuffer(counts, dtype="<i8").astype(np.float64), np.diff(spelled.bounds))
-                    total += mixer(weights).slopes(spelled, each)
+                    total += mixer(weights).slopes(*spelled_once(
+                        np.frombuffer(letters, dtype=np.uint8), np.concatenate([[0], ends[:-1]]), ends, np.frombuffer(counts, dtype="<i8")))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(GATES), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["gate", "v"])
 

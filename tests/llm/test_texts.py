@@ -350,6 +350,42 @@ def test_language_model_learns_from_all_words(spark):
     assert np.allclose(weights, model.weights, atol=1e-5)
 
 
+def test_language_model_spells_beginnings_once(monkeypatch):
+    """Words with one beginning share its bits, in scoring, in the tables and in the first weights; no count is lost."""
+    from laplake.llm import lm_score
+    words = ["the", "there", "then", "theory", "x", "über", "the" + "n" * 40, "the" + "n" * 41]
+    texts = [" ".join(words * k) for k in range(1, 5)]
+    lengths = lm_score.byte_code()[0]
+    known = {w[:k] for w in (f"{w} ".encode() for w in words) for k in range(1, len(w) + 1)}
+    once = sum(int(lengths[w[-1]]) for w in known)
+    seen = []
+    inputs = lm_score.Mixer.inputs
+    monkeypatch.setattr(
+        lm_score.Mixer, "inputs", lambda self, spelled, *a, **b: seen.append(len(spelled.bits)) or inputs(self, spelled, *a, **b))
+    tables = [np.zeros(1 << w, dtype=np.uint16) for w in (*lm_score.TABLE_BITS, lm_score.START_BITS)]
+    scores = lm_score.Mixer(tables).score(pa.array(texts))
+    assert sum(seen) == once + int(lengths[lm_score.TEXT_END])
+    alone = [lm_score.Mixer(tables).score(pa.array([t]))[0] for t in texts]
+    assert np.allclose(scores, alone, rtol=1e-6)
+
+    raw = [w.encode() for w in words]
+    size = np.array([len(w) for w in raw])
+    ends, times = np.cumsum(size), np.arange(1, len(raw) + 1)
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    every = lm_score.Spelling(data, ends - size, ends)
+    spelled, each = lm_score.spelled_once(data, ends - size, ends, times)
+    assert len(spelled.bits) == len(each) == once
+    for a, b in zip(every.slots, spelled.slots, strict=True):
+        want, found = Counter(), Counter()
+        for slot, bit, n in zip(a.tolist(), every.bits.tolist(), np.repeat(times, np.diff(every.bounds)).tolist(), strict=True):
+            want[slot, bit] += n
+        for slot, bit, n in zip(b.tolist(), spelled.bits.tolist(), each.tolist(), strict=True):
+            found[slot, bit] += n
+        assert want == found
+    model = lm_score.Mixer(tables)
+    assert np.allclose(model.slopes(every, np.repeat(times, np.diff(every.bounds)).astype(float)), model.slopes(spelled, each))
+
+
 def test_language_model_bit_by_bit():
     """The vectorised scores agree with corrections made one bit at a time."""
     from laplake.llm import lm_score
