@@ -148,19 +148,27 @@ class ByteTokenizer:
     def __init__(self, path: str, word_values=None):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        self.library, self.path = Tokenizer.from_file(path), path
+        spec = self._read()
         cut = spec.get("pre_tokenizer") or {}
         self.plain = (
             cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
             and spec.get("normalizer") is None and spec["model"].get("type") == "BPE")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.spec = spec if word_values else None  # tens of megabytes
+        self.held = spec if word_values else None  # tens of megabytes
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.table = WordTable()
         self.word_values = word_values or self._ids
 
+    def _read(self) -> dict:
+        with open(self.path, encoding="utf-8") as file:
+            return json.load(file)
+
+    @property
+    def spec(self) -> dict:
+        """What the file says; read again if it is not held for ``word_values``."""
+        return self._read() if self.held is None else self.held
+
     def _ids(self, word: bytes) -> list[int]:
         tokens = self.library.model.tokenize(word.decode("latin-1").translate(self.letters))
         return [t.id for t in tokens]
