@@ -219,6 +219,12 @@ def pieces(size: np.ndarray):
         at = to
 
 
+def spelled_out(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The letters of words, one word after the other."""
+    total = np.cumsum(size)
+    return data[np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - size), size)]
+
+
 def counted_on(values: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     """Whole numbers that go up by one, but for given values at given places, of which the first is 0."""
     out = np.ones(size, dtype=np.int32 if size < 1 << 30 else np.int64)
@@ -475,10 +481,9 @@ def _blocks(documents: DataFrame, doc_id: str, text: str, trained: Column, shard
         word, member = pairs // max(1, texts), pairs % max(1, texts)
         learned = np.asarray(batch.column("_trained").to_numpy(zero_copy_only=False), dtype=bool)
         counts = np.bincount(word, times * learned[member], minlength=len(keys)).astype("<i8")
-        size = (ends - starts)[first[order]]
-        raw = data.tobytes()
-        spelled = [raw[s:e] for s, e in zip(starts[first[order]].tolist(), ends[first[order]].tolist(), strict=True)]
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        keys, first = keys[order], first[order]
+        size = (ends - starts)[first]
         none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], id_type))
         no_longs = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], pa.int64()))
 
@@ -489,7 +494,8 @@ def _blocks(documents: DataFrame, doc_id: str, text: str, trained: Column, shard
 
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(int(cuts[s]), int(cuts[s + 1]))
-            yield row(s, [keys[order][part].astype("<u8").tobytes(), counts[part].tobytes(), b"".join(spelled[part]),
+            letters = spelled_out(data, starts[first[part]], size[part])
+            yield row(s, [keys[part].astype("<u8").tobytes(), counts[part].tobytes(), letters.tobytes(),
                           size[part].astype("<u4").tobytes()], [none, no_longs, no_longs])
         one = pa.array([0, texts], pa.int32())
         words = np.bincount(owner, minlength=texts)
@@ -581,7 +587,7 @@ def _sum_shard(rows: pa.Table) -> pa.Table:
         part = first[at:to]
         starts = ends[part] - size[part]
         joined = np.cumsum(size[part])
-        letters = data[np.arange(joined[-1]) + np.repeat(starts - (joined - size[part]), size[part])]
+        letters = spelled_out(data, starts, size[part])
         number = counts[at:to]
         out.append(("words", None, shard, letters.tobytes(), size[part].astype("<u4").tobytes(), number.tobytes(), len(part), None, None))
         spelled, each = spelled_once(letters, joined - size[part], joined, number)
