@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
+    BinaryType,
     DoubleType,
     FloatType,
     LongType,
@@ -23,9 +24,11 @@ from pyspark.sql.types import (
 from laplake import constants as C
 from laplake.functions.numbers import fixed_text
 from laplake.operators.groups import join_on
+from laplake.session import written
 
 QUERY_BLOCK = 2_000
 CORPUS_PART = 50_000
+PACK_BYTES = 4 << 20
 
 Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -88,23 +91,65 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
 
 
+def _packed(frame: DataFrame, rows: int, name: str) -> DataFrame:
+    """Rows as Arrow streams, at most ``rows`` of them or some megabytes in one."""
+
+    def closed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema) as out:
+            for piece in held:
+                out.write_batch(piece)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[name])
+
+    def pack(batches):
+        held, count, size = [], 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                piece = batch.slice(at, rows)
+                if held and (count + piece.num_rows > rows or size + piece.nbytes > PACK_BYTES):
+                    yield closed(held)
+                    held, count, size = [], 0, 0
+                held.append(piece)
+                count, size = count + piece.num_rows, size + piece.nbytes
+        if held:
+            yield closed(held)
+
+    return frame.mapInArrow(pack, StructType([StructField(name, BinaryType())]))
+
+
 def _by_blocks(corpus: DataFrame, queries: DataFrame, meet: Callable, schema: StructType, block: int,
-               part: int) -> DataFrame:
-    """Every part of the corpus meets every block of queries in a task of its own.
+               part: int, merge: Callable | None = None) -> DataFrame:
+    """Every part of the corpus meets every block of queries.
 
-    The corpus is counted once and read once, whatever the number of queries.
+    Both are shuffled once, in packs, and no pair of them is written: a task reads the parts that
+    its block meets one after another. With ``merge`` it keeps what that leaves of a block's results.
     """
     blocks = max(1, math.ceil(queries.count() / block))
     parts = max(1, math.ceil(corpus.count() / part))
+    asked = _packed(queries, block, "asked").repartition(blocks).hint("shuffle_replicate_nl")
+    pairs = asked.crossJoin(_packed(corpus, part, "rows").repartition(parts))
+    tasks = max(blocks, 4 * corpus.sparkSession.sparkContext.defaultParallelism)
 
-    def spread(own: str, number: int, other: str, others: int, key: str, frame: DataFrame) -> DataFrame:
-        return frame.withColumns({
-            own: F.pmod(F.xxhash64(key), F.lit(number)).cast("int"),
-            other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))})
+    def opened(pack: pa.BinaryScalar) -> pa.Table:
+        return pa.ipc.open_stream(pack.as_buffer()).read_all()
 
-    left = spread("_part", parts, "_block", blocks, "id", corpus)
-    right = spread("_block", blocks, "_part", parts, "query_id", queries)
-    return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(meet, schema)
+    def run(batches):
+        last = right = held = None
+        for batch in batches:
+            for asked, rows in zip(batch.column("asked"), batch.column("rows"), strict=True):
+                if last is None or not asked.equals(last):
+                    if held is not None:
+                        yield from held.to_batches()
+                    last, right, held = asked, opened(asked), None
+                found = meet(opened(rows), right)
+                if merge is None:
+                    yield from found.to_batches()
+                else:
+                    held = found if held is None else merge(pa.concat_tables([held, found]))
+        if held is not None:
+            yield from held.to_batches()
+
+    return pairs.coalesce(tasks).mapInArrow(run, schema)
 
 
 def _few(queries: DataFrame, block: int) -> pa.Table | None:
@@ -156,12 +201,9 @@ def _hit_schema(corpus: DataFrame) -> StructType:
         StructField("query_id", StringType()), StructField("score", DoubleType()), corpus.schema["id"]])
 
 
-def _hits(corpus: DataFrame, queries: DataFrame, k: int, block: int, part: int) -> DataFrame:
+def _scanned(corpus: DataFrame, few: pa.Table, k: int) -> DataFrame:
     """(query_id, score, id): at most k rows per query and task, the k nearest of all among them."""
-    corpus, queries = corpus.select("id", "embedding"), _asked(queries)
-    few = _few(queries, block)
-    if few is None:
-        return _by_blocks(corpus, queries, lambda left, right: _best_rows(left, right, k), _hit_schema(corpus), block, part)
+    corpus = corpus.select("id", "embedding")
 
     def scan(batches):
         held = None
@@ -174,28 +216,65 @@ def _hits(corpus: DataFrame, queries: DataFrame, k: int, block: int, part: int)
     return corpus.mapInArrow(scan, _hit_schema(corpus))
 
 
-def _ranked(hits: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The k best hits of every query, with the other columns of the corpus."""
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The k best hits of every query, ranked."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _described(best: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Hits with the other columns of the corpus."""
     others = [c for c in corpus.columns if c not in ("id", "embedding")]
     if not others:
         return best
     return corpus.select("id", *others).join(best, "id").select("query_id", "score", "id", *others, "rank")
 
 
+def _ranked(hits: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The k best hits of every query, with the other columns of the corpus."""
+    return _described(_best(hits, k), corpus)
+
+
+def _lowest_ids(corpus: DataFrame, k: int) -> DataFrame:
+    """Of rows with one vector those with the k lowest ids: their scores are equal, so no query finds others."""
+    order = Window.partitionBy("embedding").orderBy(F.asc_nulls_last("id"))
+    rows = corpus.select("id", "embedding").where(F.col("embedding").isNotNull())
+    return rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
+
+
+def _ranked_many(corpus: DataFrame, queries: DataFrame, k: int, block: int, part: int) -> DataFrame:
+    """``top_k`` for any number of queries: queries with one vector are searched once."""
+    queries = written(queries, "asked")
+    searched = written(queries.where(F.col("embedding").isNotNull()).select("embedding").distinct().select(
+        F.monotonically_increasing_id().cast("string").alias("query_id"), "embedding"), "searched")
+    rows = written(_lowest_ids(corpus, k), "rows")
+    few = _few(searched, block)
+    hits = _scanned(rows, few, k) if few is not None else _by_blocks(
+        rows, searched, lambda left, right: _best_rows(left, right, k), _hit_schema(corpus), block, part,
+        lambda found: _kept(found, k))
+    best = written(_best(hits, k), "best")
+    found = searched.join(_described(best, corpus).drop("rank"), "query_id").drop("query_id")
+    # A query_id can come with several vectors.
+    return _best(queries.join(found, "embedding").drop("embedding"), k)
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK,
           part: int = CORPUS_PART) -> DataFrame:
     """The k most similar vectors of every query by cosine, exact.
 
     ``corpus`` has ``id``, which names a row, ``embedding`` and metadata, ``queries`` has
     ``query_id`` and ``embedding``. Up to ``block`` queries travel to the corpus, which is not
-    shuffled; more of them meet it in blocks. Only ids and vectors are scored, and at most k rows
-    per part and query are shuffled; metadata is joined to the k best. Scores are rounded to six
-    digits; equal scores are ordered by id. Vectors with null or non-finite components, or of
-    another length than the query's, are no candidates.
+    shuffled. Of more of them every distinct vector is searched once, in blocks that meet the
+    corpus less those of its copies that cannot be found. Only ids and vectors are scored;
+    metadata is joined to the k best. Scores are rounded to six digits; equal scores are ordered
+    by id. Vectors with null or non-finite components, or of another length than the query's, are
+    no candidates.
     """
-    return _ranked(_hits(corpus, queries, k, block, part), corpus, k)
+    asked = _asked(queries)
+    few = _few(asked, block)
+    if few is None:
+        return _ranked_many(corpus, asked, k, block, part)
+    return _ranked(_scanned(corpus, few, k), corpus, k)
 
 
 def search_texts(corpus: DataFrame, questions: DataFrame, encoder: Encoder, k: int = 3, year: int | None = None,

@@ -11,7 +11,7 @@ from laplake.plans import jobs
 from laplake.plans.fixtures import RaceData
 from laplake.plans.oracle import r1, r3, r4
 from laplake.plans.registry import query
-from laplake.session import new_folder
+from laplake.session import new_folder, written
 from laplake.sinks.tables import VersionedTable
 
 DOCUMENT = f"""printf('Driver %d in 2024 Round %d: Lap %d, lap time %.3fs on %s tyres (age %d laps). Rolling avg %.3fs, delta to personal best +%.3fs. Tyre degradation rate %.4fs/lap. Stint length %d laps. Strategy assessment: %s.',
@@ -149,8 +149,9 @@ def _text_search(d: RaceData):
     """The last lap of every driver as a question to the laps on soft tyres."""
     last = F.max_by(F.struct("*"), "lap_number").alias("lap")
     laps = d.race_features.groupBy("session_key", "driver_number").agg(last).select("lap.*")
-    questions = laps.select(
-        F.format_string("%d-%d", "session_key", "driver_number").alias("query_id"), text.search_text().alias("question"))
+    questions = written(laps.select(
+        F.format_string("%d-%d", "session_key", "driver_number").alias("query_id"), text.search_text().alias("question")),
+        "questions")
     path = new_folder(d.spark, "documents")
     vectors.embed_documents(text.lap_documents(d.race_features), letter_counts).write.parquet(path)
     hits = vectors.search_texts(d.spark.read.parquet(path), questions, letter_counts, compound="SOFT")

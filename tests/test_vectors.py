@@ -191,3 +191,46 @@ def test_questions_as_text(spark):
     context = {r["query_id"]: r["context"] for r in vectors.retrieval_context(found, asked).collect()}
     assert context["4"].endswith("1. [similarity: 0.949] ab") and context["2"] == context["3"] == (
         "No similar historical situations found.")
+
+
+def _shuffled(spark, action):
+    """Rows that all stages of an action write for a shuffle."""
+    before = {(s.stageId(), s.attemptId()) for s in _stages(spark.sparkContext)}
+    action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(s.shuffleWriteRecords() for s in _stages(spark.sparkContext) if (s.stageId(), s.attemptId()) not in before)
+
+
+def _stages(context):
+    quantiles = context._gateway.new_array(context._jvm.double, 0)
+    found = context._jsc.sc().statusStore().stageList(None, False, False, quantiles, None)
+    return [found.apply(i) for i in range(found.length())]
+
+
+def _circle(spark, number, name, turn):
+    """Unit vectors that all differ."""
+    return spark.range(number).select(
+        F.format_string("%05d", F.col("id")).alias(name), F.array(F.cos(F.col("id") * turn), F.sin(F.col("id") * turn)).alias("embedding"))
+
+
+def test_many_queries_do_not_copy_the_corpus(spark):
+    """A corpus in 20 parts and 30 blocks of queries: no row is shuffled once per block or part."""
+    corpus, queries = _circle(spark, 2000, "id", 0.001), _circle(spark, 900, "query_id", 0.0017)
+    found = []
+    moved = _shuffled(spark, lambda: found.extend(vectors.top_k(corpus, queries, 2, block=30, part=100).collect()))
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in found) == _brute(corpus.collect(), queries.collect(), 2)
+    assert moved < 20 * (2000 + 900)
+
+
+def test_repeated_vectors_are_searched_once(spark):
+    """Copies of a few vectors in the corpus and among the queries, one query_id with two vectors, and what is no vector."""
+    some = [[1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [1.0, 2.0]]
+    rows = [(f"v{i:04d}", some[i % 4], i) for i in range(400)] + [("null", None, -1), ("gap", [None, 1.0], -2), ("nan", [float("nan"), 1.0], -3)]
+    corpus = spark.createDataFrame(rows, "id string, embedding array<float>, place int").repartition(5)
+    asked = [(f"q{i:03d}", some[i % 2]) for i in range(200)] + [("q000", [0.0, 1.0]), ("none", None), ("odd", [1.0])]
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>").repartition(3)
+    for block in (1, 50, 1000):
+        found = sorted(map(tuple, vectors.top_k(corpus, queries, 3, block=block).select("query_id", "rank", "id", "place").collect()))
+        assert found[:3] == [("q000", i, f"v{j:04d}", j) for i, j in ((1, 0), (2, 2), (3, 4))]
+        want = [(f"q{i:03d}", rank, f"v{i % 2 + 4 * rank - 4:04d}", i % 2 + 4 * rank - 4) for i in range(1, 200) for rank in (1, 2, 3)]
+        assert found[3:] == want
