@@ -21,12 +21,14 @@ from laplake.streaming.features import FeatureStream, run_available
 LAP_SQL = "session_key, driver_number, lap_number"
 LAP = ["session_key", "driver_number", "lap_number"]
 ROWS_PER_FILE = 1_000_000
+BLOCK_BYTES = 8 << 20  # of a file; one task each reads it
 
 
 def landed(d: RaceData, df, name: str, files: int = 3):
     """Land a frame as files and open them as a stream of one file per trigger."""
     path = new_folder(d.spark, name)
-    df.repartition(files).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    df.repartition(files).write.option("maxRecordsPerFile", ROWS_PER_FILE).option(
+        "parquet.block.size", BLOCK_BYTES).parquet(path)
     return messages.landed_stream(d.spark, path, df.schema, files_per_trigger=1)
 
 

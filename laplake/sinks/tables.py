@@ -79,9 +79,9 @@ class VersionedTable:
         """
         rows = self.all() if rows is None else rows
         payload = [name for name in rows.columns if name not in (*self.keys, "version")]
-        newest = rows.groupBy(*self.keys).agg(
-            F.max_by(F.struct(*payload), F.struct(*self.order, *payload)).alias("_row"))
-        return newest.select(*self.keys, "_row.*")
+        rank, values = F.struct(*self.order).alias("rank"), F.struct(*payload).alias("values")
+        newest = rows.groupBy(*self.keys).agg(F.max(F.struct(rank, values)).alias("_row"))
+        return newest.select(*self.keys, "_row.values.*")
 
     def versions(self) -> list[int]:
         path, fs = self._folder()

@@ -187,6 +187,40 @@ def test_hot_drivers_in_a_batch(spark, data, rows, tmp_path):
     assert rows(job.table(), *NAMES) == rows(data.features, *NAMES)
 
 
+def test_laps_computed_stay_in_proportion_to_laps_that_came(spark, data, rows, tmp_path):
+    """Every batch touches every driver, so computing all their laps with each would grow with the square."""
+    job = FeatureStream(spark, str(tmp_path / "out"), limits=Limits(group_rows=50), merge_every=100)
+    laps = data.laps.select(*LAP).where("driver_number < 6").persist()
+    written = _counted(job, job.features)
+    for batch in range(8):
+        job.process(laps.where(f"lap_number % 8 = {batch}"), batch)
+        if batch in (2, 5):
+            some = laps.where(f"lap_number % 8 <= {batch}")
+            assert rows(job.table(), *NAMES) == rows(lap_features(some), *NAMES)
+    assert sum(written.values()) <= 2 * laps.count()
+    assert rows(job.table(), *NAMES) == rows(data.features.where("driver_number < 6"), *NAMES)
+
+
+def test_late_features_after_merges_retries_and_restarts(spark, data, rows, tmp_path):
+    """Corrected laps and sessions that come at different times, with features that wait for the next computing."""
+    limits, place = Limits(group_rows=50), F.pmod(F.xxhash64("lap_number", "driver_number"), F.lit(7))
+    laps = data.laps.select(*LAP).where("driver_number < 6")
+    wrong = laps.withColumns({"lap_duration": F.lit(95.0), "seq": F.lit(1), "at": (place + 3) % 7}).where("lap_number % 3 = 0")
+    sent = laps.withColumns({"seq": F.lit(2), "at": place}).where("session_key = 1 OR at > 4").unionByName(wrong).persist()
+    waited = 0
+    for batch in range(7):
+        job = FeatureStream(spark, str(tmp_path / "out"), limits=limits, order=["seq"], merge_every=2)
+        for _ in range(2 if batch == 4 else 1):
+            job.process(sent.where(F.col("at") == batch).drop("at"), batch)
+        again = FeatureStream(spark, str(tmp_path / "out"), limits=limits, order=["seq"], merge_every=2)
+        waited += again._late().count()
+        newest = sent.where(F.col("at") <= batch).groupBy(*LAP[:3]).agg(
+            F.max_by(F.struct(*LAP[3:]), "seq").alias("lap")).select(*LAP[:3], "lap.*")
+        want = rows(lap_features(newest), *NAMES)
+        assert rows(job.table(), *NAMES) == want and rows(again.table(), *NAMES) == want
+    assert waited
+
+
 def test_empty_batches_write_nothing(spark, data, tmp_path):
     FeatureStream(spark, str(tmp_path / "out")).process(data.laps.select(*LAP).limit(0), 0)
     assert not (tmp_path / "out").exists()
